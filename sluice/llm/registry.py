@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sluice.llm import quality, sharding
+from sluice.llm import jaccard_join, quality, sharding
 
 QUERIES = {
     "op5_sharding": sharding.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op10_quality_rules": quality.query,
 }
 
