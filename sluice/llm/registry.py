@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sluice.llm import jaccard_join, quality, sharding
+from sluice.llm import jaccard_join, packing, quality, sharding
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op5_sharding": sharding.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_quality_rules": quality.query,
