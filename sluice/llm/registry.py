@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sluice.llm import jaccard_join, packing, quality, sharding
+from sluice.llm import decontaminate, jaccard_join, packing, quality, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
     "op5_sharding": sharding.query,
+    "op6_decontaminate": decontaminate.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_quality_rules": quality.query,
 }
