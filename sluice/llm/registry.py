@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from sluice.llm import decontaminate, jaccard_join, packing, quality, sharding
+from sluice.llm import decontaminate, jaccard_join, line_dedup, packing, quality, sharding
 
 QUERIES = {
     "op2_packing": packing.query,
     "op5_sharding": sharding.query,
+    "op4_line_dedup": line_dedup.query,
     "op6_decontaminate": decontaminate.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_quality_rules": quality.query,
 }
 
 ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
 }
