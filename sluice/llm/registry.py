@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sluice.llm import decontaminate, jaccard_join, line_dedup, packing, quality, sharding
+from sluice.llm import decontaminate, jaccard_join, line_dedup, packing, quality, sharding, token_counts
 
 QUERIES = {
     "op2_packing": packing.query,
     "op5_sharding": sharding.query,
     "op4_line_dedup": line_dedup.query,
     "op6_decontaminate": decontaminate.query,
+    "op8_token_counts": token_counts.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_quality_rules": quality.query,
 }
