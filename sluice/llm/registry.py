@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sluice.llm import decontaminate, jaccard_join, line_dedup, packing, quality, sharding, token_counts
+from sluice.llm import decontaminate, html_text, jaccard_join, line_dedup, packing, quality, sharding, token_counts
 
 QUERIES = {
     "op2_packing": packing.query,
     "op5_sharding": sharding.query,
+    "op3_html_text": html_text.query,
     "op4_line_dedup": line_dedup.query,
     "op6_decontaminate": decontaminate.query,
     "op8_token_counts": token_counts.query,
