@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import decontaminate, html_text, jaccard_join, line_dedup, packing, quality, sharding, token_counts
+from sluice.llm import decontaminate, html_text, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op2_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_text": html_text.query,
     "op4_line_dedup": line_dedup.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_substring_dedup": substring_dedup.query,
     "op8_token_counts": token_counts.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_quality_rules": quality.query,
