@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sluice.llm import decontaminate, html_text, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, token_counts
+from sluice.llm import decontaminate, html_text, jaccard_join, line_dedup, packing, passages, quality, sharding, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_passages": passages.query,
     "op2_packing": packing.query,
     "op5_sharding": sharding.query,
     "op3_html_text": html_text.query,
