@@ -8,8 +8,8 @@ Documents are sets of five-word shingles; two are linked when 100 * |A & B| >= 7
    its n - a + L rarest ones. Each document takes the L in 1..MAX_MATCHES with the least estimated cost: postings read
    plus verifications, which fall as more matches are required. A pair of prefixes with L and M needs min(L, M) matches.
 3. Documents with equal sets form a class and are represented by their least id.
-4. Postings: shingles in the prefixes of two or more representatives. First every representative is compared with one
-   leader in each of its postings, and linked ones are joined into components; this is repeated while it finds links. Then
+4. Postings: shingles in the prefixes of two or more representatives. First every representative is compared with those
+   leaders of its postings that it shares many with, and linked ones are joined into components; this is repeated while it finds links. Then
    the pairs that are still in different components are matched completely. No pair within a component is ever emitted.
 
 The result lists each document with its class and component; links within a component need no pairs, and no link between
@@ -31,11 +31,12 @@ from sluice.llm.common import Scratch, table
 from sluice.llm.components import components
 
 PERCENT = 75
-BITS = 18
+BITS = 20
 BUCKETS = 1 << BITS
 MAX_MATCHES = 4
 VERIFY_COST = 40.0
 STAR_ROUNDS = 3
+PROMISING = 8
 
 
 def _bucket(codes: np.ndarray) -> np.ndarray:
@@ -113,8 +114,8 @@ def shingle_vectors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(vectors, "doc_id long, codes binary")
 
 
-def verify(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets meet the threshold."""
+def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets meet the threshold; only texts that some pair needs are read into sets."""
 
     def exact(batches):
         for batch in batches:
@@ -128,12 +129,18 @@ def verify(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return (
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    vectors = scratch.keep(shingle_vectors(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"])))
+    scratch.release()
+    found = scratch.keep(
         pairs.join(vectors.select(F.col("doc_id").alias("a"), F.col("codes").alias("x")), "a")
         .join(vectors.select(F.col("doc_id").alias("b"), F.col("codes").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(exact, "a long, b long")
     )
+    scratch.drop(vectors)
+    scratch.release()
+    return found
 
 
 def _sizes_fit(n: str, m: str):
@@ -150,16 +157,12 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("class_id"))
     classes = scratch.keep(same)
     of_class = signed.join(classes, ["sig_a", "sig_b", "n"])
-    tokens = of_class.filter("doc_id = class_id").select(F.explode("prefix").alias("token"), "doc_id", F.col("n").cast("int"), "matches")
+    tokens = of_class.filter("doc_id = class_id").select(F.posexplode("prefix").alias("i", "token"), "doc_id", F.col("n").cast("int"), "matches")
     several = (
-        tokens.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("token")
+        tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")  # a representative has a token once
     )
     postings = scratch.keep(tokens.join(several, "token"))
     scratch.release()
-    wanted = postings.select("doc_id").distinct()
-    vectors = scratch.keep(shingle_vectors(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"])))
-    scratch.release()
-
     links = tried = None
     parts = postings.select("*", F.col("doc_id").alias("part"))
     for _ in range(STAR_ROUNDS):
@@ -168,11 +171,12 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = (
             one.join(lead, "token").filter(F.col("part") != F.col("lead.part"))
             .filter(_sizes_fit("of.n", "lead.of.n"))
-            .select(F.greatest("of.doc_id", "lead.of.doc_id").alias("a"), F.least("of.doc_id", "lead.of.doc_id").alias("b"))
-            .distinct()
+            .select(F.greatest("of.doc_id", "lead.of.doc_id").alias("a"), F.least("of.doc_id", "lead.of.doc_id").alias("b"), F.least("of.n", "lead.of.n").alias("least"))
+            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
+            .filter(PROMISING * F.col("shared") >= F.col("least")).select("a", "b")  # the others are left to the last step
         )
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = scratch.keep(verify(pairs, vectors))
+        found = verify(scratch, pairs, docs)
         tried = pairs if tried is None else tried.union(pairs)
         if links is not None and found.isEmpty():
             break
@@ -180,14 +184,19 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts = _parts(postings, components(scratch, links))
     split = parts.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
     left = scratch.keep(parts.join(split, "token"))
-    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "matches", "part"))) for s in "ab")
+    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "i", "matches", "part"))) for s in "ab")
     rest = (
-        a.join(b, "token").filter((F.col("part_a") < F.col("part_b")) & _sizes_fit("n_a", "n_b"))
+        a.join(b, "token").filter((F.col("part_a") < F.col("part_b")) & _sizes_fit("n_a", "n_b") & _places_fit())
         .groupBy(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b"))
-        .agg(F.count("*").alias("shared"), F.first(F.least("matches_a", "matches_b")).alias("needed"))
-        .filter("shared >= needed").select("a", "b").join(tried, ["a", "b"], "left_anti")
+        .agg(
+            F.count("*").alias("shared"), F.first(F.least("matches_a", "matches_b")).alias("needed"), F.first(F.col("n_a") + F.col("n_b")).alias("sum"),
+            F.least(F.first("n_a") - F.max("i_a"), F.first("n_b") - F.max("i_b")).alias("after"),
+        )
+        .withColumn("most", F.col("shared") + F.col("after") - 1)  # those up to the last shared one, and what follows it at most
+        .filter(F.col("shared") >= F.col("needed")).filter(100 * F.col("most") >= PERCENT * (F.col("sum") - F.col("most")))
+        .select("a", "b").join(tried, ["a", "b"], "left_anti")
     )
-    links = scratch.keep(links.union(verify(scratch.keep(rest), vectors)))
+    links = scratch.keep(links.union(verify(scratch, scratch.keep(rest), docs)))
     groups = components(scratch, links).withColumnRenamed("node", "class_id")
     scratch.release()
     documents = (
@@ -199,6 +208,15 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, links
 
 
+def _places_fit():
+    """Of a pair that shares at least o = ceil(75 (n_a + n_b) / 175), the L rarest shared tokens stand in the first n - o + L
+    of both; and with a token at places i and j, at most min(i, j) are shared before it and min(n_a - i, n_b - j) from it on."""
+    total, matches = F.col("n_a") + F.col("n_b"), F.least("matches_a", "matches_b")
+    needed = F.ceil(PERCENT * total / F.lit(100 + PERCENT))
+    most = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    return (F.col("i_a") < F.col("n_a") - needed + matches) & (F.col("i_b") < F.col("n_b") - needed + matches) & (most >= needed)
+
+
 def _parts(postings: DataFrame, groups: DataFrame) -> DataFrame:
     named = groups.withColumnRenamed("node", "doc_id")
     return postings.join(named, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")

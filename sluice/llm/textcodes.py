@@ -59,12 +59,12 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, blank: np.ndarray = _blank) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes, starts and ends of all words, and the index of each text's first word (one more entry than texts)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    blank = _blank[data]
+    blank = blank[data]
     before = np.empty(len(data), bool)
     before[0], before[1:] = True, blank[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -89,7 +89,7 @@ def shingles(codes: np.ndarray, size: int = 5) -> np.ndarray:
 
 def short_shingle(codes: np.ndarray) -> np.ndarray:
     """The whole of a text with fewer words than a shingle has, as one code."""
-    return mix((mix(codes) * STEPS[: len(codes)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(codes)) * STEPS[63])
+    return mix((mix(codes) * STEPS[: len(codes)]).sum(keepdims=True, dtype=np.uint64) + STEPS[40 + len(codes)])
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndarray]]:
