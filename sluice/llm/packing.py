@@ -16,6 +16,7 @@ into CAPACITY-token pieces; null or repeated ids are packed like others (row by
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from bisect import bisect_left, insort
@@ -32,7 +33,7 @@ from sluice.llm.common import Scratch, table
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 DEME_SIZE = 2048
 ISLANDS = 2
 POPULATION = 4
@@ -51,6 +52,7 @@ class WordTokens:
     """Token ids by word code: sorted codes with the place of their ids in one flat array; emptied when full."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,9 +65,10 @@ class WordTokens:
         self.used = 0
 
     def learn(self, codes: np.ndarray, new: list[str]) -> None:
-        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
         lengths, ids = [], []
-        for group, found in zip(groups, self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+        for i in range(0, len(new), 256):
+            group = new[i : i + 256]
+            found = self.tokenizer.encode(group, is_pretokenized=True, add_special_tokens=False)
             lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(group)))
             ids.append(np.array(found.ids, np.uint16))
         lengths, ids = np.concatenate(lengths), np.concatenate(ids)
@@ -99,11 +102,21 @@ class WordTokens:
         return self.flat[shift + np.arange(total)].astype(np.uint32), np.concatenate([[0], ends_])[first]
 
 
+_tokens: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One per worker process, so that later tasks go on with the words that earlier ones have met."""
+    if path not in _tokens:
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]
+
+
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, deal) of every row; deal is a number to deal pieces by."""
 
     def cut(batches):
-        tokens, lane, k = WordTokens(path), TaskContext.get().partitionId(), 0
+        tokens, lane, k = word_tokens(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, out = batch.column("doc_id"), ([], [], [], [], [], [])
             for first, _, data, offsets in textcodes.chunks(batch.column("text")):
