@@ -15,7 +15,7 @@ STEPS = {"started": 0.0, "retry": 0.1, "calling": 0.2, "validating": 0.6, "succe
 
 def start_refine(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
     """Segments and flags newly dropped text files, each file once."""
-    files = spark.readStream.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+    files = spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
 
     def refine(batch: DataFrame, batch_id: int) -> None:
         flag(split_segments(batch), "segment").withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
