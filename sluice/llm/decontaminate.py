@@ -92,9 +92,10 @@ class Items:
         return np.repeat(at, many), self.item[posting], self.place[posting]
 
 
-def band_costs(item: np.ndarray, text: np.ndarray, low: int, costs: np.ndarray) -> np.ndarray:
+def band_costs(item: np.ndarray, text: np.ndarray, low: int, costs: np.ndarray, budget: int) -> np.ndarray:
     """Edit costs of the whole item ending after low + len(item) + b characters of text, for each b of the band; costs are
-    those of ending before the item's first character."""
+    those of ending before the item's first character. Costs never fall from row to row: once all are over the budget, the
+    rest need not be computed."""
     steps = np.arange(len(costs), dtype=np.int64)
     padded = np.concatenate([text.astype(np.int64), [-1]])
     for i in range(1, len(item) + 1):
@@ -104,19 +105,34 @@ def band_costs(item: np.ndarray, text: np.ndarray, low: int, costs: np.ndarray)
         dropped = np.append(costs[1:], FAR) + 1
         dropped = np.where((j >= 0) & (j <= len(text)), dropped, FAR)
         costs = np.minimum.accumulate(np.minimum(replaced, dropped) - steps) + steps
+        if i % 8 == 0 and costs.min() > budget:
+            break
     return costs
 
 
+def find(item: np.ndarray, text: np.ndarray) -> int:
+    """The first place of the item in the text, or -1."""
+    have, want, at = text.tobytes(), item.tobytes(), -1
+    while (at := have.find(want, at + 1)) % 4:
+        if at < 0:
+            return -1
+    return at // 4
+
+
 def align(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best passage whose diagonals lie in low .. low + width, or None beyond the budget."""
+    near = max(0, low)
+    exact = find(item, text[near : max(0, low + width - 1 + len(item))])
+    if exact >= 0:
+        return 0, near + exact, near + exact + len(item)
     begin = low + np.arange(width)
-    ends = band_costs(item, text, low, np.where((begin >= 0) & (begin <= len(text)), 0, FAR))
+    ends = band_costs(item, text, low, np.where((begin >= 0) & (begin <= len(text)), 0, FAR), budget)
     best = int(np.argmin(ends))
     if ends[best] > budget:
         return None
     end = low + len(item) + best
     back = np.arange(2 * budget + 1) - budget
-    starts = band_costs(item[::-1], text[:end][::-1], -budget, np.where(back >= 0, back, FAR))
+    starts = band_costs(item[::-1], text[:end][::-1], -budget, np.where(back >= 0, back, FAR), budget)
     return int(ends[best]), end - (len(item) - budget + int(np.argmin(starts))), end
 
 
@@ -140,6 +156,8 @@ def leaks(items: Items, chars: np.ndarray, begin: np.ndarray) -> Iterator[tuple[
     found, count = np.unique(keys, axis=1, return_counts=True)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for d, k, b in found[:, count >= items.bound[found[1]]].T.tolist():
+        if best.get((d, k), (FAR,))[0] == 0:
+            continue  # bands come in order, so a later one has no earlier exact passage
         text, budget = chars[begin[d] : begin[d + 1]], int(items.edits[k])
         low = b * int(items.band[k]) - budget
         hit = align(items.chars[k], text, low, int(items.band[k]) + 3 * budget + 1, budget)
