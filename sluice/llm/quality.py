@@ -127,6 +127,13 @@ def score(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
     return measures(df, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~compile_rules(rules))
 
 
+def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows whose verdict is kept, with the columns of df. The row number in the filter keeps Catalyst from moving it
+    below the projection, where every measure would be computed again inside the next one's lambdas."""
+    scored = score(df, rules, text).withColumn("_row", F.monotonically_increasing_id())
+    return scored.filter("kept AND _row >= 0").select(*df.columns)
+
+
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
