@@ -6,7 +6,7 @@ of ranks at a greater offset, until the threshold length is reached:
 
 1. GRAM-byte ranks. Every LENGTH-byte window is known by its anchor, the leftmost of its least-ranked GRAM-byte substrings,
    which depends on the window's content alone, so equal windows have equal anchors. Only anchors enter the sort (about one
-   in 18 positions); an anchor that one document has alone drops out, with all windows it stands for.
+   in 14 positions); an anchor that one document has alone drops out, with all windows it stands for.
 2. The run of consecutive windows of one anchor is ranked as a whole. In all but the first document with a run, the run goes.
 3. Anchors that are left with several different runs: every window of those runs is ranked by the pair of its LENGTH/2-byte
    ranks at offsets 0 and LENGTH/2, and goes where an earlier document has the same pair.
@@ -32,7 +32,7 @@ from sluice.llm import textcodes
 from sluice.llm.common import Scratch, table
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 PLACE = np.uint64((1 << 20) - 1)
 SEGMENT = 1 << 19
 
