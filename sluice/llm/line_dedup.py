@@ -28,6 +28,7 @@ BUCKET_SHIFT = 48  # the upper 16 bits: 65,536 buckets
 BUCKETS = 1 << 16
 TIERS = (4, 16, 64, 256, 1024)
 LAST = (1 << 63) - 1
+PROMISING = 8
 
 
 def _split(text: Column) -> Column:
@@ -76,17 +77,19 @@ def by_rarity(tokens: str, tiers: list[tuple[int, list[int]]]) -> Column:
     if not tiers:
         return F.sort_array(tokens)
     cases = " ".join(f"WHEN shiftrightunsigned(t, {BUCKET_SHIFT}) IN ({', '.join(map(str, own))}) THEN {tier}" for tier, own in tiers)
-    return F.expr(f"transform(sort_array(transform({tokens}, t -> struct(CASE {cases} ELSE 0 END AS r, t AS t))), x -> x.t)")
+    some = ", ".join(str(b) for _, own in tiers for b in own)
+    ranked = F.expr(f"transform(sort_array(transform({tokens}, t -> struct(CASE {cases} ELSE 0 END AS r, t AS t))), x -> x.t)")
+    return F.when(F.expr(f"exists({tokens}, t -> shiftrightunsigned(t, {BUCKET_SHIFT}) IN ({some}))"), ranked).otherwise(F.sort_array(tokens))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(_d, _t, line_no, n, sig_a, sig_b, prefix) of every line with words."""
     lines = with_tokens(_lines(docs))
     tiers = frequency_tiers(lines)
-    same = F.sort_array("tokens")
-    return lines.select(
-        "_d", "_t", "line_no", F.size("tokens").alias("n"), F.xxhash64(same).alias("sig_a"), F.xxhash64(F.lit(1), same).alias("sig_b"),
-        F.slice(by_rarity("tokens", tiers), F.lit(1), F.size("tokens") - least_shared(F.size("tokens")) + 1).alias("prefix"),
+    n = F.size("ordered")
+    return lines.withColumn("ordered", by_rarity("tokens", tiers)).select(
+        "_d", "_t", "line_no", n.alias("n"), F.xxhash64("ordered").alias("sig_a"), F.xxhash64(F.lit(1), "ordered").alias("sig_b"),
+        F.slice("ordered", F.lit(1), n - least_shared(n) + 1).alias("prefix"),
     )
 
 
@@ -95,19 +98,30 @@ def least_shared(n: Column) -> Column:
 
 
 def _may_match(a: str, b: str) -> Column:
-    """Length and positional filters for a token at place i of one line's prefix and at place i of the other's."""
+    """Length, prefix and positional filters for a token at place i of both lines' orders: similar lines of n and m tokens
+    share at least o = ceil(75 (n + m) / 175), so the rarest shared one is among the first n - o + 1 and m - o + 1; and at
+    most min(i, i') tokens are shared before this one and min(n - i, m - i') from it on."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
-    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (100 * most >= PERCENT * (n + m - most)) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+    needed = F.ceil((n + m) * PERCENT / F.lit(100 + PERCENT))
+    near = (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (i <= n - needed) & (j <= m - needed)
+    return near & (F.least(i, j) + F.least(n - i, m - j) >= needed)
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The ids x of the pairs (x, y) that are similar enough."""
+def _verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The ids x of the pairs (x, y) that are similar enough; only lines that some pair needs are read again."""
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct().join(named, "id")
+    wanted = ids.groupBy("first._d", "first._t").agg(F.collect_list(F.struct("first.line_no", "id")).alias("w"))
+    texts = _keys(docs).select("_d", "_t", "text").join(wanted, ["_d", "_t"]).dropDuplicates(["_d", "_t"])
+    texts = texts.select(F.explode("w").alias("w"), _split(F.col("text")).alias("l")).select("w.id", F.get("l", F.col("w.line_no")).alias("line"))
+    vectors = scratch.keep(with_tokens(texts).select("id", "tokens"))
+    scratch.release()
     x, y = (vectors.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "xy")
     both = F.size(F.array_intersect("tx", "ty"))
-    return (
-        pairs.join(x, "x").join(y, "y").filter(100 * both >= PERCENT * (F.size("tx") + F.size("ty") - both)).select(F.col("x").alias("id")).distinct()
-    )
+    similar = 100 * both >= PERCENT * (F.size("tx") + F.size("ty") - both)
+    found = scratch.keep(pairs.join(x, "x").join(y, "y").filter(similar).select(F.col("x").alias("id")).distinct())
+    scratch.drop(vectors)
+    scratch.release()
+    return found
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -121,34 +135,36 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             F.col("sig_a").alias("id"), "sig_b", "n", F.struct("f._d", "f._t", "f.line_no").alias("first"), F.col("f.prefix").alias("prefix")
         )
     )
+    scratch.release()
     tokens = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
     several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = scratch.keep(tokens.join(several, "token"))
     scratch.release()
     named = classes.select("id", "first")
     postings = scratch.keep(shared.join(named, "id").select("token", F.struct("first", "id", "n", "i").alias("own")))
-    wanted = postings.select("own.id", "own.first").distinct().groupBy("first._d", "first._t").agg(F.collect_list(F.struct("first.line_no", "id")).alias("w"))
-    texts = _keys(docs).select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(wanted, ["_d", "_t"])
-    texts = texts.select(F.explode("w").alias("w"), _split(F.col("text")).alias("l")).select("w.id", F.get("l", F.col("w.line_no")).alias("line"))
-    vectors = scratch.keep(with_tokens(texts).select("id", "tokens"))
     scratch.drop(shared)
     scratch.release()
 
     leaders = postings.groupBy("token").agg(F.min("own").alias("lead"))
     pairs = (
         postings.join(leaders, "token").filter((F.col("own.id") != F.col("lead.id")) & _may_match("own", "lead"))
-        .select(F.col("own.id").alias("x"), F.col("lead.id").alias("y")).distinct()
+        .groupBy(F.col("own.id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("shared"), F.first(F.least("own.n", "lead.n")).alias("least"))
+        .filter(PROMISING * F.col("shared") >= F.col("least")).select("x", "y")  # the others are left to the last step
     )
     pairs = scratch.keep(pairs)
-    settled = scratch.keep(_verified(pairs, vectors))
+    settled = _verified(scratch, pairs, docs, named)
     unsettled = postings.join(settled.withColumn("done", F.lit(True)), F.col("own.id") == F.col("id"), "left").filter("done IS NULL").select("token", "own")
+    after = F.least(F.first(F.col("own.n")) - F.max("own.i"), F.first(F.col("other.n")) - F.max("other.i")) - 1
     rest = (
         unsettled.join(postings.withColumnRenamed("own", "other"), "token")
         .filter((F.col("other.first") < F.col("own.first")) & _may_match("own", "other"))
-        .select(F.col("own.id").alias("x"), F.col("other.id").alias("y")).distinct()
+        .groupBy(F.col("own.id").alias("x"), F.col("other.id").alias("y"))
+        .agg(F.count("*").alias("shared"), F.first(F.col("own.n") + F.col("other.n")).alias("sum"), after.alias("after"))
+        .withColumn("most", F.col("shared") + F.col("after"))  # those up to the last shared one, and what follows it at most
+        .filter(100 * F.col("most") >= PERCENT * (F.col("sum") - F.col("most"))).select("x", "y")
         .join(pairs, ["x", "y"], "left_anti")
     )
-    settled = settled.union(scratch.keep(_verified(scratch.keep(rest), vectors)))
+    settled = settled.union(_verified(scratch, scratch.keep(rest), docs, named))
     fate = classes.join(settled.withColumn("matched", F.lit(True)), "id", "left").select(F.col("id").alias("sig_a"), "sig_b", "n", "first", "matched")
     return (
         signed.select("_d", "_t", "line_no", "n", "sig_a", "sig_b").join(fate, ["sig_a", "sig_b", "n"])
