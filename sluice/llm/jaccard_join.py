@@ -35,7 +35,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 MAX_MATCHES = 4
 VERIFY_COST = 40.0
-STAR_ROUNDS = 3
+STAR_ROUNDS = 6
 PROMISING = 8
 
 
@@ -165,8 +165,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch.release()
     links = tried = None
     parts = postings.select("*", F.col("doc_id").alias("part"))
-    for _ in range(STAR_ROUNDS):
-        one = parts.groupBy("token", "part").agg(F.min(F.struct("doc_id", "n")).alias("of"))
+    for star in range(STAR_ROUNDS):
+        # another member stands for each component in each round, and the same one in most of its postings
+        one = parts.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(star)).alias("k"), "doc_id", "n")).alias("of"))
         lead = one.groupBy("token").agg(F.min(F.struct("part", "of")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1")
         pairs = (
             one.join(lead, "token").filter(F.col("part") != F.col("lead.part"))
@@ -178,7 +179,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verify(scratch, pairs, docs)
         tried = pairs if tried is None else tried.union(pairs)
-        if links is not None and found.isEmpty():
+        if star > 1 and found.isEmpty():
             break
         links = found if links is None else links.union(found)
         parts = _parts(postings, components(scratch, links))
