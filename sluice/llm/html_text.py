@@ -41,7 +41,6 @@ BLOCK = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section "
     "select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style template svg math iframe object noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK - frozenset("html head body title button option select".split())
 # Elements and class words that mark boilerplate or main text, for the labels of the training sample.
@@ -53,8 +52,9 @@ BOILERPLATE = frozenset(
 MAIN = frozenset("article main content post entry story article-body entry-content post-content".split())
 
 _token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|math|iframe|object|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(?P<code>script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=code)\s*>|\Z)"
+    r"|<(?P<raw>template|iframe|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</(?P=raw)\s*>|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</svg\s*>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|[^<]+|<",
     re.S | re.I,
 )
 _names = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -84,14 +84,14 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     for m in _token.finditer(html):
-        name = m[3]
+        name = m["name"]
         if name is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":  # comments, raw elements and what is cut off within a tag are no text
                 parts.append(piece)
                 linked += len(piece) if links else 0
             continue
-        name, closing = name.lower(), bool(m[2])
+        name, closing = name.lower(), bool(m["close"])
         if name == "br":
             parts.append(" ")
         elif name == "a":
@@ -109,7 +109,7 @@ def blocks(html: str) -> list[Block]:
             if name in CLOSES_P and open_ and open_[-1][0] == "p" or name in ("li", "option", "td", "th", "tr", "dd", "dt") and open_ and open_[-1][0] == name:
                 open_.pop()
             if name not in VOID:
-                words = [w for g in _names.findall(m[4] or "") for w in re.split(r"[\s_]+", "".join(g).lower()) if w]
+                words = [w for g in _names.findall(m["rest"] or "") for w in re.split(r"[\s_]+", "".join(g).lower()) if w]
                 open_.append((name, (name, *words)))
     flush()
     return out
@@ -129,7 +129,7 @@ def features(page: list[Block]) -> np.ndarray:
             x[k, zlib.crc32(name.encode()) % PATH_DIM] = 1.0
             if depth == len(b.path) - 1:
                 x[k, zlib.crc32(b"leaf " + name.encode()) % PATH_DIM] = 1.0
-        words = b.text[:400].split()  # of the vector only: the text itself is never cut
+        words = b.text.split()
         for w in words:
             x[k, PATH_DIM + zlib.crc32(w.lower().encode()) % WORD_DIM] += 1.0
         x[k, PATH_DIM : PATH_DIM + WORD_DIM] /= max(1, len(words))

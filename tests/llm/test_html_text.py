@@ -47,3 +47,20 @@ def test_empty_cases(spark):
     got = ht.extract(df, ht.Labeller()).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "", 0), (2, "", 0), (3, "", 0)]
     assert ht.extract(df.filter("false"), ht.train(df.filter("false"))).count() == 0
+
+
+def test_elements_without_an_end_swallow_nothing():
+    text = lambda page: [b.text for b in ht.blocks(page)]
+    assert text('<p>one</p><svg class="i"/><p>two</p><p>three</p>') == ["one", "two", "three"]
+    assert text("<p>a<svg><text>no</text></svg>b</p><svg/><p>c</p><svg>no</svg>") == ["ab", "c"]
+    for name in ("svg", "math", "iframe", "object", "noscript", "template"):
+        assert text(f"<p>one</p><{name}><p>two</p><p>three</p>") == ["one", "two", "three"]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object>shown</object>") == ["so x=2 holds", "shown"]
+    assert text("<p>one</p><iframe>no</iframe><noscript>no</noscript><script>no <p>cut off") == ["one"]
+
+
+def test_features_of_all_words():
+    same = "word " * 100
+    x = ht.features([ht.Block(("p",), same + "other " * 100, 0)])[0]
+    y = ht.features([ht.Block(("p",), same + "words " * 100, 0)])[0]
+    assert (x != y).any()
