@@ -131,7 +131,6 @@ def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     vectors = scratch.keep(shingle_vectors(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"])))
-    scratch.release()
     found = scratch.keep(
         pairs.join(vectors.select(F.col("doc_id").alias("a"), F.col("codes").alias("x")), "a")
         .join(vectors.select(F.col("doc_id").alias("b"), F.col("codes").alias("y")), "b")
@@ -139,7 +138,6 @@ def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame) -> DataFrame:
         .mapInArrow(exact, "a long, b long")
     )
     scratch.drop(vectors)
-    scratch.release()
     return found
 
 
@@ -162,7 +160,6 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")  # a representative has a token once
     )
     postings = scratch.keep(tokens.join(several, "token"))
-    scratch.release()
     links = tried = None
     parts = postings.select("*", F.col("doc_id").alias("part"))
     for star in range(STAR_ROUNDS):
@@ -199,7 +196,6 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     links = scratch.keep(links.union(verify(scratch, scratch.keep(rest), docs)))
     groups = components(scratch, links).withColumnRenamed("node", "class_id")
-    scratch.release()
     documents = (
         signed.select("doc_id", "n", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b", "n"], "left")
         .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))

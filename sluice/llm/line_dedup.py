@@ -56,19 +56,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return _keys(docs).select("_d", "_t", F.posexplode_outer(_split(F.col("text"))).alias("line_no", "line")).filter(F.col("line").rlike("[^ \\t-\\r]"))
 
 
-def frequency_tiers(lines: DataFrame) -> list[tuple[int, list[int]]]:
+def frequency_tiers(scratch: Scratch, tokenized: DataFrame) -> list[tuple[int, list[int]]]:
     """(tier, its buckets): the few buckets whose load is over TIERS[0] times the mean, at most BUCKETS / TIERS[0] of them."""
-    loads = (
-        lines.select(F.explode_outer("tokens").alias("t"))
-        .filter("t IS NOT NULL")
-        .groupBy(F.shiftrightunsigned("t", BUCKET_SHIFT).alias("bucket"))
-        .agg(F.count("*").alias("n"))
-    )
-    loads = Scratch(lines.sparkSession).keep(loads)  # at most BUCKETS rows
+    loads = tokenized.select(F.explode("tokens").alias("t")).groupBy(F.shiftrightunsigned("t", BUCKET_SHIFT).alias("bucket")).agg(F.count("*").alias("n"))
+    loads = scratch.keep(loads)  # at most BUCKETS rows
     mean = (loads.agg(F.sum("n")).first()[0] or 0) / BUCKETS
     tiers: dict[int, list[int]] = {}
     for r in loads.filter(F.col("n") > TIERS[0] * mean).collect():
         tiers.setdefault(sum(r["n"] > times * mean for times in TIERS), []).append(r["bucket"])
+    scratch.drop(loads)
     return sorted(tiers.items())
 
 
@@ -82,12 +78,10 @@ def by_rarity(tokens: str, tiers: list[tuple[int, list[int]]]) -> Column:
     return F.when(F.expr(f"exists({tokens}, t -> shiftrightunsigned(t, {BUCKET_SHIFT}) IN ({some}))"), ranked).otherwise(F.sort_array(tokens))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(tokenized: DataFrame, tiers: list[tuple[int, list[int]]]) -> DataFrame:
     """(_d, _t, line_no, n, sig_a, sig_b, prefix) of every line with words."""
-    lines = with_tokens(_lines(docs))
-    tiers = frequency_tiers(lines)
     n = F.size("ordered")
-    return lines.withColumn("ordered", by_rarity("tokens", tiers)).select(
+    return tokenized.withColumn("ordered", by_rarity("tokens", tiers)).select(
         "_d", "_t", "line_no", n.alias("n"), F.xxhash64("ordered").alias("sig_a"), F.xxhash64(F.lit(1), "ordered").alias("sig_b"),
         F.slice("ordered", F.lit(1), n - least_shared(n) + 1).alias("prefix"),
     )
@@ -114,36 +108,32 @@ def _verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, named: DataFr
     texts = _keys(docs).select("_d", "_t", "text").join(wanted, ["_d", "_t"]).dropDuplicates(["_d", "_t"])
     texts = texts.select(F.explode("w").alias("w"), _split(F.col("text")).alias("l")).select("w.id", F.get("l", F.col("w.line_no")).alias("line"))
     vectors = scratch.keep(with_tokens(texts).select("id", "tokens"))
-    scratch.release()
     x, y = (vectors.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "xy")
     both = F.size(F.array_intersect("tx", "ty"))
     similar = 100 * both >= PERCENT * (F.size("tx") + F.size("ty") - both)
     found = scratch.keep(pairs.join(x, "x").join(y, "y").filter(similar).select(F.col("x").alias("id")).distinct())
     scratch.drop(vectors)
-    scratch.release()
     return found
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(_d, _t, line_no) of every line that goes."""
+def removed_lines(docs: DataFrame) -> tuple[Scratch, DataFrame]:
+    """(_d, _t, line_no) of every line that goes, and the scratch folder that holds it."""
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.keep(signatures(docs))
-    scratch.release()
-    first = F.min(F.struct("_d", "_t", "line_no", "prefix")).alias("f")
+    tokenized = scratch.keep(with_tokens(_lines(docs)).select("_d", "_t", "line_no", "tokens"))
+    signed = scratch.keep(signatures(tokenized, frequency_tiers(scratch, tokenized)))
+    scratch.drop(tokenized)
+    tokens = signed.select("sig_a", "n", F.posexplode("prefix").alias("i", "token"))
+    several = tokens.groupBy("token").agg(F.min("sig_a").alias("x"), F.max("sig_a").alias("y")).filter("x < y").select("token")
+    several = scratch.keep(several)  # in the prefixes of two or more classes
+    shared = scratch.keep(tokens.join(several, "token").distinct())
+    lines = scratch.keep(signed.drop("prefix"))
+    scratch.drop(several, signed)
     classes = scratch.keep(
-        signed.groupBy("sig_a", "sig_b", "n").agg(first).select(
-            F.col("sig_a").alias("id"), "sig_b", "n", F.struct("f._d", "f._t", "f.line_no").alias("first"), F.col("f.prefix").alias("prefix")
-        )
+        lines.groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("_d", "_t", "line_no")).alias("first")).withColumnRenamed("sig_a", "id")
     )
-    scratch.release()
-    tokens = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
-    several = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    shared = scratch.keep(tokens.join(several, "token"))
-    scratch.release()
     named = classes.select("id", "first")
-    postings = scratch.keep(shared.join(named, "id").select("token", F.struct("first", "id", "n", "i").alias("own")))
+    postings = scratch.keep(shared.withColumnRenamed("sig_a", "id").join(named, "id").select("token", F.struct("first", "id", "n", "i").alias("own")))
     scratch.drop(shared)
-    scratch.release()
 
     leaders = postings.groupBy("token").agg(F.min("own").alias("lead"))
     pairs = (
@@ -165,24 +155,27 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .join(pairs, ["x", "y"], "left_anti")
     )
     settled = settled.union(_verified(scratch, scratch.keep(rest), docs, named))
+    scratch.drop(postings, pairs)
     fate = classes.join(settled.withColumn("matched", F.lit(True)), "id", "left").select(F.col("id").alias("sig_a"), "sig_b", "n", "first", "matched")
-    return (
-        signed.select("_d", "_t", "line_no", "n", "sig_a", "sig_b").join(fate, ["sig_a", "sig_b", "n"])
-        .filter(F.col("matched") | (F.col("first") != F.struct("_d", "_t", "line_no")))
-        .select("_d", "_t", "line_no")
+    gone = scratch.keep(
+        lines.join(fate, ["sig_a", "sig_b", "n"]).filter(F.col("matched") | (F.col("first") != F.struct("_d", "_t", "line_no"))).select("_d", "_t", "line_no")
     )
+    scratch.drop(lines, classes)
+    return scratch, gone
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs, their text without the removed lines, with n_lines and n_removed."""
-    gone = removed_lines(docs).groupBy("_d", "_t").agg(F.collect_set("line_no").alias("_gone"))
+    _, gone = removed_lines(docs)
+    gone = gone.groupBy("_d", "_t").agg(F.collect_set("line_no").alias("_gone"))
     lines = _split(F.col("text"))
-    kept = F.filter(F.col("_lines"), lambda x, i: ~F.coalesce(F.array_contains(F.col("_gone"), i), F.lit(False)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
     count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return (
         _keys(docs).join(gone, ["_d", "_t"], "left").withColumn("_lines", lines)
-        .withColumns({"text": F.array_join(kept, "\n"), "n_lines": count("_lines"), "n_removed": count("_gone")})
+        .withColumns({"text": kept, "n_lines": count("_lines"), "n_removed": count("_gone")})
         .select(*columns, "n_lines", "n_removed")
     )
 

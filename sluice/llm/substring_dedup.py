@@ -152,10 +152,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     several = _anchors(docs).groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     candidates = scratch.keep(_anchors(docs).join(several, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
-    scratch.release()
     runs = scratch.keep(_runs(docs.join(candidates, "doc_id")))
     scratch.drop(candidates)
-    scratch.release()
     first = scratch.keep(runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("first")))
     mixed = first.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     marked = runs.join(first, ["anchor", "run"])
@@ -163,13 +161,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     edges = marked.filter("doc_id = first").join(mixed, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     edges = scratch.keep(edges)
     scratch.drop(runs, first)
-    scratch.release()
     windows = scratch.keep(_windows(docs.join(edges, "doc_id")))
-    scratch.release()
     least = windows.groupBy("head", "tail").agg(F.min("doc_id").alias("first"))
     partial = windows.join(least, ["head", "tail"]).filter("doc_id > first").select("doc_id", "start", F.lit(1).cast("long").alias("n"))
     spans = scratch.keep(later.union(partial).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
-    scratch.release()
     return spans
 
 
