@@ -7,7 +7,7 @@ Lines with equal tokens form a class, represented by its first line; all but the
 tokens are ordered by rarity (frequency tiers counted over all lines in a fixed number of buckets, then the token), each
 class keeps the prefix that a partner must share a token with, and postings are the tokens found in the prefixes of two or
 more classes. Length and positional filters bound the overlap before verification. First each class is compared with the
-earliest class of each of its postings; a match settles it. Only classes that stay unsettled are compared with every earlier
+one that is the earliest class of most of its postings; a match settles it. Only classes that stay unsettled are compared with every earlier
 class in their postings. So a group of near copies costs one comparison per member and token, and nothing is missed.
 
 Defined cases: null text stays null and has no lines; lines without words are never removed; null ids come last in the
@@ -28,7 +28,6 @@ BUCKET_SHIFT = 48  # the upper 16 bits: 65,536 buckets
 BUCKETS = 1 << 16
 TIERS = (4, 16, 64, 256, 1024)
 LAST = (1 << 63) - 1
-PROMISING = 8
 
 
 def _split(text: Column) -> Column:
@@ -97,8 +96,11 @@ def _may_match(a: str, b: str) -> Column:
     most min(i, i') tokens are shared before this one and min(n - i, m - i') from it on."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
     needed = F.ceil((n + m) * PERCENT / F.lit(100 + PERCENT))
-    near = (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (i <= n - needed) & (j <= m - needed)
-    return near & (F.least(i, j) + F.least(n - i, m - j) >= needed)
+    return _sizes_fit(a, b) & (i <= n - needed) & (j <= m - needed) & (F.least(i, j) + F.least(n - i, m - j) >= needed)
+
+
+def _sizes_fit(a: str, b: str) -> Column:
+    return 100 * F.least(f"{a}.n", f"{b}.n") >= PERCENT * F.greatest(f"{a}.n", f"{b}.n")
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
@@ -136,21 +138,21 @@ def removed_lines(docs: DataFrame) -> tuple[Scratch, DataFrame]:
     scratch.drop(shared)
 
     leaders = postings.groupBy("token").agg(F.min("own").alias("lead"))
-    pairs = (
+    pairs = scratch.keep(
         postings.join(leaders, "token").filter((F.col("own.id") != F.col("lead.id")) & _may_match("own", "lead"))
-        .groupBy(F.col("own.id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("shared"), F.first(F.least("own.n", "lead.n")).alias("least"))
-        .filter(PROMISING * F.col("shared") >= F.col("least")).select("x", "y")  # the others are left to the last step
+        .groupBy(F.col("own.id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("shared"))
+        .groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", "best.y")  # the others are left to the last step
     )
-    pairs = scratch.keep(pairs)
     settled = _verified(scratch, pairs, docs, named)
     unsettled = postings.join(settled.withColumn("done", F.lit(True)), F.col("own.id") == F.col("id"), "left").filter("done IS NULL").select("token", "own")
     after = F.least(F.first(F.col("own.n")) - F.max("own.i"), F.first(F.col("other.n")) - F.max("other.i")) - 1
     rest = (
         unsettled.join(postings.withColumnRenamed("own", "other"), "token")
-        .filter((F.col("other.first") < F.col("own.first")) & _may_match("own", "other"))
+        .filter((F.col("other.first") < F.col("own.first")) & _sizes_fit("own", "other"))
         .groupBy(F.col("own.id").alias("x"), F.col("other.id").alias("y"))
-        .agg(F.count("*").alias("shared"), F.first(F.col("own.n") + F.col("other.n")).alias("sum"), after.alias("after"))
-        .withColumn("most", F.col("shared") + F.col("after"))  # those up to the last shared one, and what follows it at most
+        .agg(F.count("*").alias("shared"), F.first(F.col("own.n") + F.col("other.n")).alias("sum"), F.first(F.greatest("own.n", "other.n")).alias("n"), after.alias("after"))
+        # those up to the last shared one, and what follows it at most; or what follows the prefix that ends first
+        .withColumn("most", F.col("shared") + F.least(F.col("after"), least_shared(F.col("n")) - 1))
         .filter(100 * F.col("most") >= PERCENT * (F.col("sum") - F.col("most"))).select("x", "y")
         .join(pairs, ["x", "y"], "left_anti")
     )
