@@ -4,8 +4,8 @@ A line's tokens are its distinct five-word shingles (of a line with fewer words:
 earlier line of any document (by doc_id, then line number) has Jaccard similarity of PERCENT / 100 or more with it.
 
 Lines with equal tokens form a class, represented by its first line; all but the first of a class go. Between classes:
-tokens are ordered by rarity (frequency tiers counted over all lines in a fixed number of buckets, then the token), each
-class keeps the prefix that a partner must share a token with, and postings are the tokens found in the prefixes of two or
+tokens are ordered by rarity (tiers of the most frequent ones, found by a frequent-items sketch over all lines, come last;
+then the token; any order is exact), each class keeps the prefix that a partner must share a token with, and postings are the tokens found in the prefixes of two or
 more classes. Length and positional filters bound the overlap before verification. First each class is compared with the
 one that is the earliest class of most of its postings; a match settles it. Only classes that stay unsettled are compared with every earlier
 class in their postings. So a group of near copies costs one comparison per member and token, and nothing is missed.
@@ -24,9 +24,9 @@ from sluice.llm.common import Scratch, table
 
 PERCENT = 75
 WORDS = 5
-BUCKET_SHIFT = 48  # the upper 16 bits: 65,536 buckets
-BUCKETS = 1 << 16
-TIERS = (4, 16, 64, 256, 1024)
+FREQUENT = 8192
+TRACKED = 1 << 17  # counters of the frequent-items sketch
+OFTEN = 64
 LAST = (1 << 63) - 1
 
 
@@ -55,34 +55,33 @@ def _lines(docs: DataFrame) -> DataFrame:
     return _keys(docs).select("_d", "_t", F.posexplode_outer(_split(F.col("text"))).alias("line_no", "line")).filter(F.col("line").rlike("[^ \\t-\\r]"))
 
 
-def frequency_tiers(scratch: Scratch, tokenized: DataFrame) -> list[tuple[int, list[int]]]:
-    """(tier, its buckets): the few buckets whose load is over TIERS[0] times the mean, at most BUCKETS / TIERS[0] of them."""
-    loads = tokenized.select(F.explode("tokens").alias("t")).groupBy(F.shiftrightunsigned("t", BUCKET_SHIFT).alias("bucket")).agg(F.count("*").alias("n"))
-    loads = scratch.keep(loads)  # at most BUCKETS rows
-    mean = (loads.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+def frequent_tokens(tokenized: DataFrame) -> list[tuple[int, list[int]]]:
+    """(tier, its tokens): the FREQUENT most frequent tokens that OFTEN lines or more have, by powers of four of their counts."""
+    top = tokenized.select(F.explode("tokens").alias("t")).agg(F.expr(f"approx_top_k(t, {FREQUENT}, {TRACKED})").alias("top")).first().top or []
     tiers: dict[int, list[int]] = {}
-    for r in loads.filter(F.col("n") > TIERS[0] * mean).collect():
-        tiers.setdefault(sum(r["n"] > times * mean for times in TIERS), []).append(r["bucket"])
-    scratch.drop(loads)
+    for r in top:
+        if r["count"] >= OFTEN:
+            tiers.setdefault(r["count"].bit_length() // 2, []).append(r["item"])
     return sorted(tiers.items())
 
 
-def by_rarity(tokens: str, tiers: list[tuple[int, list[int]]]) -> Column:
-    """The tokens, rarest first."""
+def by_rarity(tokens: str, prefix: str, tiers: list[tuple[int, list[int]]]) -> Column:
+    """The sorted tokens, rarest first; where the prefix has no frequent one, as they are, since their prefix is the same."""
     if not tiers:
-        return F.sort_array(tokens)
-    cases = " ".join(f"WHEN shiftrightunsigned(t, {BUCKET_SHIFT}) IN ({', '.join(map(str, own))}) THEN {tier}" for tier, own in tiers)
-    some = ", ".join(str(b) for _, own in tiers for b in own)
+        return F.col(tokens)
+    cases = " ".join(f"WHEN t IN ({', '.join(map(str, own))}) THEN {tier}" for tier, own in tiers)
+    some = ", ".join(str(t) for _, own in tiers for t in own)
     ranked = F.expr(f"transform(sort_array(transform({tokens}, t -> struct(CASE {cases} ELSE 0 END AS r, t AS t))), x -> x.t)")
-    return F.when(F.expr(f"exists({tokens}, t -> shiftrightunsigned(t, {BUCKET_SHIFT}) IN ({some}))"), ranked).otherwise(F.sort_array(tokens))
+    return F.when(F.expr(f"exists({prefix}, t -> t IN ({some}))"), ranked).otherwise(F.col(tokens))
 
 
 def signatures(tokenized: DataFrame, tiers: list[tuple[int, list[int]]]) -> DataFrame:
     """(_d, _t, line_no, n, sig_a, sig_b, prefix) of every line with words."""
-    n = F.size("ordered")
-    return tokenized.withColumn("ordered", by_rarity("tokens", tiers)).select(
-        "_d", "_t", "line_no", n.alias("n"), F.xxhash64("ordered").alias("sig_a"), F.xxhash64(F.lit(1), "ordered").alias("sig_b"),
-        F.slice("ordered", F.lit(1), n - least_shared(n) + 1).alias("prefix"),
+    n = F.size("tokens")
+    first = lambda c: F.slice(c, F.lit(1), n - least_shared(n) + 1)
+    return (
+        tokenized.withColumn("head", first("tokens")).withColumn("ordered", by_rarity("tokens", "head", tiers))
+        .select("_d", "_t", "line_no", n.alias("n"), F.xxhash64("tokens").alias("sig_a"), F.xxhash64(F.lit(1), "tokens").alias("sig_b"), first("ordered").alias("prefix"))
     )
 
 
@@ -121,8 +120,8 @@ def _verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, named: DataFr
 def removed_lines(docs: DataFrame) -> tuple[Scratch, DataFrame]:
     """(_d, _t, line_no) of every line that goes, and the scratch folder that holds it."""
     scratch = Scratch(docs.sparkSession)
-    tokenized = scratch.keep(with_tokens(_lines(docs)).select("_d", "_t", "line_no", "tokens"))
-    signed = scratch.keep(signatures(tokenized, frequency_tiers(scratch, tokenized)))
+    tokenized = scratch.keep(with_tokens(_lines(docs)).select("_d", "_t", "line_no", F.sort_array("tokens").alias("tokens")))
+    signed = scratch.keep(signatures(tokenized, frequent_tokens(tokenized)))
     scratch.drop(tokenized)
     tokens = signed.select("sig_a", "n", F.posexplode("prefix").alias("i", "token"))
     several = tokens.groupBy("token").agg(F.min("sig_a").alias("x"), F.max("sig_a").alias("y")).filter("x < y").select("token")
