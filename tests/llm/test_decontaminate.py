@@ -70,3 +70,17 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id, r.edits) for r in dc.find_leaks(docs, bench).collect()) == [(1, 1, 0), (1, 1, 0), (1, 2, 0), (1, 2, 0)]
     assert dc.find_leaks(docs.filter("false"), bench).count() == 0
     assert dc.find_leaks(docs, bench.filter("false")).count() == 0
+
+
+def test_short_items_match_whole_words(spark):
+    docs = spark.createDataFrame([(1, "say Open Sesame\tnow"), (2, "reopen sesames"), (3, "open sesame"), (4, "open  sesame"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "open sesame"), (8, "now"), (9, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_char, r.end_char, r.edits) for r in dc.find_leaks(docs, bench).collect()}
+    assert got == {(1, 7, 4, 15, 0), (1, 8, 16, 19, 0), (3, 7, 0, 11, 0)}
+
+
+def test_query_lists_the_leaks(spark, tmp_path):
+    item = "an item text that is certainly long enough to count"
+    spark.createDataFrame([(1, "so " + item), (2, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id) for r in dc.query(spark, str(tmp_path)).collect()] == [(1, 4)]
