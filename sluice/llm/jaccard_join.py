@@ -5,8 +5,9 @@ Documents are sets of five-word shingles; two are linked when 100 * |A & B| >= 7
 1. Shingle frequencies over all documents go into a table of BUCKETS counters (a fixed size, so it may be broadcast); the
    order "rarer bucket first, then code" is total, which is all that prefix filtering needs to be exact.
 2. A document of n shingles must share at least a = ceil(0.75 n) with a partner, so the L rarest shared shingles lie among
-   its n - a + L rarest ones. Each document takes the L in 1..MAX_MATCHES with the least estimated cost: postings read
-   plus verifications, which fall as more matches are required. A pair of prefixes with L and M needs min(L, M) matches.
+   its n - a + L rarest ones. Each document takes the L in MATCHES (at most a) with the least estimated cost: postings read
+   plus verifications, which fall as more matches are required. A pair of prefixes with L and M needs min(L, M) matches, so
+   a document with fewer shared tokens in its prefix than any partner's L allows drops out before pairs are made.
 3. Documents with equal sets form a class and are represented by their least id.
 4. Postings: shingles in the prefixes of two or more representatives. First every representative is compared with those
    leaders of its postings that it shares many with, and linked ones are joined into components; this is repeated while it finds links. Then
@@ -33,9 +34,9 @@ from sluice.llm.components import components
 PERCENT = 75
 BITS = 20
 BUCKETS = 1 << BITS
-MAX_MATCHES = 4
+MATCHES = (4, 8)
 VERIFY_COST = 40.0
-STAR_ROUNDS = 6
+STAR_ROUNDS = 3
 PROMISING = 8
 
 
@@ -69,13 +70,19 @@ def prefix(codes: np.ndarray, counts: np.ndarray, usual: float) -> tuple[int, np
     n, loads = len(codes), counts[_bucket(codes)]
     ordered = np.lexsort((codes, loads))
     shared = least_shared(n)
-    most = min(MAX_MATCHES, shared)
+    least, most = (min(m, shared) for m in MATCHES)
     extra = np.maximum(loads[ordered[: n - shared + most]] - usual, 0.0)
-    postings = np.cumsum(extra)[n - shared :]
-    matches = 1 + int(np.argmin(postings * (1.0 + VERIFY_COST / np.arange(1, most + 1))))
+    postings = np.cumsum(extra)[n - shared + least - 1 :]
+    matches = least + int(np.argmin(postings * (1.0 + VERIFY_COST / np.arange(least, most + 1))))
     return matches, codes[ordered[: n - shared + matches]]
 
 
+def least_matches(n):
+    """Matches that a pair of a document of n tokens needs at least: a partner has ceil(0.75 n) tokens or more."""
+    smallest = F.ceil(PERCENT * n / F.lit(100))
+    return F.least(F.lit(MATCHES[0]), F.ceil(PERCENT * smallest / F.lit(100)))
+
+
 def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(doc_id, n, sig_a, sig_b, matches, prefix) for every row."""
     filled = counts[counts > 0]
@@ -152,14 +159,17 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = scratch.keep(signatures(docs, bucket_counts(docs)))
-    same = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("class_id"))
-    classes = scratch.keep(same)
-    of_class = signed.join(classes, ["sig_a", "sig_b", "n"])
-    tokens = of_class.filter("doc_id = class_id").select(F.posexplode("prefix").alias("i", "token"), "doc_id", F.col("n").cast("int"), "matches")
-    several = (
-        tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")  # a representative has a token once
-    )
-    postings = scratch.keep(tokens.join(several, "token"))
+    rows = scratch.keep(signed.drop("prefix", "matches"))
+    classes = scratch.keep(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("class_id")))
+    tokens = signed.filter("n > 0 AND doc_id IS NOT NULL").select(F.posexplode("prefix").alias("i", "token"), "sig_a", F.col("n").cast("int"), "matches")
+    several = tokens.groupBy("token").agg(F.min("sig_a").alias("x"), F.max("sig_a").alias("y")).filter("x < y").select("token")
+    several = scratch.keep(several)  # in the prefixes of two or more classes
+    shared = scratch.keep(tokens.join(several, "token").distinct())
+    scratch.drop(signed, several)
+    enough = shared.groupBy("sig_a").agg(F.count("*").alias("c"), F.first("n").alias("m")).filter(F.col("c") >= least_matches(F.col("m"))).select("sig_a")
+    named = classes.select("sig_a", F.col("class_id").alias("doc_id"))
+    postings = scratch.keep(shared.join(enough, "sig_a").join(named, "sig_a").select("token", "i", "doc_id", "n", "matches"))
+    scratch.drop(shared)
     links = tried = None
     parts = postings.select("*", F.col("doc_id").alias("part"))
     for star in range(STAR_ROUNDS):
@@ -176,7 +186,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verify(scratch, pairs, docs)
         tried = pairs if tried is None else tried.union(pairs)
-        if star > 1 and found.isEmpty():
+        if star and found.isEmpty():
             break
         links = found if links is None else links.union(found)
         parts = _parts(postings, components(scratch, links))
@@ -197,7 +207,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = scratch.keep(links.union(verify(scratch, scratch.keep(rest), docs)))
     groups = components(scratch, links).withColumnRenamed("node", "class_id")
     documents = (
-        signed.select("doc_id", "n", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b", "n"], "left")
+        rows.join(classes, ["sig_a", "sig_b", "n"], "left")
         .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
         .join(groups, "class_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
