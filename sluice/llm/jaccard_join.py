@@ -9,8 +9,8 @@ Documents are sets of five-word shingles; two are linked when 100 * |A & B| >= 7
    plus verifications, which fall as more matches are required. A pair of prefixes with L and M needs min(L, M) matches, so
    a document with fewer shared tokens in its prefix than any partner's L allows drops out before pairs are made.
 3. Documents with equal sets form a class and are represented by their least id.
-4. Postings: shingles in the prefixes of two or more representatives. First every representative is compared with those
-   leaders of its postings that it shares many with, and linked ones are joined into components; this is repeated while it finds links. Then
+4. Postings: shingles in the prefixes of two or more representatives. First every representative is compared with that
+   leader of its postings that it shares most with, and linked ones are joined into components; this is repeated while it finds links. Then
    the pairs that are still in different components are matched completely. No pair within a component is ever emitted.
 
 The result lists each document with its class and component; links within a component need no pairs, and no link between
@@ -36,7 +36,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 MATCHES = (4, 8)
 VERIFY_COST = 40.0
-STAR_ROUNDS = 3
+STAR_ROUNDS = 6
 PROMISING = 8
 
 
@@ -179,14 +179,15 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = (
             one.join(lead, "token").filter(F.col("part") != F.col("lead.part"))
             .filter(_sizes_fit("of.n", "lead.of.n"))
-            .select(F.greatest("of.doc_id", "lead.of.doc_id").alias("a"), F.least("of.doc_id", "lead.of.doc_id").alias("b"), F.least("of.n", "lead.of.n").alias("least"))
-            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
-            .filter(PROMISING * F.col("shared") >= F.col("least")).select("a", "b")  # the others are left to the last step
+            .groupBy(F.col("of.doc_id").alias("own"), F.col("lead.of.doc_id").alias("other")).agg(F.count("*").alias("shared"), F.min(F.least("of.n", "lead.of.n")).alias("least"))
+            .filter(PROMISING * F.col("shared") >= F.col("least"))
+            .groupBy("own").agg(F.max(F.struct("shared", "other")).alias("best"))  # the others are left to later rounds and the last step
+            .select(F.greatest("own", "best.other").alias("a"), F.least("own", "best.other").alias("b")).distinct()
         )
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = verify(scratch, pairs, docs)
         tried = pairs if tried is None else tried.union(pairs)
-        if star and found.isEmpty():
+        if star > 1 and found.isEmpty():
             break
         links = found if links is None else links.union(found)
         parts = _parts(postings, components(scratch, links))
