@@ -191,8 +191,12 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         links = found if links is None else links.union(found)
         parts = _parts(postings, components(scratch, links))
-    split = parts.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
-    left = scratch.keep(parts.join(split, "token"))
+    left = parts
+    for _ in range(2):  # tokens of several components, in documents that share enough of those
+        split = left.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
+        left = scratch.keep(left.join(split, "token"))
+        enough = left.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("n").alias("m")).filter(F.col("c") >= least_matches(F.col("m"))).select("doc_id")
+        left = scratch.keep(left.join(enough, "doc_id"))
     a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "i", "matches", "part"))) for s in "ab")
     rest = (
         a.join(b, "token").filter((F.col("part_a") < F.col("part_b")) & _sizes_fit("n_a", "n_b") & _places_fit())
