@@ -64,8 +64,12 @@ def to_markdown(docs: DataFrame) -> DataFrame:
 
     lists = F.flatten(F.array(*[_labelled(f, label) for f, label, _, _ in LABELS]))
     tail = F.when(F.size(lists) > 0, F.concat(F.lit("## 异常清单\n\n"), F.array_join(lists, "\n"), F.lit("\n"))).otherwise("")
-    head = F.format_string("# %s\n\n> 文档类型: %s | 知识原子: %d | QA 对: %d\n\n---\n\n", F.coalesce("source", F.lit("")), F.coalesce("doc_type", F.lit("")), "total_chunks", "total_qa_pairs")
-    return docs.select("doc_id", F.concat(head, F.array_join(F.transform("knowledge_atoms", atom), ""), tail).alias("value"))
+    has = {f.name for f in docs.schema["quality_summary"].dataType.fields}
+    number = lambda f: F.coalesce(F.col(f"quality_summary.{f}"), F.lit(0)) if f in has else F.lit(0)
+    share = lambda f: F.format_string("%.0f%%", number(f).cast("double") * 100)
+    quality = F.format_string("> 覆盖率: %s | 平均置信度: %s | 异常项: %d\n\n---\n\n", share("coverage_rate"), share("avg_confidence"), number("exception_count"))
+    head = F.format_string("# %s\n\n> 文档类型: %s | 知识原子: %d | QA 对: %d\n\n", F.coalesce("source", F.lit("")), F.coalesce("doc_type", F.lit("")), "total_chunks", "total_qa_pairs")
+    return docs.select("doc_id", F.concat(head, quality, F.array_join(F.transform("knowledge_atoms", atom), ""), tail).alias("value"))
 
 
 def _labelled(field: str, label: str) -> Column:
@@ -74,11 +78,13 @@ def _labelled(field: str, label: str) -> Column:
 
 
 def to_summary_csv(docs: DataFrame) -> DataFrame:
-    """A row per Q&A with its atom; keywords joined by ', '."""
-    return _qa(docs).select(
+    """A row per Q&A with its atom, keywords joined by ', '; a blank row for a document without Q&A."""
+    rows = _qa(docs).select(
         _text("chunk_id").alias("知识原子ID"), _text("title").alias("标题"), _text("question").alias("问题"), _text("answer").alias("答案"),
         F.coalesce("confidence_score", F.lit(0)).cast("string").alias("置信度(%)"), _text("doc_type").alias("类型"), F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), ", ").alias("关键词"),
     )
+    blank = docs.filter(~F.exists("knowledge_atoms", lambda a: F.coalesce(F.size(a["qa_pairs"]), F.lit(0)) > 0))
+    return rows.unionByName(blank.select(*[F.lit("").alias(c) for c in rows.columns]))
 
 
 FORMATS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
@@ -98,7 +104,7 @@ def export(docs: DataFrame, fmt: str, path: str) -> None:
     build, extension = FORMATS[fmt]
     out = build(docs)
     if extension == ".csv":
-        out.write.csv(path, header=True, quoteAll=True, escape='"', lineSep="\n")
+        out.write.csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n")
     else:
         out.select("value").write.text(path)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The placeholder of a missing tag, the tag fields and the exception fields in order.
 MISSING = "【人工补全项】"
+UNTAGGED = "；Stage 4 缺少 metadata"
 TAGS = ("target_audience", "business_module", "knowledge_type", "version_timeliness", "summary")
 FIELDS = (
     "content_conflicts", "missing_info", "vague_items", "expired_items", "chunk_anomalies", "truncated_items", "sensitive_items",
@@ -17,8 +18,9 @@ FIELDS = (
 
 
 def last_by_chunk(stage: DataFrame, order: str) -> DataFrame:
-    """Of rows with one (doc_id, chunk_id), the last."""
-    w = Window.partitionBy("doc_id", "chunk_id").orderBy(F.desc(order))
+    """Of rows with one (doc_id, chunk_id), the last by the order column; where there is none, the one with the greatest hash."""
+    last = F.desc(order) if order in stage.columns else F.desc(F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in sorted(stage.columns)]))
+    w = Window.partitionBy("doc_id", "chunk_id").orderBy(last)
     return stage.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
@@ -28,7 +30,11 @@ def default_tags() -> Column:
 
 def assemble(stage2: DataFrame, stage3: DataFrame, stage4: DataFrame, doc_types: DataFrame) -> DataFrame:
     """Chunks left joined with Q&A (doc_id, chunk_id, qa_pairs) and tags (doc_id, chunk_id, metadata, doc_type, remark): every
-    chunk stays, in order; where a side is missing, tags and type get their defaults and missing says which."""
+    chunk stays, in order; where a side is missing, tags and type get their defaults, Q&A are empty, and missing says which. Of
+    rows that repeat a chunk id the last one counts (by chunk_no, and by pos in stages 3 and 4), at the place of the first."""
+    place = Window.partitionBy("doc_id", "chunk_id")
+    stage2 = last_by_chunk(stage2.withColumn("_first", F.min("chunk_no").over(place)), "chunk_no").withColumn("chunk_no", F.col("_first")).drop("_first")
+    stage3, stage4 = last_by_chunk(stage3, "pos"), last_by_chunk(stage4, "pos")
     qa = stage3.select("doc_id", "chunk_id", "qa_pairs")
     tags = stage4.select("doc_id", "chunk_id", "metadata", F.col("doc_type").alias("_t"), F.col("remark").alias("_r4"))
     both = stage2.join(qa, ["doc_id", "chunk_id"], "left").join(tags, ["doc_id", "chunk_id"], "left").join(
@@ -36,11 +42,13 @@ def assemble(stage2: DataFrame, stage3: DataFrame, stage4: DataFrame, doc_types:
     )
     no_qa, no_tags = F.col("qa_pairs").isNull(), F.col("metadata").isNull()
     remarks = F.array(F.coalesce("remark", F.lit("")), F.coalesce("_r4", F.lit("")))
+    untagged = F.concat(F.coalesce("remark", F.lit("")), F.lit(UNTAGGED))
     missing = F.array(F.when(no_qa, F.concat("chunk_id", F.lit(": Stage 3 缺少 qa_pairs"))), F.when(no_tags, F.concat("chunk_id", F.lit(": Stage 4 缺少 metadata"))))
     return both.withColumns(
         {
             "missing": F.array_compact(missing),
-            "remark": F.array_join(F.filter(remarks, lambda r: F.trim(r) != ""), "；"),
+            "remark": F.when(no_tags, untagged).otherwise(F.array_join(F.filter(remarks, lambda r: F.trim(r) != ""), "；")),
+            "qa_pairs": F.coalesce("qa_pairs", F.array().cast(stage3.schema["qa_pairs"].dataType)),
             "doc_type": F.coalesce("_t", "_d"),
             "metadata": F.coalesce("metadata", default_tags()),
         }
@@ -52,11 +60,17 @@ def missing_parts(assembled: DataFrame) -> DataFrame:
     return assembled.select("doc_id", "chunk_no", F.posexplode("missing").alias("part", "item"))
 
 
-def merge_exceptions(*stages: DataFrame) -> DataFrame:
-    """(doc_id, field, items) of exceptions (doc_id, stage, field, pos, item): appended in stage order, repeats dropped."""
+def merge_exceptions(*stages: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """(doc_id, field, items) of exceptions (doc_id, stage, field, pos, item): appended in stage order, repeats dropped; the
+    rows of missing_parts() follow in missing_info as they are."""
     every = reduce(DataFrame.unionByName, stages)
     once = every.groupBy("doc_id", "field", "item").agg(F.min(F.struct("stage", "pos")).alias("at"))
-    return once.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("p")).select("doc_id", "field", F.col("p.item").alias("items"))
+    lists = once.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("p")).select("doc_id", "field", F.col("p.item").alias("items"))
+    if missing is None:
+        return lists
+    more = missing.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "part", "item"))).alias("p")).select("doc_id", F.lit("missing_info").alias("field"), F.col("p.item").alias("more"))
+    none = F.array().cast("array<string>")
+    return lists.join(more, ["doc_id", "field"], "full").select("doc_id", "field", F.concat(F.coalesce("items", none), F.coalesce("more", none)).alias("items"))
 
 
 def document_info(atoms: DataFrame, processing_date: str) -> DataFrame:

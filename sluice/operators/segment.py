@@ -77,6 +77,10 @@ def merge_items(stage1: DataFrame, col: str = "items") -> DataFrame:
     return ordered.select("doc_id", F.array_distinct(F.flatten("p.x")).alias(col))
 
 
+#: A whole chunk id, or a stretch without one.
+ID_OR_REST = r"((?<![A-Za-z0-9])(?:P\d+-)?C\d+|(?:(?!(?<![A-Za-z0-9])(?:P\d+-)?C\d+)[\s\S])+)"
+
+
 def renumber_chunks(stage2: DataFrame, prefix: str = "P1") -> DataFrame:
     """Adds chunk_no and new_chunk_id, consecutive per document over segments and positions."""
     order = Window.partitionBy("doc_id").orderBy("seg_no", "chunk_pos")
@@ -84,12 +88,13 @@ def renumber_chunks(stage2: DataFrame, prefix: str = "P1") -> DataFrame:
 
 
 def remap_exceptions(exceptions: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Replaces the old chunk ids of a segment in exception texts by the new ones, through placeholders, so that crossing
-    ids do not meet. exceptions: (doc_id, seg_no, item, ...); numbered: the result of renumber_chunks."""
-    ids = numbered.groupBy("doc_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_id", "new_chunk_id"))).alias("_m"))
-    out = F.aggregate(F.coalesce("_m", F.array().cast("array<struct<chunk_no:int,chunk_id:string,new_chunk_id:string>>")), F.col("item"), lambda t, m: F.replace(t, m["chunk_id"], F.concat(F.lit("\x00"), m["chunk_no"].cast("string"), F.lit("\x00"))))
-    back = F.aggregate(F.coalesce("_m", F.array().cast("array<struct<chunk_no:int,chunk_id:string,new_chunk_id:string>>")), F.col("_t"), lambda t, m: F.replace(t, F.concat(F.lit("\x00"), m["chunk_no"].cast("string"), F.lit("\x00")), m["new_chunk_id"]))
-    return exceptions.join(ids, ["doc_id", "seg_no"], "left").withColumn("_t", out).withColumn("item", back).drop("_t", "_m")
+    """Replaces the old chunk ids of a segment in exception texts by the new ones, each whole id by itself, so that crossing
+    ids do not meet and no id is taken for a part of a longer one. exceptions: (doc_id, seg_no, item, ...); numbered: the
+    result of renumber_chunks."""
+    ids = numbered.groupBy("doc_id", "seg_no").agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", "new_chunk_id"))).alias("_m"))
+    pieces = F.regexp_extract_all("item", F.lit(ID_OR_REST), F.lit(1))
+    back = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("_m", p), p)), "")
+    return exceptions.join(ids, ["doc_id", "seg_no"], "left").withColumn("item", F.when(F.col("_m").isNull(), F.col("item")).otherwise(back)).drop("_m")
 
 
 def batch_chunks(chunks: DataFrame, size: int = BATCH) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 TOP_KEYS = ("document_info", "knowledge_atoms", "exception_list", "quality_summary")
 INFO_KEYS = ("source", "doc_type", "total_chunks", "total_qa_pairs", "processing_date")
 ATOM_KEYS = ("chunk_id", "title", "content", "doc_type", "metadata", "qa_pairs", "remark")
+META_KEYS = ("target_audience", "business_module", "knowledge_type", "version_timeliness", "summary")
 QA_KEYS = ("question", "answer", "keywords", "confidence_score", "remark")
 SUMMARY_KEYS = ("avg_confidence", "low_confidence_count", "exception_count", "needs_review")
 ADVICE = ("建议联系", "建议您", "可以尝试", "可以联系")
@@ -29,25 +30,43 @@ def _lacking(keys: Column, wanted: tuple[str, ...], prefix: str) -> Column:
     return F.transform(F.array_except(F.array(*[F.lit(k) for k in wanted]), keys), lambda k: F.concat(F.lit(prefix), k))
 
 
+def _with_info(docs: DataFrame, raw: str) -> DataFrame:
+    """Only records with document_info are checked any further."""
+    return docs.filter(F.array_contains(_keys(F.col(raw)), "document_info"))
+
+
 def check_document(docs: DataFrame, raw: str = "raw") -> DataFrame:
-    """(doc_id, error): keys missing from the record and its info; a record without info is checked no further."""
+    """(doc_id, error): keys missing from the record and its info, no atoms; a record without info is checked no further."""
     top, info = F.col(raw), F.get_json_object(raw, "$.document_info")
-    lists = F.get_json_object(raw, "$.quality_summary")
+    lists, atoms = F.get_json_object(raw, "$.quality_summary"), F.from_json(F.get_json_object(raw, "$.knowledge_atoms"), "array<string>")
+    no_atoms = F.when(F.coalesce(F.size(atoms), F.lit(0)) <= 0, F.array(F.lit("knowledge_atoms empty"))).otherwise(F.array().cast("array<string>"))
     errors = F.concat(
         _lacking(_keys(top), TOP_KEYS, "missing: "),
-        F.when(info.isNull(), F.array().cast("array<string>")).otherwise(F.concat(_lacking(_keys(info), INFO_KEYS, "document_info missing: "), _lacking(_keys(lists), SUMMARY_KEYS, "quality_summary missing: "))),
+        F.when(~F.array_contains(_keys(top), "document_info"), F.array().cast("array<string>"))
+        .otherwise(F.concat(_lacking(_keys(info), INFO_KEYS, "document_info missing: "), no_atoms, _lacking(_keys(lists), SUMMARY_KEYS, "quality_summary missing: "))),
     )
     return docs.select("doc_id", F.explode(errors).alias("error"))
 
 
 def check_atoms(docs: DataFrame, raw: str = "raw") -> DataFrame:
-    """(doc_id, atom, error): atom keys that are missing, told by the raw JSON, and malformed chunk ids."""
-    atoms = docs.select("doc_id", F.posexplode(F.from_json(F.get_json_object(raw, "$.knowledge_atoms"), "array<string>")).alias("atom", "_a"))
+    """(doc_id, atom, error): keys of atoms, their metadata and their pairs that are missing, told by the raw JSON, and
+    malformed chunk ids."""
+    atoms = _with_info(docs, raw).select("doc_id", F.posexplode(F.from_json(F.get_json_object(raw, "$.knowledge_atoms"), "array<string>")).alias("atom", "_a"))
     bad_id = ~F.coalesce(F.get_json_object("_a", "$.chunk_id").rlike(CHUNK_ID), F.lit(False))
-    errors = F.concat(_lacking(_keys(F.col("_a")), ATOM_KEYS, "missing: "), F.array_compact(F.array(F.when(bad_id, F.lit("bad chunk_id")))))
+    pairs = F.coalesce(F.from_json(F.get_json_object("_a", "$.qa_pairs"), "array<string>"), F.array().cast("array<string>"))
+    of_pair = lambda q, i: F.transform(F.array_except(F.array(*[F.lit(k) for k in QA_KEYS]), _keys(q)), lambda k: F.concat(F.lit("QA["), i.cast("string"), F.lit("] missing: "), k))
+    errors = F.concat(
+        _lacking(_keys(F.col("_a")), ATOM_KEYS, "missing: "), _lacking(_keys(F.get_json_object("_a", "$.metadata")), META_KEYS, "metadata missing: "),
+        F.flatten(F.transform(pairs, of_pair)), F.array_compact(F.array(F.when(bad_id, F.lit("bad chunk_id")))),
+    )
     return atoms.select("doc_id", "atom", F.explode(errors).alias("error"))
 
 
+def warn_keywords(qa: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, qa_no, warning): pairs without keywords."""
+    return qa.filter(F.coalesce(F.size("keywords"), F.lit(0)) <= 0).select("doc_id", "chunk_id", "qa_no", F.lit("no keywords").alias("warning"))
+
+
 def check_qa(qa: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, qa_no, error)"""
     score = F.col("confidence_score")
@@ -56,8 +75,9 @@ def check_qa(qa: DataFrame) -> DataFrame:
 
 
 def warn_atoms(atoms: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, warning): titles without their 【…】 prefix, summaries over 20 characters."""
-    warnings = F.array_compact(F.array(F.when(~F.coalesce(F.col("title").rlike("^【.+】"), F.lit(False)), "bare title"), F.when(F.length("summary") > 20, "long summary")))
+    """(doc_id, chunk_id, warning): titles that lack their 【…】 prefix (empty ones do not count), summaries over 20 characters."""
+    bare = (F.coalesce("title", F.lit("")) != "") & ~F.coalesce(F.col("title").rlike("^【.+】"), F.lit(False))
+    warnings = F.array_compact(F.array(F.when(bare, "bare title"), F.when(F.length("summary") > 20, "long summary")))
     return atoms.select("doc_id", "chunk_id", F.explode(warnings).alias("warning"))
 
 
@@ -87,7 +107,7 @@ def check_lists(docs: DataFrame, fields: tuple[str, ...], raw: str = "raw") -> D
     kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
     errors = [F.when(~F.coalesce(F.startswith(kind(f"$.exception_list.{f}"), F.lit("ARRAY")), F.lit(False)), F.lit(f"{f}: no list")) for f in fields]
     errors.append(F.when(~F.coalesce(kind("$.quality_summary.needs_review") == "BOOLEAN", F.lit(False)), F.lit("needs_review: no boolean")))
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*errors))).alias("error"))
+    return _with_info(docs, raw).select("doc_id", F.explode(F.array_compact(F.array(*errors))).alias("error"))
 
 
 def format_verdict(docs: DataFrame, errors: DataFrame, warnings: DataFrame) -> DataFrame:

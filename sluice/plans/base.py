@@ -77,8 +77,8 @@ tasks AS (
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two records for each even task, the second a day later."""
-    t = tasks(spark, sf_dir).filter("task_id % 2 = 0")
+    """Two records for each task with a file, the second a day later; tasks of views have none."""
+    t = tasks(spark, sf_dir).filter("file_size > 0")
     return t.select("task_id", "user_id", F.explode(F.array(F.lit(0), F.lit(86400))).alias("d"), "created_at", "token_consumed").select(
         "task_id", "user_id", (F.col("created_at") + F.col("d")).alias("consumed_at"), (F.col("token_consumed") % 40).cast("long").alias("tokens")
     )
@@ -86,7 +86,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEDGER = """
 ledger AS (
-  SELECT task_id, user_id, created_at + d AS consumed_at, token_consumed % 40 AS tokens FROM tasks, (VALUES (0), (86400)) AS v(d) WHERE CAST(task_id AS BIGINT) % 2 = 0
+  SELECT task_id, user_id, created_at + d AS consumed_at, token_consumed % 40 AS tokens FROM tasks, (VALUES (0), (86400)) AS v(d) WHERE file_size > 0
 )"""
 
 

@@ -40,7 +40,7 @@ def _assembled(spark, sf_dir):
 
 JOINED = BASE + """, pairs AS (SELECT doc_id, chunk_id, count(*) AS n FROM qa GROUP BY doc_id, chunk_id), joined AS (
   SELECT l.doc_id, l.chunk_no, l.chunk_id, coalesce(p.n, 0) AS n_qa, p.n IS NULL AS no_qa, t.doc_id IS NULL AS no_tags, CASE WHEN t.doc_id IS NULL THEN l.doc_type ELSE 'FAQ' END AS doc_type,
-         concat_ws('；', nullif(l.remark, ''), CASE WHEN t.toxic = 1 THEN 'toxic' END) AS remark
+         CASE WHEN t.doc_id IS NULL THEN coalesce(l.remark, '') || '；Stage 4 缺少 metadata' ELSE concat_ws('；', nullif(l.remark, ''), CASE WHEN t.toxic = 1 THEN 'toxic' END) END AS remark
   FROM lines AS l LEFT JOIN pairs AS p USING (doc_id, chunk_id) LEFT JOIN labels AS t ON t.doc_id = l.doc_id AND l.chunk_no = 1
 )"""
 
@@ -152,7 +152,9 @@ def _raw(spark, sf_dir):
 
 @query("""SELECT doc_id, 'missing: document_info' AS error FROM documents WHERE doc_id % 4 = 1
 UNION ALL SELECT doc_id, e FROM documents, (VALUES ('document_info missing: total_qa_pairs'), ('quality_summary missing: avg_confidence'), ('quality_summary missing: low_confidence_count'), ('quality_summary missing: exception_count')) AS v(e) WHERE doc_id % 4 <> 1
-UNION ALL SELECT doc_id, '0 missing: remark' FROM documents UNION ALL SELECT doc_id, '0 bad chunk_id' FROM documents WHERE doc_id % 4 = 2
+UNION ALL SELECT doc_id, '0 missing: remark' FROM documents WHERE doc_id % 4 <> 1
+UNION ALL SELECT doc_id, '0 metadata missing: ' || k FROM documents, (VALUES ('target_audience'), ('business_module'), ('knowledge_type'), ('version_timeliness'), ('summary')) AS v(k) WHERE doc_id % 4 <> 1
+UNION ALL SELECT doc_id, '0 bad chunk_id' FROM documents WHERE doc_id % 4 = 2
 UNION ALL SELECT doc_id, e FROM documents, (VALUES ('vague_items: no list'), ('needs_review: no boolean')) AS v(e) WHERE doc_id % 4 = 3""")
 def format_errors(spark, sf_dir):
     raw = _raw(spark, sf_dir)
@@ -228,7 +230,8 @@ def export_dify_jsonl(spark, sf_dir):
 
 
 @query(SEEN + """ SELECT s.chunk_id AS "知识原子ID", l.title AS "标题", question AS "问题", answer AS "答案", CAST(confidence_score AS VARCHAR) AS "置信度(%)",
-CASE WHEN t.doc_id IS NULL THEN l.doc_type ELSE 'FAQ' END AS "类型", 'k, w' AS "关键词" FROM seen AS s JOIN lines AS l USING (doc_id, chunk_id) LEFT JOIN labels AS t ON t.doc_id = s.doc_id AND l.chunk_no = 1""")
+CASE WHEN t.doc_id IS NULL THEN l.doc_type ELSE 'FAQ' END AS "类型", 'k, w' AS "关键词" FROM seen AS s JOIN lines AS l USING (doc_id, chunk_id) LEFT JOIN labels AS t ON t.doc_id = s.doc_id AND l.chunk_no = 1
+UNION ALL SELECT '', '', '', '', '', '', '' FROM (SELECT DISTINCT doc_id FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM seen))""")
 def export_summary_csv(spark, sf_dir):
     return export.to_summary_csv(_documents(spark, sf_dir))
 

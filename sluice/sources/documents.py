@@ -77,18 +77,40 @@ RECORD = (
 
 
 def read_kb_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of finished documents, one JSON file each; a missing coverage_rate is 0."""
-    raw = spark.read.schema(RECORD).json(path, multiLine=True, columnNameOfCorruptRecord="_corrupt_record")
-    good = raw.filter("_corrupt_record IS NULL").drop("_corrupt_record")
+    """(records, rejects) of finished documents, one JSON file each, both with the file's path; a missing coverage_rate is 0,
+    and what is no JSON object is rejected with its text."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    raw = files.withColumn("r", F.from_json("value", RECORD, options)).withColumn("_bad", F.col("r").isNull() | F.col("r._corrupt_record").isNotNull())
     rate = F.coalesce("quality_summary.coverage_rate", F.lit(0.0))
-    return good.withColumn("quality_summary", F.col("quality_summary").withField("coverage_rate", rate)), raw.filter("_corrupt_record IS NOT NULL").select("_corrupt_record")
+    good = raw.filter("NOT _bad").select("path", "r.*").drop("_corrupt_record")
+    return good.withColumn("quality_summary", F.col("quality_summary").withField("coverage_rate", rate)), raw.filter("_bad").select("path", F.col("value").alias("_corrupt_record"))
+
+
+#: What Spark says of a table whose files are no Parquet files.
+UNREADABLE = ("CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA", "is not a Parquet file")
 
 
 def with_checkpoint(units: DataFrame, path: str, key: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The stage's table at path, after building and appending what it lacks of the units: a resumed run does only the rest."""
+    """The stage's table at path, after building and appending what it lacks of the units: a resumed run does only the rest.
+    A table that cannot be read is dropped and built anew."""
     spark = units.sparkSession
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-        units = units.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+        try:
+            done = spark.read.parquet(path).select(key).distinct()
+            done.isEmpty()
+        except Exception as e:
+            if not any(x in str(e) for x in UNREADABLE):  # a store that fails for a while keeps its table
+                raise
+            clear_checkpoint(spark, path)
+        else:
+            units = units.join(done, key, "left_anti")
     build(units).write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def clear_checkpoint(spark: SparkSession, path: str) -> bool:
+    """Drops the stage's table; False where there is none."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
