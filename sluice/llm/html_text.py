@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import table
 
 TRAIN_PAGES = 300
+CELLS = 1 << 16
 TRAIN_CHARS = 20_000
 STEPS = 260
 BATCH = 24
@@ -233,8 +234,9 @@ class Labeller:
         """Whether each block of each page is main text; pages of about one length are read together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), 64):
-            own = order[at : at + 64]
+        while order:  # up to 64 pages and CELLS blocks with their padding, or one page
+            many = next((n for n in range(min(64, len(order)), 1, -1) if n * len(pages[order[n - 1]]) <= CELLS), 1)
+            own, order = order[:many], order[many:]
             z, _ = self.scores(*_pad([pages[k] for k in own]))
             for row, k in enumerate(own):
                 out[k] = z[row, : len(pages[k])] > 0
@@ -274,9 +276,9 @@ def vary(page: list[Block], rng: random.Random) -> list[Block]:
 
 def train(pages: DataFrame) -> Labeller:
     """Fits the labeller on the bounded sample."""
-    sample = (
-        pages.select("page_id", "html").filter(F.length("html").between(1, TRAIN_CHARS)).orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES).collect()
-    )
+    short = pages.filter(F.length("html").between(1, TRAIN_CHARS)).select("page_id", "html")
+    ids = [r[0] for r in short.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES).collect()]  # no texts in the sort
+    sample = sorted(short.filter(F.col("page_id").isin(ids)).limit(TRAIN_PAGES).collect(), key=lambda r: (ids.index(r.page_id), r.html)) if ids else []
     rng, own = random.Random(3), []
     for r in sample:
         page = blocks(r.html)

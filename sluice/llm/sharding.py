@@ -78,16 +78,13 @@ def even(total: int, shards: int) -> list[int]:
 
 
 def shard(df: DataFrame, key: list[Column], shards: int = SHARDS, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of df with shard and slot (gapless from 0 in each shard). key: what tells rows apart, for the random orders;
-    rows with equal keys are put in the order of their further draws and are otherwise interchangeable."""
+    """The rows of df with shard and slot (gapless from 0 in each shard). key: what the random orders are drawn from, together
+    with each row's place in df, so that equal rows are dealt out as others are; the draws hold for one layout of df. df is
+    written once, as it is read for the counts and for the deal."""
     spark = df.sparkSession
-    df = df.drop("shard", "slot").withColumns(
-        {
-            "_block": F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(blocks)).cast("int"),
-            "_first": F.xxhash64(F.lit(seed + 1), *key),
-            "_second": F.xxhash64(F.lit(seed + 2), *key),
-        }
-    )
+    own = F.monotonically_increasing_id()
+    df = Scratch(spark).keep(df.drop("shard", "slot").withColumns({"_block": F.xxhash64(F.lit(seed), *key, own), "_first": F.xxhash64(F.lit(seed + 1), *key, own)}))
+    df = df.withColumns({"_block": F.pmod("_block", F.lit(blocks)).cast("int"), "_second": F.xxhash64(F.lit(seed + 2), "_block", "_first")})
     counts = {r["_block"]: r["n"] for r in df.groupBy("_block").agg(F.count("*").alias("n")).collect()}  # BLOCKS rows at most
     total = sum(counts.values())
     matrix = draw_matrix([counts.get(b, 0) for b in range(blocks)], even(total, shards), seed)
@@ -96,18 +93,18 @@ def shard(df: DataFrame, key: list[Column], shards: int = SHARDS, seed: int = 7,
         F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("_block", "_ends")
     )
     pieces = max(1, math.ceil(total / shards / PIECE_ROWS))
-    local = Window.partitionBy("_block").orderBy("_first", *key)
+    local = Window.partitionBy("_block").orderBy("_first", "_second")
     sent = (
         df.withColumn("_at", F.row_number().over(local))
         .join(F.broadcast(bounds), "_block")  # BLOCKS rows of `shards` numbers
         .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_at"))))
         .withColumn("_piece", F.pmod(F.shiftright("_second", 20), F.lit(pieces)).cast("int"))
-        .drop("_block", "_first", "_ends", "_at")
+        .drop("_block", "_ends", "_at")
     )
-    in_piece = Window.partitionBy("shard", "_piece").orderBy("_second", *key)
+    in_piece = Window.partitionBy("shard", "_piece").orderBy("_second", "_first")
     sent = sent.withColumn("_slot", F.row_number().over(in_piece) - 1)
     if pieces == 1:
-        return sent.withColumn("slot", F.col("_slot").cast("long")).drop("_piece", "_second", "_slot")
+        return sent.withColumn("slot", F.col("_slot").cast("long")).drop("_piece", "_first", "_second", "_slot")
     sent = Scratch(spark).keep(sent)
     before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -116,7 +113,7 @@ def shard(df: DataFrame, key: list[Column], shards: int = SHARDS, seed: int = 7,
     return (
         sent.join(offsets, ["shard", "_piece"])
         .withColumn("slot", (F.col("_before") + F.col("_slot")).cast("long"))
-        .drop("_piece", "_second", "_slot", "_before")
+        .drop("_piece", "_first", "_second", "_slot", "_before")
     )
 
 

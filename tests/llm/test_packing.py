@@ -46,6 +46,12 @@ def test_ids_equal_the_tokenizer(spark, plain_words):
     assert bins <= -(-total // 512) + 3
 
 
+def test_added_tokens_in_texts(spark):
+    texts = [(1, "<|endoftext|> x"), (2, "a<|startoftext|>b <|endoftext|>"), (3, "<|endoftext|><|endoftext|>"), (4, "x <| endoftext |>"), (5, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    check(packing.pack_documents(df).collect(), texts, packing.CAPACITY)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").filter("false")
     assert packing.pack_documents(df).count() == 0

@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,26 @@ def test_shards_are_exact_and_keep_every_row(spark, monkeypatch):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(n))
 
 
+def test_equal_rows_are_dealt_out(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id < 1500 THEN 7 ELSE id END AS doc_id").repartition(5)
+    out = sharding.shard(df, [df.doc_id], blocks=16).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, {})[r.slot] = r.doc_id
+    assert all(sorted(s) == list(range(len(s))) and 187 <= len(s) <= 188 for s in slots.values()) and len(slots) == 16
+    for s in slots.values():
+        same = sorted(k for k, d in s.items() if d == 7)
+        assert 60 <= len(same) <= 130 and same[-1] - same[0] > 150  # neither crowded in one shard nor side by side
+
+
+def test_sharding_query_columns(spark, tmp_path):
+    rows = [(1, "aé"), (2, None), (3, ""), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in out) == sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert {(r.law, r.slot, r.grown_shard) for r in out} == {("rows", 0, None)} and len({r.shard for r in out}) == 4
+
+
 def test_shard_small_tables(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert sharding.shard(df.filter("false"), [df.doc_id]).count() == 0
