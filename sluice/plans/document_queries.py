@@ -186,12 +186,25 @@ def worklist(spark, sf_dir):
     return review.worklist(base.exceptions(spark, sf_dir)).select("doc_id", "field", "item", "label", "tab")
 
 
-@query(BASE + """, s AS (SELECT doc_id, CASE field WHEN 'low_confidence_qa' THEN 2 ELSE 6 END AS no, pos, CASE field WHEN 'low_confidence_qa' THEN item ELSE '- ' || regexp_replace(item, '^P1-C\\d+: ', '') END AS t FROM exceptions),
-b AS (SELECT doc_id, no, CASE no WHEN 2 THEN '**答案不确定的**' ELSE '**拆分可能不合理的**' END || chr(10) || string_agg(CASE no WHEN 2 THEN '- ' || t ELSE t END, chr(10) ORDER BY pos, t) AS t FROM s GROUP BY doc_id, no),
-r AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY no) AS t FROM b GROUP BY doc_id)
-SELECT d.doc_id, r.t IS NOT NULL AS needs_review, coalesce(r.t, '✅ 本次处理全部通过，无需人工复核，直接交付JSON文件。') AS summary FROM documents AS d LEFT JOIN r USING (doc_id)""")
+@query(BASE + """, seen AS (SELECT q.* FROM qa AS q SEMI JOIN lines AS l ON l.doc_id = q.doc_id AND l.chunk_id = q.chunk_id),
+i AS (
+  SELECT e.doc_id, 2 AS no, pos, item, coalesce('关于「' || nullif(question, '') || '」，原文信息不够明确', item) AS t
+  FROM exceptions AS e LEFT JOIN seen AS q ON q.doc_id = e.doc_id AND e.item LIKE q.chunk_id || '-Q' || q.qa_no || ':%' WHERE field = 'low_confidence_qa'
+  UNION ALL
+  SELECT e.doc_id, 6, pos, item, coalesce('「' || nullif(substr(l.content, 1, 12), '') || '」这段内容' || regexp_extract(item, '-(内容[0-9]+字)$', 1), regexp_replace(item, '^P1-C[0-9]+: ', ''))
+  FROM exceptions AS e LEFT JOIN lines AS l ON l.doc_id = e.doc_id AND e.item LIKE l.chunk_id || ':%' WHERE field = 'chunk_anomalies'
+),
+b AS (
+  SELECT doc_id, no, count(*) AS n, CASE no WHEN 2 THEN '**答案不确定的**（原文信息不够，AI给出的回答可能不准）：' ELSE '**拆分可能不合理的**（知识片段过长或过短）：' END || chr(10) || string_agg('- ' || t, chr(10) ORDER BY pos, item) AS t
+  FROM i GROUP BY doc_id, no
+),
+r AS (SELECT doc_id, sum(n)::BIGINT AS n, string_agg(t, chr(10) || chr(10) ORDER BY no) AS t FROM b GROUP BY doc_id)
+SELECT d.doc_id, r.t IS NOT NULL AS needs_review, CASE WHEN r.t IS NULL THEN '✅ 本次处理全部通过，无需人工复核，直接交付JSON文件。' ELSE
+  '共处理出 ' || (SELECT count(*) FROM lines AS l WHERE l.doc_id = d.doc_id) || ' 个知识片段、' || (SELECT count(*) FROM seen AS q WHERE q.doc_id = d.doc_id) || ' 条问答，其中 ' || r.n || ' 项需要你关注'
+  || chr(10) || chr(10) || '需要关注的内容：' || chr(10) || chr(10) || r.t || chr(10) || chr(10) || '✅ 以上内容确认无误后，我将交付完整的JSON文件；如需修改请直接告诉我。' END AS summary
+FROM documents AS d LEFT JOIN r USING (doc_id)""")
 def review_lists(spark, sf_dir):
-    return review.review_list(table(spark, sf_dir, "documents"), base.exceptions(spark, sf_dir))
+    return review.review_list(table(spark, sf_dir, "documents"), base.exceptions(spark, sf_dir), base.lines(spark, sf_dir), base.qa(spark, sf_dir))
 
 
 @query(BASE + ", c AS (SELECT doc_id, chunk_id, count(*) AS n FROM qa GROUP BY doc_id, chunk_id), j AS (SELECT l.doc_id, l.chunk_id, coalesce(n, 0) AS n FROM lines AS l LEFT JOIN c USING (doc_id, chunk_id)) SELECT doc_id, chunk_id, 'unanswered' AS issue FROM j WHERE n = 0 UNION ALL SELECT doc_id, chunk_id, 'pair count' FROM j WHERE n > 0 AND NOT n BETWEEN 3 AND 5 UNION ALL SELECT doc_id, chunk_id, 'keyword count' FROM j WHERE n > 0")

@@ -250,6 +250,25 @@ def model_responses(spark, sf_dir):
     return good.select(*columns, F.lit(True).alias("accepted")).unionByName(bad.select(*columns, F.lit(False).alias("accepted")))
 
 
+@query("""SELECT doc_id, 1 AS stage, concat_ws('; ', CASE WHEN trim(text) = '' THEN 'cleaned_text: Value error, cleaned_text 不能为空' END,
+  CASE doc_id % 3 WHEN 1 THEN 'doc_type: Input should be a known document type' WHEN 2 THEN 'doc_type: Field required' END) AS errors
+FROM documents WHERE doc_id % 3 > 0 OR trim(text) = ''
+UNION ALL SELECT doc_id, 2, concat_ws('; ', CASE doc_id % 3 WHEN 1 THEN 'chunks.0.chunk_id: Value error, chunk_id 格式错误: ''C001''，应为 P{N}-C{NNN}（如 P1-C001）' WHEN 2 THEN 'chunks.0.chunk_id: Field required' END,
+  CASE WHEN trim(text) = '' THEN 'chunks.0.content: Value error, chunk content 不能为空' END)
+FROM documents WHERE doc_id % 3 > 0 OR trim(text) = ''""")
+def stage_rejects(spark, sf_dir):
+    """Documents as answers of the first two stages, two in three with a fault."""
+    docs, k = _docs(spark, sf_dir), F.col("doc_id") % 3
+    kind = F.when(k == 0, "FAQ").when(k == 1, "other")
+    number = F.when(k == 0, "P1-C001").when(k == 1, "C001")
+    answers = {
+        1: F.struct(F.col("text").alias("cleaned_text"), kind.alias("doc_type")),
+        2: F.struct(F.array(F.struct(number.alias("chunk_id"), F.col("source").alias("title"), F.col("text").alias("content"))).alias("chunks")),
+    }
+    rejects = [stages.stage_gate(docs.select("doc_id", F.to_json(answer).alias("content")), n)[1].select("doc_id", F.lit(n).alias("stage"), F.concat_ws("; ", "errors").alias("errors")) for n, answer in answers.items()]
+    return rejects[0].unionByName(rejects[1])
+
+
 @query("""WITH a AS (SELECT user_id AS doc_id, event_id % 20 AS unit, 1 + count(*) OVER (PARTITION BY user_id, event_id % 20 ORDER BY event_id) AS attempt, event_id % 11 = 0 AS ok FROM events),
 l AS (SELECT doc_id, unit, max(attempt) AS attempt, bool_or(ok) AS y FROM a GROUP BY doc_id, unit)
 SELECT doc_id, unit, CAST(attempt AS BIGINT) AS attempt, attempt < 3 AS again FROM l WHERE NOT y""")

@@ -2,7 +2,7 @@
 
 import json
 
-from sluice.operators import export, merge, segment, validate
+from sluice.operators import export, merge, review, segment, stages, validate
 from sluice.sources import documents as sources
 
 TAGS = "struct<" + ",".join(f"{t}:string" for t in merge.TAGS) + ">"
@@ -70,3 +70,46 @@ def test_exports_of_documents_without_pairs(spark, tmp_path):
     assert export.to_markdown(docs).first()["value"].split("\n")[4] == "> 覆盖率: 50% | 平均置信度: 8350% | 异常项: 2"
     export.export(docs, "coze_text", str(tmp_path / "out"))
     assert b'"\r\n"t","c"\r\n' in b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*.csv"))
+
+
+def test_review_list_of_every_section(spark):
+    documents = spark.createDataFrame([(1, 5), (2, 0), (3, 1)], "doc_id int, exception_count int")
+    atoms = spark.createDataFrame([(1, 1, "P1-C001", "【账号】- 开户"), (1, 2, "P1-C002", "【账号】- "), (2, 1, "P1-C001", "t")], "doc_id int, chunk_no int, chunk_id string, title string")
+    qa = spark.createDataFrame([(1, "P1-C001", 1, "q1", 90), (1, "P1-C001", 2, "q2", 60), (1, "P1-C009", 1, "q9", 60)], "doc_id int, chunk_id string, qa_no int, question string, confidence_score int")
+    items = [
+        (1, "expired_items", 1, "P1-C002: 旧版  内容"), (1, "truncated_items", 1, "P1-C001: 截断"), (1, "truncated_items", 2, "P1-C002: 截断"),
+        (1, "chunk_anomalies", 1, "P1-C001: 拆分颗粒度异常-内容12字"), (1, "low_confidence_qa", 1, "P1-C001-Q9: 置信分60-【低置信】"),
+        (1, "low_confidence_qa", 2, "P1-C009-Q1: 置信分60-答案不全"), (1, "sensitive_items", 1, "P1-C001: 手机号"), (2, "expired_items", 1, "P1-C001: x"),
+    ]
+    exceptions = spark.createDataFrame(items, "doc_id int, field string, pos int, item string")
+    got = {r.doc_id: r for r in review.review_list(documents, exceptions, atoms, qa).collect()}
+    assert got[1].summary.split("\n") == [
+        "共处理出 2 个知识片段、2 条问答，其中 5 项需要你关注", "", "需要关注的内容：", "", "**包含敏感信息的**（需确认脱敏是否正确）：", "- 手机号", "",
+        "**答案不确定的**（原文信息不够，AI给出的回答可能不准）：", "- 关于「q2」，原文信息不够明确", "- 答案不全", "", "**拆分可能不合理的**（知识片段过长或过短）：",
+        "- 「开户」这段内容内容12字", "- 「开户」可能被截断，内容不完整", "- 截断", "", "**可能已过期的**（内容可能不再适用）：", "- 旧版 内容", "",
+        "✅ 以上内容确认无误后，我将交付完整的JSON文件；如需修改请直接告诉我。",
+    ]
+    assert got[1].needs_review and not got[2].needs_review and not got[3].needs_review and got[3].summary == review.ALL_PASSED
+
+
+def test_stage_schemas(spark):
+    tags = dict.fromkeys(merge.TAGS, "x")
+    pair = {"question": "q", "answer": "a", "keywords": ["k"], "confidence_score": 90}
+    cases = [
+        (1, {"cleaned_text": "t", "doc_type": "FAQ"}, []),
+        (1, {"cleaned_text": " ", "doc_type": "other"}, ["cleaned_text: " + stages.STAGE_TEXTS["empty_text"], "doc_type: " + stages.STAGE_TEXTS["doc_type"]]),
+        (2, {"chunks": [{"chunk_id": "P1-C001", "title": "t", "content": "c"}], "exception_list": {"vague_items": []}}, []),
+        (2, {"chunks": []}, ["chunks: " + stages.STAGE_TEXTS["empty_chunks"]]),
+        (2, {"chunks": [{"chunk_id": "P1-C001", "title": "t", "content": "c"}, {"chunk_id": "C1", "title": "t"}]}, ["chunks.1.chunk_id: Value error, chunk_id 格式错误: 'C1'，应为 P{N}-C{NNN}（如 P1-C001）", "chunks.1.content: Field required"]),
+        (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": [pair, {**pair, "confidence_score": 101}]}]}, ["chunks.0.qa_pairs.1.confidence_score: " + stages.STAGE_TEXTS["score"]]),
+        (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": []}]}, ["chunks.0.qa_pairs: " + stages.STAGE_TEXTS["empty_pairs"]]),
+        (3, {}, ["chunks: Field required"]),
+        (4, {"chunks": [{"chunk_id": "P1-C001", "doc_type": "FAQ", "metadata": tags}]}, []),
+        (4, {"chunks": [{"chunk_id": "P1-C001", "doc_type": "FAQ", "metadata": {**tags, "summary": None}}]}, ["chunks.0.metadata.summary: Field required"]),
+        (4, {"chunks": [{"chunk_id": "P1-C001", "doc_type": "FAQ"}]}, ["chunks.0.metadata: Field required"]),
+    ]
+    for stage in (1, 2, 3, 4):
+        rows = [(k, json.dumps(x, ensure_ascii=False)) for k, (n, x, _) in enumerate(cases) if n == stage] + [(99, "no json")]
+        good, bad = stages.stage_gate(spark.createDataFrame(rows, "id int, content string"), stage)
+        got = {r.id: [] for r in good.collect()} | {r.id: r.errors for r in bad.collect()}
+        assert got == {k: want for k, (n, _, want) in enumerate(cases) if n == stage} | {99: ["no JSON object"]}
