@@ -51,24 +51,18 @@ def today_by_user(tasks: DataFrame, ledger: DataFrame, now: float, tz: str = "UT
 
 def admit(arrivals: DataFrame, task_limit: int, upload_limit: int, tz: str = "UTC") -> DataFrame:
     """Adds verdict: 'admitted', or the limit that refused it ('task' or 'upload'), in order of arrival per user and day;
-    refused rows do not count, anonymous ones are always admitted. A day of one user is what a fold holds."""
-    known = arrivals.filter("user_id IS NOT NULL")
-    order = F.array_sort(F.collect_list(F.struct("created_at", "task_id", "file_size")))
-    days = known.groupBy("user_id", local_day("created_at", tz).alias("day")).agg(order.alias("a"))
-    kind = "struct<t:int,u:int,out:array<struct<task_id:string,verdict:string>>>"
-
-    def step(s: Column, x: Column) -> Column:
-        verdict = F.when(s["t"] >= task_limit, "task").when(s["u"] >= upload_limit, "upload").otherwise("admitted")
-        ok = (verdict == "admitted").cast("int")
-        upload = (ok == 1) & (F.coalesce(x["file_size"], F.lit(0)) > 0)
-        return F.struct(
-            (s["t"] + ok).alias("t"), (s["u"] + upload.cast("int")).alias("u"), F.concat(s["out"], F.array(F.struct(x["task_id"].cast("string").alias("task_id"), verdict.alias("verdict")))).alias("out")
-        ).cast(kind)
-
-    zero = F.struct(F.lit(0).alias("t"), F.lit(0).alias("u"), F.array().alias("out")).cast(kind)
-    out = days.select("user_id", "day", F.explode(F.aggregate("a", zero, step)["out"]).alias("v")).select("user_id", "day", "v.*")
-    nobody = arrivals.filter("user_id IS NULL").select("user_id", local_day("created_at", tz).alias("day"), F.col("task_id").cast("string"), F.lit("admitted").alias("verdict"))
-    return out.unionByName(nobody)
+    refused rows do not count, anonymous ones are always admitted. The first refusal closes the day for the same reason,
+    since nothing is counted after it; so places and running sums tell every verdict."""
+    day = local_day("created_at", tz)
+    order = Window.partitionBy("user_id", "day").orderBy("created_at", "task_id", "file_size")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    upload = (F.coalesce("file_size", F.lit(0)) > 0).cast("long")
+    known = arrivals.filter("user_id IS NOT NULL").select("user_id", day.alias("day"), "created_at", "task_id", "file_size")
+    known = known.withColumns({"_place": F.row_number().over(order) - 1, "_uploads": F.coalesce(F.sum(upload).over(before), F.lit(0))})
+    full = F.min(F.when(F.col("_uploads") >= upload_limit, F.col("_place"))).over(so_far)
+    verdict = F.when(F.coalesce(full < task_limit, F.lit(False)), "upload").when(F.col("_place") >= task_limit, "task").otherwise("admitted")
+    nobody = arrivals.filter("user_id IS NULL").select("user_id", day.alias("day"), F.col("task_id").cast("string"), F.lit("admitted").alias("verdict"))
+    return known.select("user_id", "day", F.col("task_id").cast("string"), verdict.alias("verdict")).unionByName(nobody)
 
 
 def quota_breaches(ledger: DataFrame, limit: int, tz: str = "UTC") -> DataFrame:

@@ -14,11 +14,12 @@ STEPS = {"started": 0.0, "retry": 0.1, "calling": 0.2, "validating": 0.6, "succe
 
 
 def start_refine(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Segments and flags newly dropped text files, each file once."""
+    """Segments and flags newly dropped text files, each file once: a batch that is run again replaces its own folder
+    batch_id=N under out, so read out as one table partitioned by batch_id."""
     files = spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
 
     def refine(batch: DataFrame, batch_id: int) -> None:
-        flag(split_segments(batch), "segment").withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        flag(split_segments(batch), "segment").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return files.writeStream.foreachBatch(refine).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,8 +1,9 @@
 """Merging, validation, sources and exports in the cases that single tables of the queries do not show."""
 
 import json
+import random
 
-from sluice.operators import export, merge, review, segment, stages, validate
+from sluice.operators import export, merge, review, segment, stages, usage, validate
 from sluice.sources import documents as sources
 
 TAGS = "struct<" + ",".join(f"{t}:string" for t in merge.TAGS) + ">"
@@ -113,3 +114,17 @@ def test_stage_schemas(spark):
         good, bad = stages.stage_gate(spark.createDataFrame(rows, "id int, content string"), stage)
         got = {r.id: [] for r in good.collect()} | {r.id: r.errors for r in bad.collect()}
         assert got == {k: want for k, (n, _, want) in enumerate(cases) if n == stage} | {99: ["no JSON object"]}
+
+
+def test_admission_equals_a_walk_in_order(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), float(k), f"t{k:03}", rng.choice([0, 5, None])) for k in range(120)]
+    df = spark.createDataFrame(rows, "user_id string, created_at double, task_id string, file_size long")
+    for tasks, uploads in ((10, 4), (4, 10), (0, 3), (3, 0), (200, 200), (8, 3), (6, 2)):
+        counts, want = {}, {}
+        for user, _, task, size in rows:
+            n, u = counts.get(user, (0, 0))
+            want[task] = "admitted" if user is None else "task" if n >= tasks else "upload" if u >= uploads else "admitted"
+            if want[task] == "admitted":
+                counts[user] = n + 1, u + ((size or 0) > 0)
+        assert {r.task_id: r.verdict for r in usage.admit(df, tasks, uploads).collect()} == want
