@@ -51,6 +51,7 @@ BOILERPLATE = frozenset(
     "subscribe login search header dialog popup copyright toolbar widget".split()
 )
 MAIN = frozenset("article main content post entry story article-body entry-content post-content".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<code>script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=code)\s*>|\Z)"
@@ -111,16 +112,24 @@ def blocks(html: str) -> list[Block]:
                 open_.pop()
             if name not in VOID:
                 words = [w for g in _names.findall(m["rest"] or "") for w in re.split(r"[\s_]+", "".join(g).lower()) if w]
-                open_.append((name, (name, *words)))
+                pieces = [x for w in words if "-" in w and w not in MAIN for x in w.split("-") if x]
+                open_.append((name, (name, *words, *pieces)))
     flush()
     return out
 
 
+def _boilerplate(path: tuple[str, ...]) -> bool:
+    """Whether a boilerplate element holds the block; a heading in the header of an article container is the article's own."""
+    inside = next((k for k, name in enumerate(path) if name in MAIN), len(path))
+    own = {"header"} if HEADINGS & set(path) and "header" not in path[:inside] else set()
+    return bool(BOILERPLATE & set(path) - own)
+
+
 def semantic_labels(page: list[Block]) -> list[int]:
     """1 for blocks in an article container and in no boilerplate element; with no container at all, for all that are in no
     boilerplate element."""
     contained = any(MAIN & set(b.path) for b in page)
-    return [int(not BOILERPLATE & set(b.path) and (bool(MAIN & set(b.path)) or not contained)) for b in page]
+    return [int(not _boilerplate(b.path) and (bool(MAIN & set(b.path)) or not contained)) for b in page]
 
 
 def features(page: list[Block]) -> np.ndarray:

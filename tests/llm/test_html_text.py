@@ -64,3 +64,26 @@ def test_features_of_all_words():
     x = ht.features([ht.Block(("p",), same + "other " * 100, 0)])[0]
     y = ht.features([ht.Block(("p",), same + "words " * 100, 0)])[0]
     assert (x != y).any()
+
+
+#: Pages of other templates, each block labelled by hand.
+HAND = [
+    (
+        '<body><div class="site-header"><a href="/">Home</a></div><main><article><header><h1>Tides</h1><p>3 May, by A.</p></header>'
+        '<p>The sea rises twice a day along most coasts.</p><ul><li>Spring tides</li></ul></article></main>'
+        '<div class="comment-list"><p>First!</p></div><div class="site-footer"><div>Copyright 2020</div></div></body>',
+        [("Home", 0), ("Tides", 1), ("3 May, by A.", 0), ("The sea rises twice a day along most coasts.", 1), ("Spring tides", 1), ("First!", 0), ("Copyright 2020", 0)],
+    ),
+    (
+        '<div class="cookie-notice">We use cookies</div><div id="main-content"><h2>Bread</h2><div>Mix the flour with water.</div>'
+        '<div class="share-buttons">Share</div></div><div class="side_bar sidebar-right"><p>More news</p></div>',
+        [("We use cookies", 0), ("Bread", 1), ("Mix the flour with water.", 1), ("Share", 0), ("More news", 0)],
+    ),
+    ("<nav><li>Shop</li></nav><h1>Plain</h1><p>No container here.</p><ul><li>An item</li></ul><footer>End</footer>", [("Shop", 0), ("Plain", 1), ("No container here.", 1), ("An item", 1), ("End", 0)]),
+]
+
+
+def test_labels_of_pages_labelled_by_hand():
+    for page, want in HAND:
+        found = ht.blocks(page)
+        assert list(zip([b.text for b in found], ht.semantic_labels(found), strict=True)) == want
