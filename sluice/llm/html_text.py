@@ -277,8 +277,8 @@ def vary(page: list[Block], rng: random.Random) -> list[Block]:
         out[at:at] = [Block(("html", "body", *(container if inside else ()), *path), text, linked) for _ in range(rng.choice([1, 1, 2, 4]))]
     if rng.random() < 0.4:  # other leaves that articles have
         leaf = rng.choice([("h2",), ("ul", "li"), ("blockquote",), ("blockquote", "p"), ("pre",), ("table", "tr", "td"), ("figure", "figcaption"), ("header", "h1"), ("div",), ("section", "p")])
-        own = [k for k, b in enumerate(out) if container and b.path[-1:] == ("p",) and set(container) & set(b.path)]
-        for k in rng.sample(own, min(len(own), 2)) if leaf[0] != "header" else ():
+        own = [k for k, label in enumerate(semantic_labels(out)) if label and out[k].path[-1:] == ("p",)]
+        for k in rng.sample(own, min(len(own), 3)) if container or leaf[0] != "header" else ():
             out[k] = Block((*out[k].path[:-1], *leaf), out[k].text, 0)
     return out
 
