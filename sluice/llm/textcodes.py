@@ -1,8 +1,10 @@
 """Words and word shingles of whole Arrow batches as 64-bit codes, computed with numpy inside tasks.
 
 Texts are read in place as UTF-8 bytes; a chunk holds whole texts of about CHUNK bytes (one text may be longer), so memory
-follows the longest text and not the batch. A word is a run of bytes other than space and \\t-\\r. Codes are polynomial
-sums modulo 2**64 followed by a mixer; within the pairs of texts that are compared, equal codes stand for equal words.
+follows the longest text and not the batch. A word is a run of bytes other than space and \\t-\\r. A word's
+code is the sum of its bytes, each times a coefficient drawn for its place in the word, modulo 2**64: two given words share
+a code with a probability of 2**-57 at most over the draw, whatever their pattern (a polynomial in one base has texts of
+1,024 letters that share a code for every base).
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ _blank = np.zeros(256, bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
+_drawn = {"places": np.zeros(0, np.uint64)}
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -43,6 +46,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def places(n: int) -> np.ndarray:
+    """The coefficients of the first n places of a word."""
+    if len(_drawn["places"]) < n:
+        size = max(n, 2 * len(_drawn["places"]), 1024)
+        _drawn["places"] = mix(mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(BASE)) ^ STEPS[63])
+    return _drawn["places"]
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of the texts in them); null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -72,10 +83,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, blank: np.n
     after[-1], after[:-1] = True, blank[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = True
     starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(((_lower[data] if lower else data).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts], starts, ends, np.searchsorted(starts, offsets)
+    if not len(starts):
+        return starts.astype(np.uint64), starts, ends, np.zeros(len(offsets), np.int64)
+    sizes, letters = ends - starts, data[~blank]
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters)) - np.repeat(first, sizes)
+    terms = ((_lower[letters] if lower else letters).astype(np.uint64) + np.uint64(1)) * places(int(sizes.max()))[place]
+    return np.add.reduceat(terms, first), starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingles(codes: np.ndarray, size: int = 5) -> np.ndarray:
