@@ -157,11 +157,19 @@ def _in_order(batches):
 
 
 def _given(batches):
-    """Every document edited with the text it comes with; near_next is to be filled in."""
+    """Every document edited with the text it comes with."""
     for batch in batches:
         texts, after = ([t or "" for t in batch.column(c).to_pylist()] for c in ("text", "following"))
-        own = list(fingerprints(pa.array(texts, pa.large_string())))
-        yield _rows(batch.column("doc_id").to_pylist(), texts, own, batch.column("next_id").to_pylist(), after, own)
+        own, after_own = list(fingerprints(pa.array(texts, pa.large_string()))), [o or b"" for o in batch.column("following_own").to_pylist()]
+        yield _rows(batch.column("doc_id").to_pylist(), texts, own, batch.column("next_id").to_pylist(), after, after_own)
+
+
+def _following(batches):
+    """(next_id, the first k code points of its text, the whole text's fingerprint)"""
+    for batch in batches:
+        texts, k = batch.column("text").to_pylist(), batch.column("k").to_pylist()
+        own = pa.array(fingerprints(batch.column("text")), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("next_id"), pa.array([t[:n] for t, n in zip(texts, k, strict=True)], pa.string()), own], ["next_id", "following", "following_own"])
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -171,29 +179,23 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     docs, scratch = docs.select(F.col("doc_id").cast("long"), "text"), Scratch(docs.sparkSession)
     after = scratch.keep(next_ids(docs.select("doc_id")))
     first = after.agg(F.min("doc_id")).first()[0]
-    repeated = after.filter("n > 1").select("doc_id")
-    with_next = lambda rows: rows.join(after.drop("n"), "doc_id", "left").withColumn("next_id", F.coalesce("next_id", F.lit(first).cast("long")))
+    repeated = after.filter("n > 1").select(F.col("doc_id").alias("next_id"), F.lit(True).alias("_repeats"))
 
     read = scratch.keep(docs.mapInArrow(_in_order, _SCHEMA))
+    checked = read.select("doc_id", "assumed", "n_chars").join(after.drop("n"), "doc_id", "left").withColumn("next_id", F.coalesce("next_id", F.lit(first).cast("long")))
     # order tells neither the least text of an id that repeats, nor anything of rows without an id
-    checked = with_next(read.select("doc_id", "assumed")).join(repeated.select(F.col("doc_id").alias("next_id"), F.lit(True).alias("_repeats")), "next_id", "left")
     true = F.coalesce(F.col("assumed") == F.col("next_id"), F.lit(False)) & F.col("_repeats").isNull()
-    left = scratch.keep(checked.filter(~true).select(F.col("doc_id").alias("_left")).distinct())
+    left = checked.join(repeated, "next_id", "left").filter(~true).groupBy(F.col("doc_id").alias("_left"), "next_id").agg(F.floor(F.max("n_chars") / 4).cast("int").alias("k"))
+    left = scratch.keep(left)  # written, so that Spark knows how few they are and broadcasts them, or else shuffles
     is_left = F.col("doc_id").eqNullSafe(F.col("_left"))
     done = read.join(left, is_left, "left_anti").select(*RESULT)
 
-    again = with_next(docs.join(left, is_left, "left_semi"))
-    longest = again.groupBy("next_id").agg((F.max(F.length("text")) / 4).cast("int").alias("k"))
-    following = docs.withColumnRenamed("doc_id", "next_id").join(longest, "next_id").groupBy("next_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "k")).alias("t"))
-    following = following.select("next_id", F.substring("t.text", F.lit(1), F.col("t.k")).alias("following"))
-    rest = again.join(following, "next_id", "left").select("doc_id", "text", "next_id", "following").mapInArrow(_given, _SCHEMA).withColumnRenamed("assumed", "next_id")
-
-    # the fingerprint of the least text of each id that repeats, of the only one else
-    single = read.join(repeated, "doc_id", "left_anti").select(F.col("doc_id").alias("next_id"), F.col("own").alias("_next"))
-    least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    least = least.withColumns({"next_id": F.lit(None).cast("long"), "following": F.lit("")}).mapInArrow(_given, _SCHEMA).select(F.col("doc_id").alias("next_id"), F.col("own").alias("_next"))
-    rest = rest.join(single.unionByName(least), "next_id", "left").withColumn("near_next", likeness("own", F.coalesce("_next", F.lit("").cast("binary"))))
-    return done.unionByName(rest.select(*RESULT)).select("doc_id", "n_chars", "edited_sha256", _text("own").alias("fingerprint"), _text("edited").alias("edited_fingerprint"), "near_edited", "near_next")
+    wanted = scratch.keep(left.groupBy("next_id").agg(F.max("k").alias("k")))
+    least = docs.withColumnRenamed("doc_id", "next_id").join(wanted, "next_id").groupBy("next_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "k")).alias("t"))
+    following = scratch.keep(least.select("next_id", "t.*").mapInArrow(_following, "next_id long, following string, following_own binary"))
+    again = docs.join(left.drop("k"), is_left).join(following, "next_id", "left").select("doc_id", "text", "next_id", "following", "following_own")
+    both = done.unionByName(again.mapInArrow(_given, _SCHEMA).select(*RESULT))
+    return both.select("doc_id", "n_chars", "edited_sha256", _text("own").alias("fingerprint"), _text("edited").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def _text(packed: str) -> Column:

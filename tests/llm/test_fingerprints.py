@@ -84,6 +84,13 @@ def test_far_texts_agree_by_chance_only():
     assert len(a) == fingerprints.BINS * fingerprints.BITS // 8
 
 
+def test_likeness_of_stored_fingerprints(spark):
+    rows = spark.createDataFrame([("one two three four five six seven", "one two three four five six seven"), ("a b c", ""), (None, None)], "a string, b string")
+    keys = [[list(fingerprints.fingerprints(pa.array([x], pa.string())))[0] for x in r] for r in rows.collect()]
+    packed = spark.createDataFrame(keys, "a binary, b binary")
+    assert [r[0] for r in packed.select(fingerprints.likeness("a", "b")).collect()] == [1.0, 0.0, 1.0]
+
+
 def test_patterned_words_have_their_own_codes():
     from sluice.llm import textcodes
 
