@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sluice.functions.sensitive import flag
 from sluice.operators.segment import split_segments
+from sluice.streaming.state import fold_lockouts
 
 # How far each step of a stage counts.
 STEPS = {"started": 0.0, "retry": 0.1, "calling": 0.2, "validating": 0.6, "success": 1.0}
@@ -25,8 +27,8 @@ def start_refine(spark: SparkSession, path: str, out: str, checkpoint: str) -> S
 
 
 def stream_daily_tokens(ledger: DataFrame, limit: int, delay: str = "1 hour") -> DataFrame:
-    """(day, user_id, tokens, over): totals per user and day of ledger (consumed_at timestamp, user_id, tokens), batch or stream;
-    records later than the watermark are dropped in a stream."""
+    """(day, user_id, tokens, over): totals per user and day of ledger (consumed_at timestamp, user_id, tokens), batch or stream.
+    In a stream (append mode) a day's row comes once the watermark has passed its end; records later than the watermark are dropped."""
     totals = ledger.withWatermark("consumed_at", delay).groupBy(F.window("consumed_at", "1 day").alias("w"), "user_id").agg(F.sum("tokens").alias("tokens"))
     return totals.select(F.to_date("w.start").alias("day"), "user_id", "tokens", (F.col("tokens") >= limit).alias("over"))
 
@@ -40,28 +42,17 @@ def fraction(stage: Column, step: Column, stages: int = 5) -> Column:
 
 
 def stream_progress(events: DataFrame) -> DataFrame:
-    """(task_id, progress, at) of the latest event (task_id, at, stage, step), in update mode on a stream."""
+    """(task_id, progress, at) of the latest event (task_id, at, stage, step) of each task of a table; state.stream_latest() is the
+    same for a stream, with state that ends."""
     last = events.groupBy("task_id").agg(F.max_by(F.struct("stage", "step"), "at").alias("e"), F.max("at").alias("at"))
     return last.select("task_id", fraction(F.col("e.stage"), F.col("e.step")).alias("progress"), "at")
 
 
 def lockouts(logins: DataFrame, limit: int = 5, minutes: int = 30) -> DataFrame:
-    """(email, at, locked_until) of the failures that lock, from logins (email, at seconds, ok) in order of time: the limit-th
-    failure locks; attempts during a lock are refused and not counted; success clears the count; it is not cleared when a
-    lock runs out, so that the next failure locks again. A fold over one account's attempts."""
-    kind = "struct<n:int,until:double,out:array<struct<at:double,until:double>>>"
-    attempts = logins.groupBy("email").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), F.col("seq"), "ok"))).alias("a"))
-
-    def step(s: Column, x: Column) -> Column:
-        refused = x["at"] < s["until"]
-        n = F.when(refused, s["n"]).when(x["ok"], 0).otherwise(s["n"] + 1)
-        locks = ~refused & ~x["ok"] & (n >= limit)
-        until = x["at"] + 60 * minutes
-        return F.struct(
-            n.alias("n"), F.when(locks, until).otherwise(s["until"]).alias("until"),
-            F.when(locks, F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), until.alias("until"))))).otherwise(s["out"]).alias("out"),
-        ).cast(kind)
-
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("until"), F.array().alias("out")).cast(kind)
-    return attempts.select("email", F.explode(F.aggregate("a", zero, step)["out"]).alias("l")).select("email", "l.at", F.col("l.until").alias("locked_until"))
-
+    """(email, at, locked_until) of the failures that lock, from logins (email, at seconds, seq, ok) in order of (at, seq), each pair
+    once: the limit-th failure locks; attempts during a lock are refused and not counted; success clears the count; it is not
+    cleared when a lock runs out, so that the next failure locks again. Names that are text are trimmed and lower-cased; rows
+    without name or time do not count, one whose outcome is null has failed. state.stream_lockouts() is the same for a stream."""
+    if isinstance(logins.schema["email"].dataType, T.StringType):
+        logins = logins.withColumn("email", F.lower(F.trim("email")))
+    return fold_lockouts(logins, limit, minutes)
