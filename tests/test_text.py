@@ -93,3 +93,35 @@ def test_responses(spark):
     rows = ['{"k": 1}', '```json\n{"k": 2}\n```', '{"k": "a\nb"}', '{"k": ', "[1]", ""]
     got = [(r.ok, r.parsed and r.parsed.k) for r in stages.parse_responses(texts(spark, rows), "k string", "text").orderBy("id").collect()]
     assert got == [(True, "1"), (True, "2"), (True, "a\nb"), (False, None), (False, None), (False, None)]
+
+
+def expected_hits(text, rules):
+    import re
+
+    taken, out = [m.span() for m in re.finditer(sensitive.MARKERS, text)], []
+    for rule in sorted(rules, key=lambda r: r.priority):
+        for m in re.finditer(rule.pattern, text, 0 if rule.case_sensitive else re.IGNORECASE):
+            if not any(a < m.end() and m.start() < b for a, b in taken):
+                taken.append(m.span())
+                out.append((*m.span(), rule.name, rule.action, m.group()))
+    return sorted(out)
+
+
+def test_hits_equal_those_found_rule_by_rule(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = ["password: abc@mail.example", "pwd=1234", "13812345678", "1" * 17 + "X", "6" * 16, "6" * 19, "7" * 20, "10.0.0.1", "172.20.1.2", "a.b@c.de", "api key: abcdefgh1", "API\tKey：zzzzzzzzz", "secret-key==12345678", "密钥：a_b-c-d-e", "令牌 x.y.z.1234", "TOKEN: ab", "salt:1234", sensitive.FLAGGED, sensitive.MASKED, "密码：【敏感数据】", " ", ",", "。", "x", "é日", "\n", "192.168.1.1", "paſſwd: longvalue", "toKen=abcdefghi", "1", "@"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(600)] + ["", None]
+    more = (*sensitive.RULES, sensitive.Rule("word", "[a-z]{3}x?", "flag", 5, True), sensitive.Rule("pair", "(a|b)(c|d)", "mask", 60))
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for rules in (sensitive.RULES, more):
+        for r in sensitive.detect(df, "t", rules).collect():
+            assert [tuple(h) for h in r.hits] == expected_hits(r.t or "", rules), r.t
+
+
+def test_very_many_hits_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f"u{k}@mail.example" for k in range(n))
+    row = sensitive.detect(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert len(row.hits) == n and row.hits[-1].end == len(text) and row.hits[-1].text == f"u{n - 1}@mail.example"
