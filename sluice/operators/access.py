@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sluice.functions.addresses import address, network
 
 
 def audit_search(logs: DataFrame, user_id: str | None = None, action: str | None = None, since: float | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -27,39 +25,30 @@ def audit_by_keyword(logs: DataFrame, users: DataFrame, keyword: str) -> DataFra
     return logs.join(hit.select(F.col("id").alias("user_id")), "user_id", "left_semi")
 
 
-_ENDS = T.StructType([T.StructField("lo", T.StringType()), T.StructField("hi", T.StringType()), T.StructField("v", T.IntegerType())])
-
-
-@F.pandas_udf(_ENDS)
-def _network(values: pd.Series) -> pd.DataFrame:
-    """Ends of a network as hexadecimal text of equal width, so that text order is address order; nulls where it is none."""
-
-    def ends(value: str | None) -> tuple[str | None, str | None, int | None]:
-        try:
-            net = ipaddress.ip_network((value or "").strip(), strict=False)
-        except ValueError:
-            return None, None, None
-        return f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}", net.version
-
-    return pd.DataFrame([ends(v) for v in values], columns=["lo", "hi", "v"])
+#: Always let in, so that nobody locks themselves out of their own machine.
+LOOPBACK = ("127.0.0.1", "::1", "localhost")
 
 
 def screen_ip(df: DataFrame, rules: DataFrame, ip: str = "ip") -> DataFrame:
-    """Adds ip_ok: loopback, or within a rule of type ip_whitelist (an address or a network, v4 or v6); a bad address is
-    refused. Rules are broadcast: a hand-kept list."""
-    address = df.withColumn("_n", _network(F.col(ip))).withColumn("_row", F.monotonically_increasing_id())
-    nets = rules.filter("type = 'ip_whitelist'").select(_network("value").alias("r")).filter("r.lo IS NOT NULL").select("r.*").distinct()
-    hit = (F.col("_n.v") == F.col("v")) & F.col("_n.lo").between(F.col("lo"), F.col("hi"))
-    known = address.join(F.broadcast(nets), hit, "left_semi").select("_row", F.lit(True).alias("_in"))
-    loopback = F.col(ip).rlike(r"^127\.\d+\.\d+\.\d+$") | (F.col(ip) == "::1")
-    return address.join(known, "_row", "left").withColumn("ip_ok", F.coalesce(F.col("_n.lo").isNotNull() & (loopback | F.coalesce("_in", F.lit(False))), F.lit(False))).drop("_n", "_row", "_in")
+    """Adds ip_ok: loopback, or within a rule of type ip_whitelist (an address or a network, v4 or v6), and ip_rule, the longest
+    such network; a bad address is refused, a bad rule is no rule. Each distinct address is cut to every length that networks
+    have (162 at most) and joined with them by equality, so neither table's size matters and Spark chooses the join."""
+    nets = rules.filter("type = 'ip_whitelist'").select(network(F.col("value")).alias("_net"), F.trim("value").alias("ip_rule")).filter("_net IS NOT NULL").groupBy("_net").agg(F.min("ip_rule").alias("ip_rule"))
+    lengths = sorted(r[0] for r in nets.select(F.length("_net")).distinct().collect())
+    seen = df.select(F.col(ip).alias("_ip")).distinct().withColumn("_bits", address(F.col("_ip"))).filter("_bits IS NOT NULL")
+    cut = seen.select("_ip", F.explode(F.array_distinct(F.array(*[F.substring("_bits", 1, n) for n in lengths]).cast("array<string>"))).alias("_net"))
+    known = cut.join(nets, "_net").groupBy("_ip").agg(F.max_by("ip_rule", F.length("_net")).alias("ip_rule"))
+    out = df.drop("ip_rule").join(known, F.col(ip) == F.col("_ip"), "left").drop("_ip")
+    return out.withColumn("ip_ok", F.coalesce(F.col(ip).isin(*LOOPBACK) | F.col("ip_rule").isNotNull(), F.lit(False)))
 
 
 def screen_email(df: DataFrame, rules: DataFrame, email: str = "email") -> DataFrame:
-    """Adds domain_ok and blacklisted; case does not matter, a leading @ of a rule is dropped."""
-    domains = rules.filter("type = 'domain_whitelist'").select(F.lower(F.regexp_replace("value", "^@", "")).alias("_dom"), F.lit(True).alias("domain_ok")).distinct()
-    black = rules.filter("type = 'user_blacklist'").select(F.lower("value").alias("_mail"), F.lit(True).alias("blacklisted")).distinct()
-    out = df.withColumns({"_dom": F.lower(F.substring_index(email, "@", -1)), "_mail": F.lower(email)})
+    """Adds domain_ok and blacklisted; neither case nor outer blanks matter, a leading @ of a rule is dropped, and an address
+    without @ has no domain."""
+    plain = lambda c: F.lower(F.trim(c))
+    domains = rules.filter("type = 'domain_whitelist'").select(plain(F.regexp_replace("value", "^@+", "")).alias("_dom"), F.lit(True).alias("domain_ok")).distinct()
+    black = rules.filter("type = 'user_blacklist'").select(plain(F.col("value")).alias("_mail"), F.lit(True).alias("blacklisted")).distinct()
+    out = df.withColumns({"_dom": F.when(F.contains(email, F.lit("@")), plain(F.substring_index(email, "@", -1))), "_mail": plain(F.col(email))})
     return out.join(domains, "_dom", "left").join(black, "_mail", "left").drop("_dom", "_mail").fillna(False, ["domain_ok", "blacklisted"])
 
 
@@ -86,10 +75,9 @@ def rule_list(rules: DataFrame, users: DataFrame, rule_type: str | None = None,
 
 def check_rules(rules: DataFrame) -> DataFrame:
     """Adds valid, by type."""
-    checked = rules.withColumn("_n", _network("value"))
     domain = F.regexp_replace("value", "^@", "").rlike(r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$")
-    valid = F.when(F.col("type") == "ip_whitelist", F.col("_n.lo").isNotNull()).when(F.col("type") == "domain_whitelist", domain).otherwise(F.col("value").rlike(r"^[^@\s]+@[^@\s]+$"))
-    return checked.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_n")
+    valid = F.when(F.col("type") == "ip_whitelist", network(F.col("value")).isNotNull()).when(F.col("type") == "domain_whitelist", domain).otherwise(F.col("value").rlike(r"^[^@\s]+@[^@\s]+$"))
+    return rules.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
 def visible(messages: DataFrame, now: float) -> DataFrame:
@@ -109,9 +97,14 @@ def inbox(messages: DataFrame, users: DataFrame, now: float, n: int = 20) -> Dat
     return named.unionByName(everyone).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def message_list(messages: DataFrame, users: DataFrame, now: float) -> DataFrame:
-    """(id, status, targets): names of the targets joined by 、, unknown ids as they are, all as it is."""
+def message_list(messages: DataFrame, users: DataFrame, now: float, msg_type: str = "", status: str = "", title: str = "") -> DataFrame:
+    """(id, status, targets), of one type, one status (as it is now) and titles that hold the given text where these are given:
+    names of the targets joined by 、, unknown ids as they are, all as it is."""
     out = visible(messages, now)
+    for name, value in (("type", msg_type), ("status", status)):
+        out = out.filter(F.col(name) == value) if value else out
+    if title:
+        out = out.filter(F.contains(F.lower("title"), F.lit(title.lower())))
     each = out.filter("target_users <> 'all'").select("id", F.posexplode(F.from_json("target_users", "array<string>")).alias("pos", "user_id"))
     names = users.select(F.col("id").alias("user_id"), "username")
     joined = each.join(names, "user_id", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("username", "user_id").alias("t")))).alias("p"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,7 @@ STAGE_TEXTS = {
     "empty_pairs": "Value error, qa_pairs 不能为空（每个 chunk 至少 3 条 QA）", "score": "Input should be between 0 and 100", "doc_type": "Input should be a known document type",
 }
 UNKNOWN_TAGS = ("", "未知", "待定", "未注明")
+EXPIRED = "-已过期"
 DATE = r"(\d{4}-\d{2}-\d{2})"
 
 
@@ -142,14 +144,41 @@ def classify(df: DataFrame, col: str = "text", families: dict[str, tuple[str, ..
     return df.withColumn("doc_type", F.element_at(F.array(*[F.lit(f) for f in families]), place)).drop("_c")
 
 
-def term_pairs(df: DataFrame, key: str, col: str, max_dist: int = 1, head: int = 4, least: int = 8) -> DataFrame:
-    """(key, item 'A / B'): distinct words of a document, of least characters or more and with an equal head, that differ by
-    at most max_dist edits. Words are blocked by (document, head), so no pair is made across blocks."""
-    words = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(r"[A-Za-z]{%d,}" % least), F.lit(0)))).alias("w"))
-    blocked = words.withColumn("h", F.substring("w", 1, head))
-    a, b = blocked.withColumnRenamed("w", "a"), blocked.withColumnRenamed("w", "b")
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= max_dist) & (F.levenshtein("a", "b") <= max_dist)
-    return a.join(b, [key, "h"]).filter(near).select(key, F.concat_ws(" / ", "a", "b").alias("item"))
+LEAST_LETTERS = 8
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _one_edit_apart(texts: pd.Series) -> pd.Series:
+    """'A / B' of the words of each list that differ by one letter put in, left out or changed, by what is left of them without
+    one letter. Words of one length are indexed at a time, one place of the letter at a time."""
+
+    def near(words: Iterable[str]) -> list[str]:
+        lengths: dict[int, list[str]] = {}
+        for w in words:
+            lengths.setdefault(len(w), []).append(w)
+        pairs = set()
+        for n, own in lengths.items():
+            shorter = set(lengths.get(n - 1, ()))
+            for place in range(n):
+                index: dict[str, list[str]] = {}
+                for w in own:
+                    rest = w[:place] + w[place + 1 :]
+                    others = index.setdefault(rest, [])
+                    pairs.update((min(w, o), max(w, o)) for o in others)
+                    others.append(w)
+                    if rest in shorter:
+                        pairs.add((min(w, rest), max(w, rest)))
+        return [f"{a} / {b}" for a, b in sorted(pairs)]
+
+    return pd.Series([near(words) if words is not None else [] for words in texts])
+
+
+def term_pairs(df: DataFrame, key: str, col: str, least: int = LEAST_LETTERS) -> DataFrame:
+    """(key, item 'A / B'): the distinct words of a document, of least letters of any script or more, that differ by one edit, each
+    pair once in order of code points. A word is compared by its deletions and not with other words, within its own row, so
+    nothing is shuffled."""
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(r"\p{L}{%d,}" % least), F.lit(0)))
+    return df.select(key, F.explode(_one_edit_apart(words)).alias("item"))
 
 
 def normalise_tags(tags: DataFrame) -> DataFrame:
@@ -167,6 +196,12 @@ def expire(tags: DataFrame, as_of: str) -> DataFrame:
     return tags.withColumn("expired", F.coalesce(last < F.lit(as_of).cast("date"), F.lit(False)))
 
 
+def expired_items(tags: DataFrame, as_of: str) -> DataFrame:
+    """(doc_id, chunk_id, item): the expired_items entry of each chunk whose time is over."""
+    entry = F.concat("chunk_id", F.lit(": "), F.coalesce("version_timeliness", F.lit("")), F.lit(EXPIRED))
+    return expire(tags, as_of).filter("expired").select("doc_id", "chunk_id", entry.alias("item"))
+
+
 def missing_tags(tags: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, item): an entry for each placeholder tag."""
     entries = F.array_compact(F.array(*[F.when(F.col(t) == MISSING, F.concat("chunk_id", F.lit(f": 缺少{t}"))) for t in TAGS]))

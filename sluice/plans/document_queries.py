@@ -133,12 +133,14 @@ def repaired_marks(spark, sf_dir):
     return validate.repair_marks(base.qa(spark, sf_dir)).select("doc_id", "qa_no", "fixed", "remark")
 
 
-@query(BASE + " SELECT doc_id, 'total_qa_pairs' AS field, CAST(doc_id % 5 AS BIGINT) AS declared, count(*) AS actual FROM qa GROUP BY doc_id HAVING count(*) <> doc_id % 5")
+@query(BASE + """, c AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY doc_id), p AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM qa GROUP BY doc_id),
+d AS (SELECT doc_id, CAST(ceil(n_chars / 80) AS BIGINT) AS chunks, CAST(length(source) AS BIGINT) AS pairs, coalesce(c.n, 0) AS has_chunks, coalesce(p.n, 0) AS has_pairs FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id))
+SELECT doc_id, 'total_chunks' AS field, chunks AS declared, has_chunks AS actual FROM d WHERE chunks IS DISTINCT FROM has_chunks
+UNION ALL SELECT doc_id, 'total_qa_pairs', pairs, has_pairs FROM d WHERE pairs IS DISTINCT FROM has_pairs""")
 def checked_totals(spark, sf_dir):
-    q = base.qa(spark, sf_dir)
-    atoms = base.lines(spark, sf_dir).join(q.select("doc_id").distinct(), "doc_id", "left_semi")
-    info = atoms.groupBy("doc_id").agg(F.count("*").alias("total_chunks")).withColumn("total_qa_pairs", F.col("doc_id") % 5)
-    return validate.check_totals(info, atoms, q)
+    """Declared are a chunk for each 80 characters and as many pairs as the source has letters."""
+    info = table(spark, sf_dir, "documents").select("doc_id", F.ceil(F.col("n_chars") / 80).alias("total_chunks"), F.length("source").alias("total_qa_pairs"))
+    return validate.check_totals(info, base.lines(spark, sf_dir), base.qa(spark, sf_dir))
 
 
 def _raw(spark, sf_dir):

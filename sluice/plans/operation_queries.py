@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sluice.operators import access, usage
 from sluice.plans import base
 from sluice.plans.base import LEDGER, NOW, TASKS, USERS, table
-from sluice.streaming import jobs
+from sluice.streaming import jobs, state
 
 QUERIES, ORACLES = {}, {}
 BASE = f"WITH {TASKS}, {LEDGER}, {USERS}"
@@ -85,9 +85,10 @@ def recent_tasks(spark, sf_dir):
     return usage.recent_tasks(base.tasks(spark, sf_dir)).select("user_id", "task_id", "rank")
 
 
-@query(BASE + " SELECT task_id, user_id, status FROM tasks UNION ALL SELECT 'order-' || o_orderkey, NULL, 'completed' FROM orders WHERE o_orderstatus = 'F'")
+@query(BASE + " SELECT task_id, user_id, status FROM tasks UNION ALL SELECT 'order-' || o_orderkey, NULL, CASE o_orderstatus WHEN 'F' THEN 'completed' ELSE 'processing' END FROM orders")
 def task_list(spark, sf_dir):
-    outputs = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("task_id"), F.lit("completed").alias("status"))
+    status = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("processing")
+    outputs = table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("task_id"), status.alias("status"))
     return usage.task_list(base.tasks(spark, sf_dir), outputs).select("task_id", "user_id", "status")
 
 
@@ -130,15 +131,15 @@ def audit_by_keyword(spark, sf_dir):
 
 
 def _rules(spark, sf_dir):
-    """Networks of nations, domains of regions and a blacklist of suppliers' numbers as users."""
+    """Networks of nations, domains of regions and a blacklist of the users who are disabled."""
     n = table(spark, sf_dir, "nation").select(F.lit("ip_whitelist").alias("type"), F.concat(F.lit("10."), F.col("n_nationkey").cast("string"), F.lit(".0.0/17")).alias("value"))
     v6 = table(spark, sf_dir, "region").select(F.lit("ip_whitelist").alias("type"), F.concat(F.lit("fd00:"), F.col("r_regionkey").cast("string"), F.lit("::/32")).alias("value"))
     d = table(spark, sf_dir, "region").filter("r_regionkey < 2").select(F.lit("domain_whitelist").alias("type"), F.when(F.col("r_regionkey") == 0, "@HOUSEHOLD.example").otherwise("machinery.example").alias("value"))
-    b = base.users(spark, sf_dir).filter("id % 20 = 3").select(F.lit("user_blacklist").alias("type"), F.upper("email").alias("value"))
+    b = base.users(spark, sf_dir).filter("status = 'disabled'").select(F.lit("user_blacklist").alias("type"), F.upper("email").alias("value"))
     return n.unionByName(v6).unionByName(d).unionByName(b).withColumn("note", F.lit(None).cast("string"))
 
 
-@query(BASE + """, c AS (SELECT CAST(id AS BIGINT) AS k, id, email FROM users) SELECT id, CASE WHEN k % 20 = 3 THEN 'blacklisted'
+@query(BASE + """, c AS (SELECT CAST(id AS BIGINT) AS k, id, email, status FROM users) SELECT id, CASE WHEN status = 'disabled' THEN 'blacklisted'
 WHEN NOT CASE k % 5 WHEN 0 THEN k % 40 < 25 AND k % 250 < 128 WHEN 1 THEN true WHEN 2 THEN k % 7 < 5 WHEN 3 THEN false ELSE false END THEN 'ip'
 WHEN NOT (email LIKE '%@household.example' OR email LIKE '%@machinery.example') THEN 'domain' ELSE 'allowed' END AS decision FROM c""")
 def screened_logins(spark, sf_dir):
@@ -148,7 +149,7 @@ def screened_logins(spark, sf_dir):
     return access.screen(base.users(spark, sf_dir).select("id", "email", ip.alias("ip")), _rules(spark, sf_dir)).select("id", "decision")
 
 
-@query(BASE + " SELECT type, value, valid, name FROM (SELECT 'user_blacklist' AS type, upper(email) AS value, true AS valid, username AS name FROM users WHERE CAST(id AS BIGINT) % 20 = 3 UNION ALL SELECT 'ip_whitelist', '10.' || n_nationkey || '.0.0/17', true, NULL FROM nation UNION ALL SELECT 'ip_whitelist', 'fd00:' || r_regionkey || '::/32', true, NULL FROM region UNION ALL SELECT 'domain_whitelist', CASE r_regionkey WHEN 0 THEN '@HOUSEHOLD.example' ELSE 'machinery.example' END, true, NULL FROM region WHERE r_regionkey < 2)")
+@query(BASE + " SELECT type, value, valid, name FROM (SELECT 'user_blacklist' AS type, upper(email) AS value, true AS valid, username AS name FROM users WHERE status = 'disabled' UNION ALL SELECT 'ip_whitelist', '10.' || n_nationkey || '.0.0/17', true, NULL FROM nation UNION ALL SELECT 'ip_whitelist', 'fd00:' || r_regionkey || '::/32', true, NULL FROM region UNION ALL SELECT 'domain_whitelist', CASE r_regionkey WHEN 0 THEN '@HOUSEHOLD.example' ELSE 'machinery.example' END, true, NULL FROM region WHERE r_regionkey < 2)")
 def access_rules(spark, sf_dir):
     return access.check_rules(access.rule_list(_rules(spark, sf_dir), base.users(spark, sf_dir))).select("type", "value", "valid", "name")
 
@@ -159,7 +160,7 @@ def _messages(spark, sf_dir):
     both = F.concat(F.lit('["'), (k % 100).cast("string"), F.lit('","'), F.col("o_custkey").cast("string"), F.lit('"]'))
     return table(spark, sf_dir, "orders").select(
         k.alias("id"), F.when(k % 1000 == 0, "all").otherwise(both).alias("target_users"), F.when(k % 4 == 0, "scheduled").when(k % 4 == 1, "revoked").otherwise("sent").alias("status"),
-        (F.lit(NOW) + (k % 50 - 25) * 100).alias("scheduled_at"), F.when(k % 4 > 1, F.lit(NOW) - k).alias("sent_at"),
+        (F.lit(NOW) + (k % 50 - 25) * 100).alias("scheduled_at"), F.when(k % 4 > 1, F.lit(NOW) - k).alias("sent_at"), F.col("o_orderpriority").alias("type"), F.col("o_orderdate").cast("date").cast("string").alias("title"),
     )
 
 
@@ -196,6 +197,12 @@ def latest_progress(spark, sf_dir):
     return jobs.stream_progress(table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("at"), (F.col("event_id") % 5).alias("stage"), step.alias("step"))).withColumnRenamed("at", "last_event")
 
 
+@query(BASE + "," + MESSAGES + """ SELECT raw.id, raw.status, CASE WHEN everyone THEN 'all' ELSE coalesce(x.username, a) || '、' || coalesce(y.username, b) END AS targets
+FROM raw JOIN orders ON o_orderkey = id LEFT JOIN users AS x ON x.id = a LEFT JOIN users AS y ON y.id = b WHERE o_orderpriority LIKE '1%' AND raw.status = 'sent' AND CAST(CAST(o_orderdate AS DATE) AS VARCHAR) LIKE '%-03-%'""")
+def found_messages(spark, sf_dir):
+    return access.message_list(_messages(spark, sf_dir), base.users(spark, sf_dir), NOW, "1-URGENT", "sent", "-03-")
+
+
 @query("""WITH RECURSIVE l AS (SELECT user_id, event_id, floor(epoch(ts)) AS t, event_type NOT IN ('error', 'view') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS r FROM events),
 w AS (SELECT user_id, r, CASE WHEN ok THEN 0 ELSE 1 END AS n, CAST(0 AS DOUBLE) AS until, false AS locks, CAST(t AS DOUBLE) AS t FROM l WHERE r = 1
 UNION ALL SELECT l.user_id, l.r, CASE WHEN l.t < until THEN n WHEN ok THEN 0 ELSE n + 1 END, CASE WHEN l.t >= until AND NOT ok AND n + 1 >= 3 THEN l.t + 7200.0 ELSE until END, l.t >= until AND NOT ok AND n + 1 >= 3, CAST(l.t AS DOUBLE)
@@ -205,3 +212,36 @@ def lockouts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     logins = e.select(F.col("user_id").alias("email"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "view")).alias("ok"))
     return jobs.lockouts(logins, 3, 120).withColumnRenamed("at", "locked_at")
+
+
+def _event_stream(spark, sf_dir):
+    """The table as a stream, times cut to seconds as in the batch queries."""
+    e = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path is a folder or one
+    return stream.withColumn("at", F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp"))))
+
+
+@query(ORACLES["lockouts"])
+def lockouts_streamed(spark, sf_dir):
+    """The lock-outs of the event-time stream: the same rows as the batch fold gives."""
+    logins = _event_stream(spark, sf_dir).select(F.col("user_id").alias("email"), "at", F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "view")).alias("ok"))
+    out = state.drain(state.stream_lockouts(logins, 3, 120, "0 seconds"), base.folder(spark))
+    return out.select("email", F.unix_timestamp("at").cast("double").alias("locked_at"), F.unix_timestamp("locked_until").cast("double").alias("locked_until"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id % 5 AS stage, CASE event_type WHEN 'view' THEN 0.0 WHEN 'click' THEN 0.2 WHEN 'signup' THEN 0.6 WHEN 'purchase' THEN 1.0 ELSE 0.0 END AS step, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id FROM events)
+SELECT user_id AS task_id, (stage + step) / 5 AS progress, t AS last_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS r FROM e) WHERE r = 1""")
+def progress_streamed(spark, sf_dir):
+    kind = F.col("event_type")
+    step = F.when(kind == "view", "started").when(kind == "click", "calling").when(kind == "signup", "validating").when(kind == "purchase", "success").otherwise("failed")
+    events = _event_stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), "at", F.col("event_id").alias("seq"), (F.col("event_id") % 5).alias("stage"), step.alias("step"))
+    out = state.drain(state.stream_latest(events, jobs.STEPS), base.folder(spark), "update")
+    return out.select("task_id", "progress", F.unix_timestamp("at").alias("last_at"))
+
+
+@query(f"""WITH e AS (SELECT user_id, to_timestamp(floor(epoch(ts))) AS t, event_id % 97 AS tokens FROM events), d AS (SELECT {DAY.format('epoch(t)')} AS day, user_id, tokens, t FROM e)
+SELECT day, user_id, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens) >= 50 AS over FROM d WHERE CAST(day AS DATE) + 1 <= (SELECT (max(t) - INTERVAL 1 HOUR) AT TIME ZONE 'UTC' FROM e) GROUP BY 1, 2""")
+def closed_days(spark, sf_dir):
+    """The daily totals of the event-time stream in append mode: those of days that its watermark has passed."""
+    ledger = _event_stream(spark, sf_dir).select(F.col("at").alias("consumed_at"), "user_id", (F.col("event_id") % 97).alias("tokens"))
+    return state.drain(jobs.stream_daily_tokens(ledger, 50), base.folder(spark)).withColumn("day", F.col("day").cast("string"))

@@ -58,7 +58,7 @@ CHUNKS = "WITH " + PACKED.replace("{cut}", "(n >= 300 OR n + length(p) + 2 > 800
 ) SELECT source, rule, CAST(sum(n) AS BIGINT) AS n_hits FROM found GROUP BY source, rule HAVING sum(n) > 0""")
 def sensitive_by_source(spark, sf_dir):
     """Flagship: segment all documents, scan every segment for sensitive values, and count hits by source and rule."""
-    found = sensitive.detect(_segments(spark, sf_dir), "segment").select("source", F.explode("hits").alias("h"))
+    found = sensitive.exploded(sensitive.detect(_segments(spark, sf_dir), "segment"), "source")
     return found.groupBy("source", F.col("h.rule").alias("rule")).agg(F.count("*").alias("n_hits"))
 
 
@@ -84,6 +84,31 @@ def scan_report(spark, sf_dir):
     return sensitive.scan_report(_docs(spark, sf_dir), "doc_id", "text")
 
 
+# A text for each customer that holds a value of every rule: what stands before the value, the value, its rule.
+SECRETS = (
+    ("", "'pwd=x' || lpad(k, 6, '0')", "password"), (" 电话", "'13' || lpad(k, 9, '0')", "phone"), ("，证件", "lpad(k, 17, '1') || 'X'", "id_card"),
+    ("；", "'API Key: ak_' || lpad(k, 8, '0')", "api_key"), (", ", "'secret_key=sk' || lpad(k, 8, '0')", "secret_key"), (" ", "'ToKeN：tk.' || lpad(k, 8, '0')", "token"),
+    (" ", "'salt=s' || lpad(k, 5, '0')", "salt"), (" 卡", "lpad(k, 16, '6')", "bank_card"), (" ip ", "'10.0.1.' || right(k, 2)", "internal_ip"), (" mail ", "'u' || k || '@mail.example'", "email"),
+)
+CUSTOMERS = "SELECT c_custkey, CAST(c_custkey + 10 AS STRING) AS k FROM customer"
+
+
+@query(f"SELECT c_custkey, '{','.join(r for _, _, r in SECRETS)}' AS rules, md5('{''.join(b + sensitive.FLAGGED for b, _, _ in SECRETS)} end') AS flagged_md5, CAST("
+       + " + ".join(f"length({v})" for _, v, _ in SECRETS) + f" AS BIGINT) AS n_chars, '{sensitive.MASKED}' || ' 电话' AS masked_head FROM ({CUSTOMERS})")
+def secrets_of_every_rule(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") + 10).cast("string").alias("k"))
+    texts = customers.select("c_custkey", F.expr(" || ".join(f"'{b}' || {v}" for b, v, _ in SECRETS) + " || ' end'").alias("text"))
+    both = sensitive.mask(sensitive.flag(texts, "text"), "text")
+    size = F.aggregate("hits", F.lit(0), lambda n, h: n + h["end"] - h["start"]).cast("long")
+    return both.select("c_custkey", F.array_join("hits.rule", ",").alias("rules"), F.md5("flagged").alias("flagged_md5"), size.alias("n_chars"), F.substring("masked", 1, len(sensitive.MASKED) + 3).alias("masked_head"))
+
+
+@query(f"WITH {base.QA}" + """ SELECT doc_id, qa_no, md5(regexp_replace(regexp_replace(answer, '(^|[^0-9])[0-9]{16,19}([^0-9]|$)', '\\1【敏感数据】\\2', 'g'), '(^|[^0-9])[0-9]{16,19}([^0-9]|$)', '\\1【敏感数据】\\2', 'g')) AS answer_md5,
+len(list_filter(regexp_extract_all(answer, '[0-9]+'), lambda x: length(x) BETWEEN 16 AND 19)) + len(regexp_extract_all(answer, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS n_hits FROM qa""")
+def masked_answers(spark, sf_dir):
+    return sensitive.mask_answers(base.qa(spark, sf_dir)).select("doc_id", "qa_no", F.md5("answer").alias("answer_md5"), F.size("hits").cast("long").alias("n_hits"))
+
+
 @query("SELECT doc_id, CASE WHEN length(source || '-' || lang) <= 8 THEN '****' ELSE substr(source || '-' || lang, 1, 3) || '****' || right(source || '-' || lang, 4) END AS shown FROM documents")
 def masked_keys(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", sensitive.mask_key(F.concat_ws("-", "source", "lang")).alias("shown"))
@@ -210,8 +235,11 @@ def document_types(spark, sf_dir):
     return stages.classify(_docs(spark, sf_dir)).select("doc_id", "doc_type")
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS w FROM documents)
-SELECT a.doc_id, a.w || ' / ' || b.w AS item FROM w AS a JOIN w AS b ON a.doc_id = b.doc_id AND substr(a.w, 1, 4) = substr(b.w, 1, 4) AND a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 AND levenshtein(a.w, b.w) <= 1""")
+# The distance is one of bytes, of which a letter has four at most; then one place where the words' letters part is looked for.
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\p{L}{8,}')) AS w FROM documents),
+p AS (SELECT a.doc_id, a.w AS a, b.w AS b FROM w AS a JOIN w AS b ON a.doc_id = b.doc_id AND a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 AND levenshtein(a.w, b.w) <= 4)
+SELECT doc_id, a || ' / ' || b AS item FROM p WHERE len(list_filter(range(0, length(a) + 1), lambda i: a[:i] = b[:i]
+  AND (a[i + 2:] = b[i + 2:] OR a[i + 1:] = b[i + 2:] OR a[i + 2:] = b[i + 1:]))) > 0""")
 def terminology_pairs(spark, sf_dir):
     return stages.term_pairs(_docs(spark, sf_dir), "doc_id", "text")
 

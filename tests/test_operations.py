@@ -81,3 +81,80 @@ def test_unknown_format_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError):
         export.export(spark.range(1), "nothing", str(tmp_path))
     assert len(export.FORMATS) == 8
+
+
+def test_addresses_are_those_of_the_standard_library(spark):
+    import ipaddress
+
+    from sluice.functions import addresses
+
+    texts = """1.2.3.4 0.0.0.0 255.255.255.255 01.2.3.4 1.2.3 1.2.3.4.5 256.1.1.1 1.2.3.4/8 10.0.0.0/33 10.0.0.0/0 10.1.0.0/255.255.0.0 10.1.0.0/0.0.255.255 10.1.0.0/255.0.255.0 10.0.0.0/ 1.1.1.1/2/3
+    :: ::1 1:: 1::8 1:2:3:4:5:6:7:8 1:2:3:4:5:6:7 1:2:3:4:5:6:7:: ::2:3:4:5:6:7:8 1:2:3:4:5:6:7:8:9 1::2::3 ::: :1 1: ::ffff:1.2.3.4 1:2:3:4:5:6:1.2.3.4 1.2.3.4:: ::1.2.3 ::01.2.3.4 2001:DB8::/32 fd00::/129
+    fe80::1%eth0 12345::1 g::1 ::/0 localhost x . 1:2:3:4::5:6:7:8 ::1.2.3.4/127""".split() + ["", " 1.2.3.4", None]
+
+    def expected(text, make, host):
+        try:
+            found = make(text)
+        except ValueError:
+            return None
+        first = found if host else found.network_address
+        size, length = (32, 4) if found.version == 4 else (128, 6)
+        return f"{length}" + f"{int(first):0{size}b}"[: None if host else found.prefixlen]
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", addresses.address(F.col("t")).alias("a"), addresses.network(F.col("t")).alias("n")).collect()
+    for r in rows:
+        assert r.a == (expected(r.t, ipaddress.ip_address, True) if r.t is not None else None), r.t
+        if r.t is not None and "%" not in r.t and r.t == r.t.strip():
+            assert r.n == expected(r.t, lambda t: ipaddress.ip_network(t, strict=False), False), r.t
+
+
+def test_the_longest_network_is_named_and_the_plan_has_no_nested_loop(spark):
+    rules = spark.createDataFrame([("ip_whitelist", v) for v in ("10.0.0.0/8", "10.1.0.0/16", "10.1.2.3", "fd00::/8", "0.0.0.0/33")] + [("domain_whitelist", "@@Ok.example ")], "type string, value string")
+    people = ["10.1.2.3", "10.1.9.9", "10.9.9.9", "11.0.0.1", "fdff::1", "localhost", "127.0.0.2", None, "10.1.2.3"]
+    df = spark.createDataFrame([(k, ip, "a@ok.example" if k else "ok.example") for k, ip in enumerate(people)], "id int, ip string, email string")
+    out = access.screen(df, rules)
+    assert [(r.ip_ok, r.ip_rule) for r in out.orderBy("id").collect()] == [
+        (True, "10.1.2.3"), (True, "10.1.0.0/16"), (True, "10.0.0.0/8"), (False, None), (True, "fd00::/8"), (True, None), (False, None), (False, None), (True, "10.1.2.3")
+    ]
+    assert [r.domain_ok for r in out.orderBy("id").collect()] == [False] + [True] * 8
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_term_pairs_of_any_script(spark):
+    import itertools
+    import random
+
+    from sluice.operators import stages
+
+    texts = ["Kubernetes Cubernetes Microservice Mikroservice Straßenverkehr Strassenverkehr développement developpement Straßenverkehre xxxxxxx xxxxxxy", None, "", "Алгоритмы Алгоритма 日本語日本語日本 日本語日本語日木"]
+    rng = random.Random(1)
+    texts.append(" ".join("".join(rng.choice("ab") for _ in range(rng.choice([8, 9]))) for _ in range(60)))
+    got = {(r.k, r.item) for r in stages.term_pairs(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t").collect()}
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    words = {k: sorted({w for w in (t or "").split() if len(w) >= 8}) for k, t in enumerate(texts)}
+    assert got == {(k, f"{a} / {b}") for k, own in words.items() for a, b in itertools.combinations(own, 2) if apart(a, b) == 1}
+    assert (0, "développement / developpement") not in got and (0, "developpement / développement") in got and (0, "Microservice / Mikroservice") in got
+
+
+def test_messages_by_type_status_and_title(spark):
+    rows = [(1, "all", "sent", 0.0, 1.0, "notice", "Maintenance window"), (2, "all", "scheduled", 5.0, None, "notice", "maintenance"), (3, "all", "draft", 0.0, None, "alert", "Maintenance"), (4, "all", "sent", 0.0, 1.0, "notice", None)]
+    messages = spark.createDataFrame(rows, "id int, target_users string, status string, scheduled_at double, sent_at double, type string, title string")
+    users = spark.createDataFrame([("u", "U")], "id string, username string")
+    got = lambda **by: sorted(r.id for r in access.message_list(messages, users, 10.0, **by).collect())
+    assert got() == [1, 2, 3, 4] and got(msg_type="notice", status="sent", title="MAINT") == [1, 2] and got(status="draft") == [3]
+
+
+def test_expired_chunks_have_an_entry(spark):
+    from sluice.operators import stages
+
+    tags = spark.createDataFrame([(1, "P1-C001", "2023-01-01~2023-06-30"), (1, "P1-C002", "2030-01-01"), (1, "P1-C003", None)], "doc_id int, chunk_id string, version_timeliness string")
+    assert [r["item"] for r in stages.expired_items(tags, "2024-01-01").collect()] == ["P1-C001: 2023-01-01~2023-06-30-已过期"]
