@@ -6,21 +6,16 @@ So an address is within a network where the network's text begins the address's,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sluice.functions.columns import let
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _V4_TAIL = r":([0-9.]*\.[0-9.]*)$"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value computed once however often then() names it."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def _v4(text: Column) -> Column:
     """The 32 bits of a dotted address, else null."""
     bits = F.array_join(F.transform(F.split(text, r"\."), lambda x: F.lpad(F.conv(x, 10, 2), 8, "0")), "")
@@ -32,7 +27,7 @@ def _v6(text: Column) -> Column:
 
     def plain(own: Column) -> Column:
         tail = F.regexp_extract(own, _V4_TAIL, 1)
-        low = _let(F.lpad(F.conv(_v4(tail), 2, 16), 8, "0"), lambda x: F.concat(F.substring(x, 1, 4), F.lit(":"), F.substring(x, 5, 4)))
+        low = let(F.lpad(F.conv(_v4(tail), 2, 16), 8, "0"), lambda x: F.concat(F.substring(x, 1, 4), F.lit(":"), F.substring(x, 5, 4)))
         return F.when(own.rlike(_V4_TAIL), F.lower(F.concat(F.regexp_replace(own, r"[0-9.]+$", ""), low))).otherwise(own)
 
     def bits(halves: Column) -> Column:
@@ -45,9 +40,9 @@ def _v6(text: Column) -> Column:
             of = lambda k: F.array_join(F.transform(F.coalesce(F.get(own, k), none), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
             return F.when(valid, F.concat(of(0), F.repeat(F.lit("0"), 16 * (8 - F.size(every))), of(1)))
 
-        return _let(groups, join)
+        return let(groups, join)
 
-    return _let(F.lower(F.regexp_replace(text, "%[^%]+$", "")), lambda own: _let(F.split(plain(own), "::"), bits))
+    return let(F.lower(F.regexp_replace(text, "%[^%]+$", "")), lambda own: let(F.split(plain(own), "::"), bits))
 
 
 def address(text: Column) -> Column:
@@ -62,13 +57,13 @@ def network(text: Column) -> Column:
         given = F.get(parts, 1)
         number = F.when(given.rlike("^[0-9]{1,9}$"), given.cast("int"))
         count = lambda mask, bit: F.length(F.regexp_replace(mask, f"[^{bit}]", ""))
-        of_mask = _let(_v4(given), lambda mask: F.when(mask.rlike("^1*0*$"), count(mask, 1)).when(mask.rlike("^0*1*$"), count(mask, 0)))
+        of_mask = let(_v4(given), lambda mask: F.when(mask.rlike("^1*0*$"), count(mask, 1)).when(mask.rlike("^0*1*$"), count(mask, 0)))
 
         def leading(whole: Column) -> Column:
             masked = F.when(F.startswith(whole, F.lit("4")), of_mask)
             length = F.when(F.size(parts) == 1, F.length(whole) - 1).when(F.size(parts) == 2, F.coalesce(number, masked))
-            return _let(length, lambda n: F.when(n < F.length(whole), F.substring(whole, F.lit(1), n + 1)))
+            return let(length, lambda n: F.when(n < F.length(whole), F.substring(whole, F.lit(1), n + 1)))
 
-        return _let(address(F.get(parts, 0)), leading)
+        return let(address(F.get(parts, 0)), leading)
 
-    return _let(F.split(F.trim(text), "/"), cut)
+    return let(F.split(F.trim(text), "/"), cut)

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.columns import let
+
 # Placeholders and default rules.
 MASKED = "【敏感数据】"
 FLAGGED = "【敏感数据-禁止向量化入库】"
@@ -57,21 +59,16 @@ def _java(rule: Rule) -> str:
     return ("(?uU)" if rule.case_sensitive else "(?iuU)") + rule.pattern
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value computed once however often then() names it."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
     """The running results of step over an array, folded in blocks and then over the blocks, so that no long array grows one by one."""
     fold = lambda own: F.slice(F.aggregate(own, F.array(F.lit(None).cast("int")), lambda s, x: F.concat(s, F.array(F.coalesce(step(F.element_at(s, -1), x), x)))), 2, F.size(own))
 
     def join(blocks: Column) -> Column:
         before = F.concat(F.array(F.lit(None).cast("int")), fold(F.transform(blocks, lambda b: F.element_at(b, -1))))
-        return _let(before, lambda own: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: F.coalesce(step(F.get(own, k), x), x)))))
+        return let(before, lambda own: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: F.coalesce(step(F.get(own, k), x), x)))))
 
     blocks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK)), lambda at: fold(F.slice(values, at + 1, BLOCK)))
-    return F.when(F.size(values) > 0, _let(blocks, join)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(values) > 0, let(blocks, join)).otherwise(F.array().cast("array<int>"))
 
 
 def _spans(text: Column, pattern: str, rule: str, action: str, order: int) -> Column:
@@ -84,9 +81,9 @@ def _spans(text: Column, pattern: str, rule: str, action: str, order: int) -> Co
             return F.transform(F.sequence(F.lit(0), (F.size(parts) / 2).cast("int") - 1), hit)
 
         ends = _running(F.transform(parts, lambda p: F.length(p)), lambda s, x: s + x)
-        return F.when(F.size(parts) > 1, _let(ends, found)).otherwise(F.array()).cast(_ORDERED)
+        return F.when(F.size(parts) > 1, let(ends, found)).otherwise(F.array()).cast(_ORDERED)
 
-    return _let(F.split(marked, f"[{OPEN}{CLOSE}]"), places)
+    return let(F.split(marked, f"[{OPEN}{CLOSE}]"), places)
 
 
 def _accepted(together: Column) -> Column:
@@ -110,7 +107,7 @@ def hits(text: Column, rules: Sequence[Rule] = RULES) -> Column:
     clean = F.when(holds(text, OPEN + CLOSE), F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(text)
     none = F.array().cast(_ORDERED)
     least = min((r.digits for r in ordered if r.digits), default=0)
-    low = _let(F.lower(clean), lambda own: F.when(holds(own, ALIKE[0]), F.translate(own, *ALIKE)).otherwise(own))
+    low = let(F.lower(clean), lambda own: F.when(holds(own, ALIKE[0]), F.translate(own, *ALIKE)).otherwise(own))
     about = F.struct(low.alias("low"), (clean.rlike(rf"(?U)\d{{{least}}}") if least else F.lit(False)).alias("digits"))
 
     def every(known: Column) -> Column:
@@ -123,11 +120,11 @@ def hits(text: Column, rules: Sequence[Rule] = RULES) -> Column:
 
     def sweep(found: Column) -> Column:
         reach = _running(F.transform(found, lambda x: x["end"]), lambda s, x: F.greatest(s, x))
-        begins = _let(reach, lambda own: F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda k: (k == 0) | (F.get(found, k)["start"] >= F.get(own, k - 1))))
-        runs = _let(begins, lambda own: F.transform(own, lambda at, k: F.slice(found, at + 1, F.coalesce(F.get(own, k + 1), F.size(found)) - at)))
+        begins = let(reach, lambda own: F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda k: (k == 0) | (F.get(found, k)["start"] >= F.get(own, k - 1))))
+        runs = let(begins, lambda own: F.transform(own, lambda at, k: F.slice(found, at + 1, F.coalesce(F.get(own, k + 1), F.size(found)) - at)))
         return F.when(F.size(found) > 1, F.flatten(F.transform(runs, _accepted))).otherwise(found)
 
-    kept = F.filter(_let(_let(about, every), sweep), lambda x: x["action"] != "marker")
+    kept = F.filter(let(let(about, every), sweep), lambda x: x["action"] != "marker")
     return F.array_sort(F.transform(kept, lambda x: x.dropFields("order"))).cast(_HIT)
 
 

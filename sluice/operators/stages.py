@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.functions.columns import let
+from sluice.operators import typed
 from sluice.operators.merge import FIELDS, MISSING, TAGS
 
 # Classes in tie order with their keywords, and spellings of an unknown tag.
@@ -19,10 +21,9 @@ FAMILIES = {
     "技术运维": ("server", "token", "password", "运维", "部署"),
     "教学知识": ("lesson", "course", "教学", "课程"),
 }
-REQUIRED = "Field required"
 STAGE_TEXTS = {
     "empty_text": "Value error, cleaned_text 不能为空", "empty_chunks": "Value error, chunks 不能为空", "empty_content": "Value error, chunk content 不能为空",
-    "empty_pairs": "Value error, qa_pairs 不能为空（每个 chunk 至少 3 条 QA）", "score": "Input should be between 0 and 100", "doc_type": "Input should be a known document type",
+    "empty_pairs": "Value error, qa_pairs 不能为空（每个 chunk 至少 3 条 QA）",
 }
 UNKNOWN_TAGS = ("", "未知", "待定", "未注明")
 EXPIRED = "-已过期"
@@ -69,58 +70,41 @@ STAGE_SCHEMAS = {
 }
 
 
-def _each(items: Column, path: Column, errors: Callable[[Column, Column], list[Column]]) -> Column:
-    """The errors of all items, whose paths are path.0, path.1 ..."""
-    return F.flatten(F.transform(items, lambda x, i: F.array_compact(F.concat(*errors(x, F.concat(path, F.lit("."), i.cast("string")))))))
+def _filled(message: str) -> typed.Kind:
+    return typed.text(lambda t: F.when(t.rlike(r"(?U)^\s*$"), message))
 
 
-def _when(broken: Column, path: Column, message: str | Column) -> Column:
-    return F.array(F.when(broken, F.concat(path, F.lit(": "), message if isinstance(message, Column) else F.lit(message))))
+def _numbered(example: str) -> typed.Kind:
+    form = lambda t: F.concat(F.lit("Value error, chunk_id 格式错误: '"), t, F.lit("'，应为 P{N}-C{NNN}" + example))
+    return typed.text(lambda t: F.when(~t.rlike(r"^P\d+-C\d+$"), form(t)))
 
 
-def _present(x: Column, path: Column, names: Sequence[str]) -> list[Column]:
-    return [_when(x[n].isNull(), F.concat(path, F.lit(f".{n}")), REQUIRED) for n in names]
+_TEXT, _TEXTS, _TYPE = typed.text(), typed.list_of(typed.text()), typed.one_of(tuple(FAMILIES))
+_EXCEPTIONS = typed.record("ExceptionList", {}, {f: _TEXTS for f in FIELDS})
+_PAIR = typed.record("QaPair", {"question": _TEXT, "answer": _TEXT, "keywords": _TEXTS, "confidence_score": typed.whole(0, 100)}, {"remark": _TEXT})
+_PARTS = {
+    2: ("Stage2Chunk", {"chunk_id": _numbered("（如 P1-C001）"), "title": _TEXT, "content": _filled(STAGE_TEXTS["empty_content"])}, {"remark": _TEXT}),
+    3: ("Stage3Chunk", {"chunk_id": _numbered(""), "qa_pairs": typed.list_of(_PAIR, STAGE_TEXTS["empty_pairs"])}, {}),
+    4: ("Stage4Chunk", {"chunk_id": _numbered(""), "doc_type": _TYPE, "metadata": typed.record("Metadata", {t: _TEXT for t in TAGS})}, {"remark": _TEXT}),
+}
+#: What the answers of each stage are checked by.
+STAGE_KINDS = {1: typed.record("Stage1Output", {"cleaned_text": _filled(STAGE_TEXTS["empty_text"]), "doc_type": _TYPE}, {"sensitive_items": _TEXTS, "terminology_pending": _TEXTS})} | {
+    n: typed.record(f"Stage{n}Output", {"chunks": typed.list_of(typed.record(*part), STAGE_TEXTS["empty_chunks"])}, {"exception_list": _EXCEPTIONS}) for n, part in _PARTS.items()
+}
 
 
-def stage_errors(stage: int, parsed: Column) -> Column:
-    """The array of 'path: message' of a stage's parsed answer (STAGE_SCHEMAS), empty where it may pass: required fields, known
+def stage_errors(stage: int, answer: Column) -> Column:
+    """The array of 'path: message' of a stage's answer, a VARIANT; empty where it may pass: required fields, types, known
     document types, ids of the form P1-C001, texts and lists that must not be empty, scores from 0 to 100. remark and the
-    exception lists may be missing. A null counts as missing; a value of another type is read as the schema's type if it can be."""
-    at = lambda name: F.lit(name)
-    known = lambda c: F.coalesce(c.isin(*FAMILIES), F.lit(True))
-    blank = lambda c: F.coalesce(c.rlike(r"(?U)^\s*$"), F.lit(False))
-    if stage == 1:
-        top = [
-            _when(parsed["cleaned_text"].isNull(), at("cleaned_text"), REQUIRED), _when(blank(parsed["cleaned_text"]), at("cleaned_text"), STAGE_TEXTS["empty_text"]),
-            _when(parsed["doc_type"].isNull(), at("doc_type"), REQUIRED), _when(~known(parsed["doc_type"]), at("doc_type"), STAGE_TEXTS["doc_type"]),
-        ]
-        return F.array_compact(F.concat(*top))
-
-    def pair(x: Column, path: Column) -> list[Column]:
-        out_of_range = F.coalesce(~x["confidence_score"].between(0, 100), F.lit(False))
-        return [*_present(x, path, ("question", "answer", "keywords", "confidence_score")), _when(out_of_range, F.concat(path, F.lit(".confidence_score")), STAGE_TEXTS["score"])]
-
-    def chunk(x: Column, path: Column) -> list[Column]:
-        bad_id = F.coalesce(~x["chunk_id"].rlike(r"^P\d+-C\d+$"), F.lit(False))
-        form = F.concat(F.lit("Value error, chunk_id 格式错误: '"), x["chunk_id"], F.lit("'，应为 P{N}-C{NNN}"), F.lit("（如 P1-C001）" if stage == 2 else ""))
-        out = [*_present(x, path, ("chunk_id",)), _when(bad_id, F.concat(path, F.lit(".chunk_id")), form)]
-        if stage == 2:
-            return [*out, *_present(x, path, ("title", "content")), _when(blank(x["content"]), F.concat(path, F.lit(".content")), STAGE_TEXTS["empty_content"])]
-        if stage == 3:
-            pairs = F.coalesce(_each(x["qa_pairs"], F.concat(path, F.lit(".qa_pairs")), pair), F.array().cast("array<string>"))
-            return [*out, *_present(x, path, ("qa_pairs",)), _when(F.size(x["qa_pairs"]) == 0, F.concat(path, F.lit(".qa_pairs")), STAGE_TEXTS["empty_pairs"]), pairs]
-        tags = [_when(x["metadata"].isNotNull() & x["metadata"][t].isNull(), F.concat(path, F.lit(f".metadata.{t}")), REQUIRED) for t in TAGS]
-        return [*out, *_present(x, path, ("doc_type", "metadata")), _when(~known(x["doc_type"]), F.concat(path, F.lit(".doc_type")), STAGE_TEXTS["doc_type"]), *tags]
-
-    chunks = parsed["chunks"]
-    top = [_when(chunks.isNull(), at("chunks"), REQUIRED), _when(F.size(chunks) == 0, at("chunks"), STAGE_TEXTS["empty_chunks"])]
-    return F.array_compact(F.concat(*top, F.coalesce(_each(chunks, at("chunks"), chunk), F.array().cast("array<string>"))))
+    exception lists may be absent but not null; unknown fields are ignored."""
+    return STAGE_KINDS[stage](answer, F.lit(""))
 
 
 def stage_gate(responses: DataFrame, stage: int, col: str = "content") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with errors) answers of a stage; one that is no JSON object is rejected as such."""
     parsed = parse_responses(responses, STAGE_SCHEMAS[stage], col)
-    errors = F.when(F.col("ok"), stage_errors(stage, F.col("parsed"))).otherwise(F.array(F.lit("no JSON object")))
+    answer = F.try_parse_json(F.regexp_replace("body", r"[\x00-\x1f]", " "))
+    errors = F.when(F.col("ok"), let(answer, lambda v: stage_errors(stage, v))).otherwise(F.array(F.lit("no JSON object")))
     checked = parsed.withColumn("errors", errors)
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 

@@ -68,10 +68,9 @@ def warn_keywords(qa: DataFrame) -> DataFrame:
 
 
 def check_qa(qa: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, qa_no, error)"""
-    score = F.col("confidence_score")
-    errors = F.array_compact(F.array(F.when(score.isNull(), "score missing"), F.when((score < 0) | (score > 100), "score out of range"), F.when(F.col("question").isNull(), "question missing"), F.when(F.col("answer").isNull(), "answer missing")))
-    return qa.select("doc_id", "chunk_id", "qa_no", F.explode(errors).alias("error"))
+    """(doc_id, chunk_id, qa_no, error): scores out of range. A null is no error; whether a key is there at all, check_atoms() tells."""
+    out = ~F.col("confidence_score").between(0, 100)
+    return qa.filter(out).select("doc_id", "chunk_id", "qa_no", F.lit("score out of range").alias("error"))
 
 
 def warn_atoms(atoms: DataFrame) -> DataFrame:
@@ -103,10 +102,11 @@ def check_totals(info: DataFrame, atoms: DataFrame, qa: DataFrame) -> DataFrame:
 
 
 def check_lists(docs: DataFrame, fields: tuple[str, ...], raw: str = "raw") -> DataFrame:
-    """(doc_id, error): exception fields that are absent or no arrays, needs_review that is no boolean; absent is not null."""
+    """(doc_id, error): exception fields that are absent or no arrays, needs_review that is there and no boolean; absent is not
+    null, and check_document() tells whether needs_review is there."""
     kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
     errors = [F.when(~F.coalesce(F.startswith(kind(f"$.exception_list.{f}"), F.lit("ARRAY")), F.lit(False)), F.lit(f"{f}: no list")) for f in fields]
-    errors.append(F.when(~F.coalesce(kind("$.quality_summary.needs_review") == "BOOLEAN", F.lit(False)), F.lit("needs_review: no boolean")))
+    errors.append(F.when(kind("$.quality_summary.needs_review") != "BOOLEAN", F.lit("needs_review: no boolean")))
     return _with_info(docs, raw).select("doc_id", F.explode(F.array_compact(F.array(*errors))).alias("error"))
 
 
@@ -158,8 +158,8 @@ def length_marks(atoms: DataFrame) -> DataFrame:
 
 
 def unregistered(atoms: DataFrame, exceptions: DataFrame, field: str, condition: Column) -> DataFrame:
-    """(doc_id, chunk_id): atoms that meet the condition and whose exact id no entry of the field names."""
-    named = exceptions.filter(F.col("field") == field).select("doc_id", F.regexp_extract("item", r"(P\d+-C\d+)", 1).alias("chunk_id")).distinct()
+    """(doc_id, chunk_id): atoms that meet the condition and whose exact id no entry of the field names, wherever it stands in it."""
+    named = exceptions.filter(F.col("field") == field).select("doc_id", F.explode(F.regexp_extract_all("item", F.lit(r"P\d+-C\d+"), F.lit(0))).alias("chunk_id")).distinct()
     return atoms.filter(condition).select("doc_id", "chunk_id").join(named, ["doc_id", "chunk_id"], "left_anti")
 
 
@@ -185,7 +185,7 @@ def short_answers(qa: DataFrame, n: int = SHORT) -> DataFrame:
 def repair_marks(qa: DataFrame) -> DataFrame:
     """The pairs with the low-score mark put where it lacks, and fixed telling where."""
     lacks = (F.col("confidence_score") < LOW) & ~F.contains(F.coalesce("remark", F.lit("")), F.lit(LOW_MARK))
-    return qa.withColumn("fixed", F.coalesce(lacks, F.lit(False))).withColumn("remark", F.when(F.col("fixed"), F.concat(F.coalesce("remark", F.lit("")), F.lit(LOW_REMARK))).otherwise(F.col("remark")))
+    return qa.withColumn("fixed", F.coalesce(lacks, F.lit(False))).withColumn("remark", F.when(F.col("fixed"), F.trim(F.concat(F.coalesce("remark", F.lit("")), F.lit(" " + LOW_REMARK)))).otherwise(F.col("remark")))
 
 
 def final_verdict(verdict: DataFrame, issues: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,23 +280,32 @@ def model_responses(spark, sf_dir):
     return good.select(*columns, F.lit(True).alias("accepted")).unionByName(bad.select(*columns, F.lit(False).alias("accepted")))
 
 
-@query("""SELECT doc_id, 1 AS stage, concat_ws('; ', CASE WHEN trim(text) = '' THEN 'cleaned_text: Value error, cleaned_text 不能为空' END,
-  CASE doc_id % 3 WHEN 1 THEN 'doc_type: Input should be a known document type' WHEN 2 THEN 'doc_type: Field required' END) AS errors
-FROM documents WHERE doc_id % 3 > 0 OR trim(text) = ''
-UNION ALL SELECT doc_id, 2, concat_ws('; ', CASE doc_id % 3 WHEN 1 THEN 'chunks.0.chunk_id: Value error, chunk_id 格式错误: ''C001''，应为 P{N}-C{NNN}（如 P1-C001）' WHEN 2 THEN 'chunks.0.chunk_id: Field required' END,
-  CASE WHEN trim(text) = '' THEN 'chunks.0.content: Value error, chunk content 不能为空' END)
-FROM documents WHERE doc_id % 3 > 0 OR trim(text) = ''""")
+UNKNOWN_TYPE = "Input should be " + ", ".join(f"''{n}''" for n in list(stages.FAMILIES)[:-1]) + f" or ''{list(stages.FAMILIES)[-1]}''"
+SCORE = "chunks.0.qa_pairs.0.confidence_score: Input should be"
+
+
+@query(f"""WITH d AS (SELECT *, lang = 'en' AS typed, length(text) AS n FROM documents), e AS (
+SELECT doc_id, 1 AS stage, concat_ws('; ', CASE WHEN trim(text) = '' THEN 'cleaned_text: Value error, cleaned_text 不能为空' END,
+  CASE WHEN NOT typed THEN 'doc_type: {UNKNOWN_TYPE}' END, CASE WHEN n > 5000 THEN 'sensitive_items: Input should be a valid list' END) AS errors FROM d
+UNION ALL SELECT doc_id, 2, concat_ws('; ', CASE WHEN NOT typed THEN 'chunks.0.chunk_id: Value error, chunk_id 格式错误: ''' || lang || '''，应为 P{{N}}-C{{NNN}}（如 P1-C001）' END,
+  CASE WHEN n > 3000 THEN 'chunks.0.title: Field required' END, CASE WHEN trim(text) = '' THEN 'chunks.0.content: Value error, chunk content 不能为空' END) FROM d
+UNION ALL SELECT doc_id, 3, CASE WHEN n % 10 > 0 THEN '{SCORE} a valid integer, got a number with a fractional part' WHEN n > 1000 THEN '{SCORE} less than or equal to 100' ELSE '' END FROM d
+UNION ALL SELECT doc_id, 4, concat_ws('; ', CASE WHEN NOT typed THEN 'chunks.0.doc_type: {UNKNOWN_TYPE}' END, 'chunks.0.metadata.summary: Input should be a valid string', CASE WHEN n > 3000 THEN 'chunks.0.remark: Input should be a valid string' END) FROM d)
+SELECT * FROM e WHERE errors <> ''""")
 def stage_rejects(spark, sf_dir):
-    """Documents as answers of the first two stages, two in three with a fault."""
-    docs, k = _docs(spark, sf_dir), F.col("doc_id") % 3
-    kind = F.when(k == 0, "FAQ").when(k == 1, "other")
-    number = F.when(k == 0, "P1-C001").when(k == 1, "C001")
+    """Documents as answers of all four stages, with faults by their language and length."""
+    docs, n, english = _docs(spark, sf_dir), F.length("text"), F.col("lang") == "en"
+    kind = F.when(english, "FAQ").otherwise(F.col("lang"))
+    pair = F.struct(F.col("source").alias("question"), F.col("source").alias("answer"), F.array(F.lit("k")).alias("keywords"), (n / 10).alias("confidence_score"))
+    tags = F.struct(*[F.lit("x").alias(t) for t in stages.TAGS[:-1]], n.alias(stages.TAGS[-1]))
     answers = {
-        1: F.struct(F.col("text").alias("cleaned_text"), kind.alias("doc_type")),
-        2: F.struct(F.array(F.struct(number.alias("chunk_id"), F.col("source").alias("title"), F.col("text").alias("content"))).alias("chunks")),
+        1: F.struct(F.col("text").alias("cleaned_text"), kind.alias("doc_type"), F.when(n > 5000, "none").alias("sensitive_items")),
+        2: F.struct(F.array(F.struct(F.when(english, "P1-C001").otherwise(F.col("lang")).alias("chunk_id"), F.when(n <= 3000, F.col("source")).alias("title"), F.col("text").alias("content"))).alias("chunks")),
+        3: F.struct(F.array(F.struct(F.lit("P1-C001").alias("chunk_id"), F.array(pair).alias("qa_pairs"))).alias("chunks")),
+        4: F.struct(F.array(F.struct(F.lit("P1-C001").alias("chunk_id"), kind.alias("doc_type"), tags.alias("metadata"), F.when(n > 3000, n).alias("remark"))).alias("chunks")),
     }
-    rejects = [stages.stage_gate(docs.select("doc_id", F.to_json(answer).alias("content")), n)[1].select("doc_id", F.lit(n).alias("stage"), F.concat_ws("; ", "errors").alias("errors")) for n, answer in answers.items()]
-    return rejects[0].unionByName(rejects[1])
+    rejects = [stages.stage_gate(docs.select("doc_id", F.to_json(answer).alias("content")), k)[1].select("doc_id", F.lit(k).alias("stage"), F.concat_ws("; ", "errors").alias("errors")) for k, answer in answers.items()]
+    return reduce(DataFrame.unionByName, rejects)
 
 
 @query("""WITH a AS (SELECT user_id AS doc_id, event_id % 20 AS unit, 1 + count(*) OVER (PARTITION BY user_id, event_id % 20 ORDER BY event_id) AS attempt, event_id % 11 = 0 AS ok FROM events),

@@ -6,6 +6,8 @@ import random
 from sluice.operators import export, merge, review, segment, stages, usage, validate
 from sluice.sources import documents as sources
 
+UNKNOWN_TYPE = "doc_type: Input should be '制度合规', 'FAQ', '产品活动', '技术运维' or '教学知识'"
+Q = "chunks.0.qa_pairs.0"
 TAGS = "struct<" + ",".join(f"{t}:string" for t in merge.TAGS) + ">"
 
 
@@ -98,16 +100,23 @@ def test_stage_schemas(spark):
     pair = {"question": "q", "answer": "a", "keywords": ["k"], "confidence_score": 90}
     cases = [
         (1, {"cleaned_text": "t", "doc_type": "FAQ"}, []),
-        (1, {"cleaned_text": " ", "doc_type": "other"}, ["cleaned_text: " + stages.STAGE_TEXTS["empty_text"], "doc_type: " + stages.STAGE_TEXTS["doc_type"]]),
+        (1, {"cleaned_text": " ", "doc_type": "other"}, ["cleaned_text: " + stages.STAGE_TEXTS["empty_text"], UNKNOWN_TYPE]),
         (2, {"chunks": [{"chunk_id": "P1-C001", "title": "t", "content": "c"}], "exception_list": {"vague_items": []}}, []),
         (2, {"chunks": []}, ["chunks: " + stages.STAGE_TEXTS["empty_chunks"]]),
         (2, {"chunks": [{"chunk_id": "P1-C001", "title": "t", "content": "c"}, {"chunk_id": "C1", "title": "t"}]}, ["chunks.1.chunk_id: Value error, chunk_id 格式错误: 'C1'，应为 P{N}-C{NNN}（如 P1-C001）", "chunks.1.content: Field required"]),
-        (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": [pair, {**pair, "confidence_score": 101}]}]}, ["chunks.0.qa_pairs.1.confidence_score: " + stages.STAGE_TEXTS["score"]]),
+        (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": [pair, {**pair, "confidence_score": 101}]}]}, ["chunks.0.qa_pairs.1.confidence_score: Input should be less than or equal to 100"]),
         (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": []}]}, ["chunks.0.qa_pairs: " + stages.STAGE_TEXTS["empty_pairs"]]),
         (3, {}, ["chunks: Field required"]),
         (4, {"chunks": [{"chunk_id": "P1-C001", "doc_type": "FAQ", "metadata": tags}]}, []),
-        (4, {"chunks": [{"chunk_id": "P1-C001", "doc_type": "FAQ", "metadata": {**tags, "summary": None}}]}, ["chunks.0.metadata.summary: Field required"]),
+        (4, {"chunks": [{"chunk_id": "P1-C001", "doc_type": "FAQ", "metadata": {**tags, "summary": None}}]}, ["chunks.0.metadata.summary: Input should be a valid string"]),
         (4, {"chunks": [{"chunk_id": "P1-C001", "doc_type": "FAQ"}]}, ["chunks.0.metadata: Field required"]),
+        (4, {"chunks": [{"chunk_id": "P1-C001", "doc_type": 7, "metadata": [], "remark": None}]}, ["chunks.0." + UNKNOWN_TYPE, "chunks.0.metadata: Input should be a valid dictionary or instance of Metadata", "chunks.0.remark: Input should be a valid string"]),
+        (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": [{**pair, "confidence_score": 90.5, "keywords": "k"}]}]}, [f"{Q}.keywords: Input should be a valid list", f"{Q}.confidence_score: Input should be a valid integer, got a number with a fractional part"]),
+        (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": [{**pair, "question": 7, "keywords": ["k", 1]}]}]}, [f"{Q}.question: Input should be a valid string", f"{Q}.keywords.1: Input should be a valid string"]),
+        (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": [{**pair, "confidence_score": x} for x in (90.0, "90", " 7 ", True)]}]}, []),
+        (3, {"chunks": [{"chunk_id": "P1-C001", "qa_pairs": [{**pair, "confidence_score": "high"}, {**pair, "confidence_score": None}, {**pair, "confidence_score": -1}, 5]}]}, [f"{Q}.confidence_score: Input should be a valid integer, unable to parse string as an integer", f"{Q[:-1]}1.confidence_score: Input should be a valid integer", f"{Q[:-1]}2.confidence_score: Input should be greater than or equal to 0", f"{Q[:-1]}3: Input should be a valid dictionary or instance of QaPair"]),
+        (2, {"chunks": {"chunk_id": 1}, "exception_list": {"vague_items": ["a", None], "missing_info": None}}, ["chunks: Input should be a valid list", "exception_list.missing_info: Input should be a valid list", "exception_list.vague_items.1: Input should be a valid string"]),
+        (1, {"cleaned_text": None, "sensitive_items": "x"}, ["cleaned_text: Input should be a valid string", "doc_type: Field required", "sensitive_items: Input should be a valid list"]),
     ]
     for stage in (1, 2, 3, 4):
         rows = [(k, json.dumps(x, ensure_ascii=False)) for k, (n, x, _) in enumerate(cases) if n == stage] + [(99, "no json")]
