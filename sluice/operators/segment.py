@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.columns import let
+
 # Fixed values of the refinement rules.
 CHUNK_MIN, CHUNK_MAX, SEGMENT_LIMIT, BATCH = 300, 800, 8000, 4
 GRANULARITY_MARK = "【拆分颗粒度异常】"
@@ -48,6 +50,84 @@ def chunk(df: DataFrame, low: int = CHUNK_MIN, high: int = CHUNK_MAX, sep: str =
     return out.withColumn("chunk_no", F.col("_k") + 1).withColumn("chunk_id", chunk_id(F.lit("P1"), F.col("_k") + 1)).drop("_k")
 
 
+#: What begins a heading, and a question of a question list.
+HEADING = r"^(#{1,6})\s+"
+QUESTION = r"(?m)^(?=(?:#{1,6}\s+|\*\*)?(?:Q|问|问题)\s*\d*\s*[:：.]|#{1,6}\s[^\n]*[?？]\s*$)"
+_HOLD, _INERT = "\ufdd3", "\ufdd2"  # stand for a break after a heading, and before a # that is none
+_UNIT = "struct<cuts:array<struct<at:int,module:string,heading:string>>,n:int,level:int,stack:array<string>,i:int>"
+
+
+def _units(text: Column, sep: str) -> Column:
+    """The paragraphs of a text, each heading being part of what follows it; fenced code is one, and its lines are no headings."""
+    fenced = F.transform(F.split(text, "(?m)^```"), lambda p, i: F.when(i % 2 == 1, F.replace(F.regexp_replace(p, "(?m)^#", _INERT + "#"), F.lit(sep), F.lit(_HOLD * len(sep)))).otherwise(p))
+    plain = F.when(F.contains(text, F.lit("```")), F.array_join(fenced, "```")).otherwise(text)
+    return F.split(F.regexp_replace(plain, rf"(?m)(^#{{1,6}}\s[^\n]*){sep}(?=[^\n])", "$1" + _HOLD * len(sep)), sep)
+
+
+def _restored(unit: Column, sep: str) -> Column:
+    return F.replace(F.replace(unit, F.lit(_HOLD * len(sep)), F.lit(sep)), F.lit(_INERT), F.lit(""))
+
+
+def _sections(text: Column, sep: str, low: int, high: int) -> Column:
+    """(content, module, heading) of the chunks of a text: paragraphs are joined until low is reached, high would be passed, or a
+    heading leaves the topic, that is, stands above the heading that the chunk began under."""
+    zero = F.struct(
+        F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("heading"))).alias("cuts"),
+        F.lit(0).alias("n"), F.lit(0).alias("level"), F.array_repeat(F.lit(None).cast("string"), 6).alias("stack"), F.lit(0).alias("i"),
+    ).cast(_UNIT)
+
+    def enter(stack: Column, line: Column) -> Column:
+        depth = F.length(F.regexp_extract(line, HEADING, 1))
+        return F.transform(stack, lambda x, k: F.when(k + 1 < depth, x).when(k + 1 == depth, F.trim(F.regexp_replace(line, HEADING + r"|\s*#*\s*$", ""))))
+
+    def step(s: Column, unit: Column) -> Column:
+        lines = F.filter(F.split(unit, f"[\n{_HOLD}]"), lambda x: x.rlike(HEADING))
+        level = F.length(F.regexp_extract(unit, HEADING, 1))
+        size = F.length(F.replace(unit, F.lit(_INERT), F.lit(""))) + len(sep)
+        leaves = (level > 0) & ((s["level"] == 0) | (level < s["level"]))
+        cut = (s["n"] > 0) & ((s["n"] >= low) | (s["n"] + size > high) | leaves)
+
+        def put(stack: Column) -> Column:
+            named = F.filter(stack, lambda x: x.isNotNull())
+            one = F.array(F.struct(s["i"].alias("at"), F.get(named, F.size(named) - 2).alias("module"), F.get(named, F.size(named) - 1).alias("heading")))
+            cuts = F.when(s["i"] == 0, one).when(cut, F.concat(s["cuts"], one)).otherwise(s["cuts"])
+            inside = F.size(F.filter(F.slice(stack, 1, 6), lambda x: x.isNotNull()))
+            begun = F.when(level > 0, level).otherwise(F.when(inside > 0, F.aggregate(F.transform(stack, lambda x, k: F.when(x.isNotNull(), k + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))).otherwise(0))
+            return F.struct(cuts.alias("cuts"), F.when(cut, size).otherwise(s["n"] + size).alias("n"), F.when(cut | (s["i"] == 0), begun).otherwise(s["level"]).alias("level"), stack.alias("stack"), (s["i"] + 1).alias("i")).cast(_UNIT)
+
+        return let(F.when(F.size(lines) > 0, F.aggregate(lines, s["stack"], enter)).otherwise(s["stack"]), put)
+
+    def chunks(units: Column) -> Column:
+        cuts = F.aggregate(units, zero, step, lambda s: s["cuts"])
+        piece = lambda own, c, k: _restored(F.array_join(F.slice(units, c["at"] + 1, F.coalesce(F.get(own, k + 1)["at"], F.size(units)) - c["at"]), sep), sep)
+        return let(cuts, lambda own: F.transform(own, lambda c, k: F.struct(piece(own, c, k).alias("content"), c["module"].alias("module"), c["heading"].alias("heading"))))
+
+    return let(_units(text, sep), chunks)
+
+
+def _questions(text: Column) -> Column:
+    """(content, module, heading) of the pairs of a question list, what stands before the first being a chunk of its own."""
+    pieces = F.filter(F.transform(F.split(text, QUESTION), lambda p: F.regexp_replace(p, r"\n+$", "")), lambda p: p != "")
+    first = lambda p: F.trim(F.regexp_replace(F.split(p, "\n")[0], r"^[#*\s]+|\*+\s*$", ""))
+    return F.transform(pieces, lambda p: F.struct(p.alias("content"), F.lit(None).cast("string").alias("module"), first(p).alias("heading")))
+
+
+def chunk_sections(df: DataFrame, low: int = CHUNK_MIN, high: int = CHUNK_MAX, sep: str = "\n\n", col: str = "text", name: str = "source", doc_type: str | None = None) -> DataFrame:
+    """Explodes Markdown into chunk_no (from 1), chunk_id, title and content. Content is the text as it stands: chunks end between
+    paragraphs and never between a heading and what follows it, and do not run on into another topic; documents whose doc_type
+    column says FAQ have a chunk for each question with its answer, whatever their sizes. Titles are 【module】- heading: the
+    heading in force where the chunk begins below the one above it, else below the document's name; a text without headings has
+    the first twelve characters. Texts that are null or have no character but line ends have no chunk."""
+    text = F.col(col)
+    of_type = F.coalesce(F.col(doc_type) == "FAQ", F.lit(False)) if doc_type else F.lit(False)
+    chunks = F.when(of_type, _questions(text)).otherwise(_sections(text, sep, low, high))
+    keep = [c for c in df.columns if c not in (col, "title", "content", "chunk_no", "chunk_id")]
+    out = df.filter(text.rlike(r"[^\n]")).select(*keep, F.col(name).alias("_name"), F.posexplode(chunks).alias("_k", "_c"))
+    heading = F.coalesce(F.when(F.col("_c.heading") != "", F.col("_c.heading")), F.substring(F.regexp_replace("_c.content", r"^\n+", ""), 1, 12))
+    title = F.concat(F.lit("【"), F.coalesce("_c.module", "_name", F.lit("")), F.lit("】- "), heading)
+    return out.select(*keep, (F.col("_k") + 1).alias("chunk_no"), chunk_id(F.lit("P1"), F.col("_k") + 1).alias("chunk_id"), title.alias("title"), F.col("_c.content").alias("content"))
+
+
 def chunk_id(prefix: Column, number: Column) -> Column:
     return F.format_string("%s-C%03d", prefix, number)
 

@@ -122,6 +122,40 @@ def chunks(spark, sf_dir):
     return out.select("doc_id", "chunk_no", "chunk_id", F.md5("content").alias("content_md5"), "granularity")
 
 
+# Every third line of a document, from the first, is made a heading, every ninth one of the first level.
+MARKED = """
+src AS (SELECT doc_id, source, lang, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS p FROM documents WHERE regexp_matches(text, '[^\\n]')),
+lined AS (SELECT *, CASE WHEN k % 3 = 1 THEN CASE WHEN k % 9 = 1 THEN 1 ELSE 2 END ELSE 0 END AS level, CASE WHEN k % 3 = 1 THEN CASE WHEN k % 9 = 1 THEN '# h' ELSE '## h' END || k || chr(10) || p ELSE p END AS unit FROM src)"""
+
+
+@query("WITH " + MARKED + """, packed AS (WITH RECURSIVE r AS (
+  SELECT doc_id, k, CAST(length(unit) + 1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seg, level AS topic, level AS depth FROM lined WHERE k = 1
+  UNION ALL SELECT doc_id, k, CASE WHEN cut THEN size ELSE n + size END, CASE WHEN cut THEN seg + 1 ELSE seg END, CASE WHEN cut THEN depth ELSE topic END, depth FROM (
+    SELECT l.doc_id, l.k, n, seg, topic, length(unit) + 1 AS size, CASE WHEN level > 0 THEN level ELSE depth END AS depth, n >= 300 OR n + length(unit) + 1 > 800 OR (level > 0 AND level < topic) AS cut
+    FROM r JOIN lined AS l ON l.doc_id = r.doc_id AND l.k = r.k + 1)
+) SELECT * FROM r),
+pieces AS (SELECT doc_id, seg, any_value(source) AS source, min(k) AS k, string_agg(unit, chr(10) ORDER BY k) AS content FROM packed JOIN lined USING (doc_id, k) GROUP BY doc_id, seg)
+SELECT doc_id, CAST(seg + 1 AS INT) AS chunk_no, format('P1-C{:03d}', seg + 1) AS chunk_id, md5(content) AS content_md5, CAST(length(content) AS INT) AS n_chars,
+'【' || CASE WHEN (k - 1) // 3 * 3 % 9 = 0 THEN source ELSE 'h' || ((k - 1) // 9 * 9 + 1) END || '】- h' || ((k - 1) // 3 * 3 + 1) AS title FROM pieces""")
+def structured_chunks(spark, sf_dir):
+    """The structural chunker over documents as Markdown."""
+    lines = F.split("text", "\n")
+    mark = lambda x, i: F.when(i % 3 == 0, F.concat(F.when(i % 9 == 0, "# h").otherwise("## h"), (i + 1).cast("string"), F.lit("\n"), x)).otherwise(x)
+    docs = _docs(spark, sf_dir).select("doc_id", "source", F.array_join(F.transform(lines, mark), "\n").alias("marked"), "text").filter(F.col("text").rlike(r"[^\n]"))
+    out = segment.chunk_sections(docs.drop("text"), sep="\n", col="marked")
+    return out.select("doc_id", "chunk_no", "chunk_id", F.md5("content").alias("content_md5"), F.length("content").alias("n_chars"), "title")
+
+
+@query("WITH " + base.QA + """, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY qa_no) AS r, string_split('问：' || question, chr(10))[1] AS head FROM qa)
+SELECT doc_id, CAST(r AS INT) AS chunk_no, md5(rtrim('问：' || question || chr(10) || '答：' || answer, chr(10))) AS content_md5, '【list】- ' || trim(head, ' *') AS title FROM n""")
+def question_chunks(spark, sf_dir):
+    """The pairs of every conversation as a question list, and each pair a chunk of it again."""
+    pair = F.concat(F.lit("问："), "question", F.lit("\n答："), "answer")
+    lists = base.qa(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("qa_no", pair.alias("p")))).getField("p"), "\n\n").alias("text"))
+    out = segment.chunk_sections(lists.select("doc_id", "text", F.lit("list").alias("source"), F.lit("FAQ").alias("doc_type")), doc_type="doc_type")
+    return out.select("doc_id", "chunk_no", F.md5("content").alias("content_md5"), "title")
+
+
 @query(SEGMENTS + " SELECT doc_id, md5(string_agg(trim(segment, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY seg_no)) AS text_md5 FROM segments WHERE trim(segment, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY doc_id")
 def merged_segments(spark, sf_dir):
     return segment.merge_cleaned(_segments(spark, sf_dir).withColumnRenamed("segment", "cleaned_text")).select("doc_id", F.md5("text").alias("text_md5"))
