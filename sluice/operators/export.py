@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,10 @@ from sluice.operators.merge import TAGS
 from sluice.operators.review import LABELS
 
 
+UNTITLED = "未命名"
+BOM = "\ufeff"
+
+
 def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")).alias(c)
 
@@ -59,17 +64,18 @@ def to_markdown(docs: DataFrame) -> DataFrame:
         pairs = F.when(F.size(a["qa_pairs"]) > 0, F.concat(F.lit("### QA 对\n\n"), F.array_join(F.transform(a["qa_pairs"], qa), "\n"), F.lit("\n"))).otherwise("")
         remark = F.when(F.coalesce(a["remark"], F.lit("")) != "", F.concat(F.lit("> 备注: "), a["remark"], F.lit("\n\n"))).otherwise("")
         module = F.when(F.coalesce(a["metadata"]["business_module"], F.lit("")) != "", F.concat(F.lit(", 模块: "), a["metadata"]["business_module"])).otherwise("")
-        head = F.concat(F.lit("## "), (i + 1).cast("string"), F.lit(". "), F.coalesce(a["title"], a["chunk_id"]), F.lit("\n\n*ID: "), a["chunk_id"], F.lit(", 类型: "), F.coalesce(a["doc_type"], F.lit("")), module, F.lit("*\n\n"))
+        head = F.concat(F.lit("## "), (i + 1).cast("string"), F.lit(". "), F.coalesce(F.nullif(a["title"], F.lit("")), F.nullif(a["chunk_id"], F.lit("")), F.lit(UNTITLED)), F.lit("\n\n*ID: "), a["chunk_id"], F.lit(", 类型: "), F.coalesce(a["doc_type"], F.lit("")), module, F.lit("*\n\n"))
         return F.concat(head, F.coalesce(a["content"], F.lit("")), F.lit("\n\n"), pairs, remark, F.lit("---\n\n"))
 
     lists = F.flatten(F.array(*[_labelled(f, label) for f, label, _, _ in LABELS]))
     tail = F.when(F.size(lists) > 0, F.concat(F.lit("## 异常清单\n\n"), F.array_join(lists, "\n"), F.lit("\n"))).otherwise("")
     has = {f.name for f in docs.schema["quality_summary"].dataType.fields}
     number = lambda f: F.coalesce(F.col(f"quality_summary.{f}"), F.lit(0)) if f in has else F.lit(0)
-    share = lambda f: F.format_string("%.0f%%", number(f).cast("double") * 100)
+    share = lambda f: F.format_string("%d%%", F.bround(number(f).cast("double") * 100).cast("long"))
     quality = F.format_string("> 覆盖率: %s | 平均置信度: %s | 异常项: %d\n\n---\n\n", share("coverage_rate"), share("avg_confidence"), number("exception_count"))
     head = F.format_string("# %s\n\n> 文档类型: %s | 知识原子: %d | QA 对: %d\n\n", F.coalesce("source", F.lit("")), F.coalesce("doc_type", F.lit("")), "total_chunks", "total_qa_pairs")
-    return docs.select("doc_id", F.concat(head, quality, F.array_join(F.transform("knowledge_atoms", atom), ""), tail).alias("value"))
+    page = F.concat(head, quality, F.array_join(F.transform("knowledge_atoms", atom), ""))  # ends in a blank line that only the lists need
+    return docs.select("doc_id", F.when(tail == "", F.regexp_replace(page, r"\n\z", "")).otherwise(F.concat(page, tail)).alias("value"))
 
 
 def _labelled(field: str, label: str) -> Column:
@@ -104,11 +110,31 @@ def export(docs: DataFrame, fmt: str, path: str) -> None:
     build, extension = FORMATS[fmt]
     out = build(docs)
     if extension == ".csv":
-        out.write.csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n")
+        _csv_lines(out).write.text(path, lineSep="\r\n")
     else:
         out.select("value").write.text(path)
 
 
+def _csv_lines(rows: DataFrame) -> DataFrame:
+    """(value): the lines of every file, all values quoted: the names first, after a byte order mark, by which spreadsheets know
+    the encoding. A table without rows has one file with the names."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    head = BOM + ",".join('"' + c.replace('"', '""') + '"' for c in rows.columns)
+    lines = rows.select(F.concat_ws(",", *[quoted(rows[f"`{c}`"]) for c in rows.columns]).alias("value"))
+
+    def headed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    if rows.isEmpty():
+        return rows.sparkSession.createDataFrame([(head,)], "value string")
+    return lines.mapInArrow(headed, "value string")
+
+
 def export_all(docs: DataFrame, path: str) -> None:
     for fmt in FORMATS:
         export(docs, fmt, f"{path}/{fmt}")

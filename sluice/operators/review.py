@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Label, guidance and tab of each exception field; the sections of the review list in order and its sentences;
@@ -117,10 +117,17 @@ def review_list(documents: DataFrame, exceptions: DataFrame, atoms: DataFrame, q
 
 
 def lint_qa(atoms: DataFrame, qa: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, issue): chunks without 3 to 5 pairs, pairs without 3 to 5 keywords, questions with a 【…】 prefix."""
+    """(doc_id, chunk_id, issue): chunks without 3 to 5 pairs, pairs without 3 to 5 keywords, questions with a 【…】 prefix; and,
+    where qa has pos (its place in the answer), chunks whose first pair stands before a pair of an earlier chunk."""
+    place = F.min("pos") if "pos" in qa.columns else F.lit(None).cast("int")
     counts = qa.groupBy("doc_id", "chunk_id").agg(
-        F.count("*").alias("n"), F.count_if(~F.size("keywords").between(3, 5)).alias("k"), F.count_if(F.col("question").rlike("^【")).alias("b")
+        F.count("*").alias("n"), F.count_if(~F.size("keywords").between(3, 5)).alias("k"), F.count_if(F.col("question").rlike("^【")).alias("b"), place.alias("_pos")
     )
-    both = atoms.select("doc_id", "chunk_id").join(counts, ["doc_id", "chunk_id"], "left").fillna(0)
-    issues = F.array_compact(F.array(F.when(F.col("n") == 0, "unanswered"), F.when((F.col("n") > 0) & ~F.col("n").between(3, 5), "pair count"), F.when(F.col("k") > 0, "keyword count"), F.when(F.col("b") > 0, "question prefix")))
+    both = atoms.select("doc_id", "chunk_id", *[c for c in ("chunk_no",) if c in atoms.columns]).join(counts, ["doc_id", "chunk_id"], "left").fillna(0, ["n", "k", "b"])
+    late = F.lit(False)
+    if "pos" in qa.columns:
+        order = Window.partitionBy("doc_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+        both = both.withColumn("_reached", F.max("_pos").over(order))
+        late = F.coalesce(F.col("_pos") < F.col("_reached"), F.lit(False))
+    issues = F.array_compact(F.array(F.when(F.col("n") == 0, "unanswered"), F.when((F.col("n") > 0) & ~F.col("n").between(3, 5), "pair count"), F.when(F.col("k") > 0, "keyword count"), F.when(F.col("b") > 0, "question prefix"), F.when(late, "order")))
     return both.select("doc_id", "chunk_id", F.explode(issues).alias("issue"))

@@ -49,29 +49,55 @@ def today_by_user(tasks: DataFrame, ledger: DataFrame, now: float, tz: str = "UT
     return own.join(today, "user_id", "full").fillna(0).select("user_id", "tasks", "uploads", (F.col("_today") + F.col("_more")).alias("tokens"))
 
 
+#: Seconds of a piece of a user's day: what a window sorts is one piece, and a day has 1440 of them.
+PIECE = 60
+
+
+def _pieces(at: str) -> Column:
+    return F.floor(F.col(at) / PIECE).alias("_piece")
+
+
+def _before(pieces: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Running sums over the pieces of each user's day, without the piece itself: pieces has a row for each."""
+    order = Window.partitionBy("user_id", "day").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.select("user_id", "day", "_piece", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(n) for n, c in sums.items()])
+
+
 def admit(arrivals: DataFrame, task_limit: int, upload_limit: int, tz: str = "UTC") -> DataFrame:
     """Adds verdict: 'admitted', or the limit that refused it ('task' or 'upload'), in order of arrival per user and day;
     refused rows do not count, anonymous ones are always admitted. The first refusal closes the day for the same reason,
-    since nothing is counted after it; so places and running sums tell every verdict."""
-    day = local_day("created_at", tz)
-    order = Window.partitionBy("user_id", "day").orderBy("created_at", "task_id", "file_size")
-    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    since nothing is counted after it; so places and running sums tell every verdict. They are summed in two levels, within
+    pieces of a day and over the pieces, so that a day with a third of all rows is spread over tasks."""
+    key = ["user_id", "day", "_piece"]
     upload = (F.coalesce("file_size", F.lit(0)) > 0).cast("long")
-    known = arrivals.filter("user_id IS NOT NULL").select("user_id", day.alias("day"), "created_at", "task_id", "file_size")
-    known = known.withColumns({"_place": F.row_number().over(order) - 1, "_uploads": F.coalesce(F.sum(upload).over(before), F.lit(0))})
-    full = F.min(F.when(F.col("_uploads") >= upload_limit, F.col("_place"))).over(so_far)
-    verdict = F.when(F.coalesce(full < task_limit, F.lit(False)), "upload").when(F.col("_place") >= task_limit, "task").otherwise("admitted")
-    nobody = arrivals.filter("user_id IS NULL").select("user_id", day.alias("day"), F.col("task_id").cast("string"), F.lit("admitted").alias("verdict"))
-    return known.select("user_id", "day", F.col("task_id").cast("string"), verdict.alias("verdict")).unionByName(nobody)
+    known = arrivals.filter("user_id IS NOT NULL").select("user_id", local_day("created_at", tz).alias("day"), _pieces("created_at"), "created_at", "task_id", "file_size", upload.alias("_upload"))
+    totals = _before(known.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("_upload").alias("_u")), {"_rows_before": "_n", "_uploads_before": "_u"})
+    order = Window.partitionBy(*key).orderBy("created_at", "task_id", "file_size")
+    inside = known.withColumns({"_place": F.row_number().over(order) - 1, "_ups": F.coalesce(F.sum("_upload").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    placed = inside.join(totals, key).select("user_id", "day", "task_id", "_upload", (F.col("_place") + F.col("_rows_before")).alias("_place"), (F.col("_ups") + F.col("_uploads_before")).alias("_ups"))
+    if upload_limit > 0:  # the place after the upload that reaches the limit
+        full = placed.filter((F.col("_upload") == 1) & (F.col("_ups") == upload_limit - 1)).select("user_id", "day", (F.col("_place") + 1).alias("_full"))
+        placed = placed.join(full, ["user_id", "day"], "left")
+    else:
+        placed = placed.withColumn("_full", F.lit(0))
+    closed = (F.col("_place") >= F.col("_full")) & (F.col("_full") < task_limit)
+    verdict = F.when(F.coalesce(closed, F.lit(False)), "upload").when(F.col("_place") >= task_limit, "task").otherwise("admitted")
+    nobody = arrivals.filter("user_id IS NULL").select("user_id", local_day("created_at", tz).alias("day"), F.col("task_id").cast("string"), F.lit("admitted").alias("verdict"))
+    return placed.select("user_id", "day", F.col("task_id").cast("string"), verdict.alias("verdict")).unionByName(nobody)
 
 
 def quota_breaches(ledger: DataFrame, limit: int, tz: str = "UTC") -> DataFrame:
-    """(user_id, day, task_id, consumed_at, total): the record with which a user's day first reaches the limit."""
-    days = ledger.filter("user_id IS NOT NULL").withColumn("day", local_day("consumed_at", tz))
-    w = Window.partitionBy("user_id", "day").orderBy("consumed_at", "task_id").rowsBetween(Window.unboundedPreceding, 0)
-    reached = days.withColumn("total", F.sum("tokens").over(w)).filter(F.col("total") >= limit)
-    first = Window.partitionBy("user_id", "day").orderBy("consumed_at", "task_id")
-    return reached.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("user_id", "day", "task_id", "consumed_at", "total")
+    """(user_id, day, task_id, consumed_at, total): the record with which a user's day first reaches the limit. Token counts are
+    not negative, so the piece of the day that reaches it is told by the pieces' sums, and only its records are put in order."""
+    key = ["user_id", "day", "_piece"]
+    known = ledger.filter("user_id IS NOT NULL").select("user_id", local_day("consumed_at", tz).alias("day"), _pieces("consumed_at"), "task_id", "consumed_at", "tokens")
+    sums = known.groupBy(*key).agg(F.sum("tokens").alias("_t"))
+    reached = _before(sums, {"_start": "_t"}).join(sums, key).filter((F.col("_start") < limit) & (F.col("_start") + F.col("_t") >= limit) | (F.lit(limit <= 0) & (F.col("_start") <= 0)))
+    first = reached.groupBy("user_id", "day").agg(F.min_by(F.struct("_piece", "_start"), "_piece").alias("p")).select("user_id", "day", "p.*")
+    order = Window.partitionBy(*key).orderBy("consumed_at", "task_id")
+    running = known.join(first, key).withColumn("total", F.col("_start") + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = running.filter(F.col("total") >= limit).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    return at.select("user_id", "day", "task_id", "consumed_at", "total")
 
 
 def dashboard(users: DataFrame, tasks: DataFrame, now: float, tz: str = "UTC") -> DataFrame:

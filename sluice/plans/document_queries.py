@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.operators import export, merge, records, review, validate
@@ -250,9 +251,13 @@ def review_lists(spark, sf_dir):
     return review.review_list(table(spark, sf_dir, "documents"), base.exceptions(spark, sf_dir), base.lines(spark, sf_dir), base.qa(spark, sf_dir))
 
 
-@query(BASE + ", c AS (SELECT doc_id, chunk_id, count(*) AS n FROM qa GROUP BY doc_id, chunk_id), j AS (SELECT l.doc_id, l.chunk_id, coalesce(n, 0) AS n FROM lines AS l LEFT JOIN c USING (doc_id, chunk_id)) SELECT doc_id, chunk_id, 'unanswered' AS issue FROM j WHERE n = 0 UNION ALL SELECT doc_id, chunk_id, 'pair count' FROM j WHERE n > 0 AND NOT n BETWEEN 3 AND 5 UNION ALL SELECT doc_id, chunk_id, 'keyword count' FROM j WHERE n > 0")
+@query(BASE + """, q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY qa_no) AS pos FROM qa), c AS (SELECT doc_id, chunk_id, count(*) AS n, min(pos) AS pos FROM q GROUP BY doc_id, chunk_id),
+j AS (SELECT l.doc_id, l.chunk_id, coalesce(n, 0) AS n, pos, max(pos) OVER (PARTITION BY l.doc_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM lines AS l LEFT JOIN c USING (doc_id, chunk_id))
+SELECT doc_id, chunk_id, 'unanswered' AS issue FROM j WHERE n = 0 UNION ALL SELECT doc_id, chunk_id, 'pair count' FROM j WHERE n > 0 AND NOT n BETWEEN 3 AND 5
+UNION ALL SELECT doc_id, chunk_id, 'keyword count' FROM j WHERE n > 0 UNION ALL SELECT doc_id, chunk_id, 'order' FROM j WHERE pos < reached""")
 def linted_qa(spark, sf_dir):
-    return review.lint_qa(base.lines(spark, sf_dir), base.qa(spark, sf_dir).withColumn("keywords", F.array(F.lit("k"), F.lit("w"))))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("qa_no"))
+    return review.lint_qa(base.lines(spark, sf_dir), base.qa(spark, sf_dir).withColumns({"keywords": F.array(F.lit("k"), F.lit("w")), "pos": place}))
 
 
 SEEN = BASE + ", seen AS (SELECT q.* FROM qa AS q SEMI JOIN lines AS l ON l.doc_id = q.doc_id AND l.chunk_id = q.chunk_id)"
@@ -292,10 +297,17 @@ def export_summary_csv(spark, sf_dir):
     return export.to_summary_csv(_documents(spark, sf_dir))
 
 
-@query(JOINED + " SELECT doc_id, '# ' || any_value(source) AS head, count(*) AS n_atoms, CAST(sum(n_qa) AS BIGINT) AS n_qa FROM joined JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY doc_id")
+@query(JOINED + """, q AS (SELECT doc_id, chunk_id, string_agg('**Q: ' || question || '**' || chr(10) || chr(10) || 'A: ' || answer || chr(10) || '*置信度: ' || confidence_score || '%*' || chr(10), chr(10) ORDER BY qa_no) AS t FROM qa GROUP BY doc_id, chunk_id),
+a AS (SELECT j.doc_id, string_agg('## ' || j.chunk_no || '. ' || coalesce(nullif(l.title, ''), j.chunk_id) || chr(10) || chr(10) || '*ID: ' || j.chunk_id || ', 类型: ' || j.doc_type || ', 模块: ' || CASE WHEN no_tags THEN '【人工补全项】' ELSE 'x' END || '*'
+  || chr(10) || chr(10) || l.content || chr(10) || chr(10) || coalesce('### QA 对' || chr(10) || chr(10) || q.t || chr(10), '') || CASE WHEN j.remark <> '' THEN '> 备注: ' || j.remark || chr(10) || chr(10) ELSE '' END || '---' || chr(10) || chr(10), '' ORDER BY j.chunk_no) AS t,
+  count(*) AS n, sum(n_qa) AS pairs FROM joined AS j JOIN lines AS l ON l.doc_id = j.doc_id AND l.chunk_no = j.chunk_no LEFT JOIN q ON q.doc_id = j.doc_id AND q.chunk_id = j.chunk_id GROUP BY j.doc_id),
+e AS (SELECT doc_id, string_agg('- **' || CASE field WHEN 'chunk_anomalies' THEN '拆分异常' ELSE '低置信 QA' END || '**: ' || item, chr(10) ORDER BY field, first) AS t FROM (SELECT doc_id, field, item, min(stage * 100000 + pos) AS first FROM exceptions GROUP BY doc_id, field, item) GROUP BY doc_id),
+s AS (SELECT doc_id, CAST(round_even(CAST(sum(confidence_score) AS DECIMAL(18, 6)) / count(*), 1) * 100 AS BIGINT) AS avg FROM qa GROUP BY doc_id)
+SELECT d.doc_id, md5('# ' || d.source || chr(10) || chr(10) || '> 文档类型: ' || d.lang || ' | 知识原子: ' || a.n || ' | QA 对: ' || CAST(a.pairs AS BIGINT) || chr(10) || chr(10)
+  || '> 覆盖率: 0% | 平均置信度: ' || coalesce(s.avg, 0) || '% | 异常项: 0' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN e.t IS NULL THEN left(a.t, -1) ELSE a.t || '## 异常清单' || chr(10) || chr(10) || e.t || chr(10) END) AS page_md5
+FROM documents AS d JOIN a USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN s USING (doc_id)""")
 def export_markdown(spark, sf_dir):
-    page = export.to_markdown(_documents(spark, sf_dir))
-    return page.select("doc_id", F.split("value", "\n")[0].alias("head"), F.regexp_count("value", F.lit(r"\*ID: P1-C\d+, 类型")).cast("long").alias("n_atoms"), F.regexp_count("value", F.lit(r"\*\*Q: ")).cast("long").alias("n_qa"))
+    return export.to_markdown(_documents(spark, sf_dir)).select("doc_id", F.md5("value").alias("page_md5"))
 
 
 @query("SELECT event_id AS task_id, 'doc ' || event_id || '_md.md' AS export_name FROM events")

@@ -158,3 +158,61 @@ def test_expired_chunks_have_an_entry(spark):
 
     tags = spark.createDataFrame([(1, "P1-C001", "2023-01-01~2023-06-30"), (1, "P1-C002", "2030-01-01"), (1, "P1-C003", None)], "doc_id int, chunk_id string, version_timeliness string")
     assert [r["item"] for r in stages.expired_items(tags, "2024-01-01").collect()] == ["P1-C001: 2023-01-01~2023-06-30-已过期"]
+
+
+def test_csv_files_begin_with_a_byte_order_mark(spark, tmp_path):
+    import csv
+    import io
+
+    rows = [('a "b", c', "x\ny"), ("é", None), ("", "z")]
+    export.register_format("plain", lambda df: df, ".csv")
+    try:
+        export.export(spark.createDataFrame(rows, "`问题` string, b string").repartition(2), "plain", str(tmp_path / "out"))
+        export.export(spark.createDataFrame([], "`问题` string, b string"), "plain", str(tmp_path / "none"))
+    finally:
+        del export.FORMATS["plain"]
+    got = []
+    for f in sorted((tmp_path / "out").glob("part-*")):
+        data = f.read_bytes()
+        if data:
+            assert data.startswith(b'\xef\xbb\xbf"') and data.count(b"\r\n") >= 2
+            head, *body = csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""))
+            assert head == ["问题", "b"]
+            got += body
+    assert sorted(map(tuple, got)) == sorted((a, b or "") for a, b in rows)
+    assert [f.read_bytes() for f in (tmp_path / "none").glob("part-*") if f.stat().st_size] == [b'\xef\xbb\xbf"\xe9\x97\xae\xe9\xa2\x98","b"\r\n']
+
+
+def test_markdown_pages(spark):
+    from sluice.operators import merge
+
+    meta = {"business_module": ""}
+    atoms = [{"chunk_id": "P1-C001", "title": "", "content": "c", "doc_type": "FAQ", "metadata": meta, "qa_pairs": [{"question": "q", "answer": "a", "confidence_score": None}], "remark": ""}, {"chunk_id": "", "title": None, "content": None, "doc_type": None, "metadata": meta, "qa_pairs": [], "remark": "r"}]
+    lists = {f: (["x"] if f == "vague_items" else []) for f in merge.FIELDS}
+    kind = "doc_id int, source string, doc_type string, total_chunks int, total_qa_pairs int, knowledge_atoms array<struct<chunk_id:string,title:string,content:string,doc_type:string,metadata:struct<business_module:string>,qa_pairs:array<struct<question:string,answer:string,confidence_score:int>>,remark:string>>, exception_list struct<" + ",".join(f"{f}:array<string>" for f in merge.FIELDS) + ">, quality_summary struct<coverage_rate:double,avg_confidence:double,exception_count:int>"
+    docs = spark.createDataFrame([(1, "s", "FAQ", 2, 1, atoms, lists, {"coverage_rate": 0.125, "avg_confidence": 0.875, "exception_count": 1}), (2, "s", "FAQ", 2, 1, atoms[1:], None, {"coverage_rate": 0.135, "avg_confidence": 1.0, "exception_count": 0})], kind)
+    one, two = (r.value for r in export.to_markdown(docs).orderBy("doc_id").collect())
+    assert one == (
+        "# s\n\n> 文档类型: FAQ | 知识原子: 2 | QA 对: 1\n\n> 覆盖率: 12% | 平均置信度: 88% | 异常项: 1\n\n---\n\n## 1. P1-C001\n\n*ID: P1-C001, 类型: FAQ*\n\nc\n\n### QA 对\n\n**Q: q**\n\nA: a\n*置信度: 0%*\n\n---\n\n"
+        "## 2. 未命名\n\n*ID: , 类型: *\n\n\n\n> 备注: r\n\n---\n\n## 异常清单\n\n- **模糊表述**: x\n"
+    )
+    assert "覆盖率: 14%" in two and two.endswith("> 备注: r\n\n---\n")
+
+
+def test_a_day_of_one_user_is_dealt_over_pieces(spark):
+    rows = spark.range(20_000).select(F.lit("u").alias("user_id"), (F.col("id") * 4.0).alias("consumed_at"), F.col("id").cast("string").alias("task_id"), (F.col("id") % 3).alias("tokens"))
+    assert [tuple(r) for r in usage.quota_breaches(rows, 15_001).select("task_id", "total").collect()] == [("15001", 15_001)]
+    assert usage.quota_breaches(rows, 10**9).count() == 0 and [r.task_id for r in usage.quota_breaches(rows, 0).collect()] == ["0"]
+    days = spark.createDataFrame([("u", float(t), str(k), n) for k, (t, n) in enumerate([(1, 5), (1, 5), (61, 0), (200, 5), (86_401, 9)])], "user_id string, consumed_at double, task_id string, tokens long")
+    assert sorted((str(r.day), r.task_id, r.total) for r in usage.quota_breaches(days, 10).collect()) == [("1970-01-01", "1", 10)]
+    arrivals = rows.select("user_id", F.col("consumed_at").alias("created_at"), "task_id", F.when(F.col("task_id") % 2 == 0, 1).alias("file_size"))
+    got = {r.verdict: r.n for r in usage.admit(arrivals, 15_000, 100).groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    assert got == {"admitted": 199, "upload": 19_801}
+
+
+def test_pairs_out_of_order(spark):
+    from sluice.operators import review
+
+    atoms = spark.createDataFrame([(1, f"P1-C00{k}", k) for k in (1, 2, 3)], "doc_id int, chunk_id string, chunk_no int")
+    qa = spark.createDataFrame([(1, c, p, ["a", "b", "c"], "q") for c, p in (("P1-C001", 0), ("P1-C001", 1), ("P1-C001", 5), ("P1-C002", 2), ("P1-C002", 3), ("P1-C002", 4), ("P1-C003", -1), ("P1-C003", 7), ("P1-C003", 8))], "doc_id int, chunk_id string, pos int, keywords array<string>, question string")
+    assert [(r.chunk_id, r.issue) for r in review.lint_qa(atoms, qa).collect()] == [("P1-C003", "order")]
