@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sluice.functions import sensitive
 from sluice.operators import export, merge, records, review, validate
 from sluice.plans import base
 from sluice.plans.base import EXCEPTIONS, LINES, QA, table
@@ -124,9 +125,9 @@ def unregistered_lengths(spark, sf_dir):
     return validate.unregistered_lengths(base.lines(spark, sf_dir), base.exceptions(spark, sf_dir))
 
 
-@query(BASE + " SELECT doc_id, chunk_id, qa_no, CAST(length(trim(answer)) AS INT) AS n_chars FROM qa WHERE length(trim(answer)) BETWEEN 1 AND 59")
+@query(BASE + " SELECT doc_id, chunk_id, qa_no, CAST(length(trim(answer)) AS INT) AS n_chars FROM qa WHERE length(trim(answer)) BETWEEN 1 AND 299")
 def short_answers(spark, sf_dir):
-    return validate.short_answers(base.qa(spark, sf_dir), 60)
+    return validate.short_answers(base.qa(spark, sf_dir), 300)
 
 
 @query(BASE + " SELECT doc_id, qa_no, confidence_score < 80 AND remark = '' AS fixed, CASE WHEN confidence_score < 80 AND remark = '' THEN '【低置信-人工复核】' ELSE remark END AS remark FROM qa")
@@ -207,6 +208,53 @@ def validated_records(spark, sf_dir):
     )
 
 
+@query(BASE + """, t AS (SELECT doc_id, chunk_id, CASE WHEN doc_type = 'en' THEN title ELSE substr(content, 1, 12) END AS title, substr(content, 1, 24) AS summary FROM lines)
+SELECT doc_id, chunk_id, 'bare title' AS warning FROM t WHERE title <> '' AND NOT regexp_matches(title, '^【.+】') UNION ALL SELECT doc_id, chunk_id, 'long summary' FROM t WHERE length(summary) > 20""")
+def atom_warnings(spark, sf_dir):
+    content = F.col("content")
+    atoms = base.lines(spark, sf_dir).withColumns({"title": F.when(F.col("doc_type") == "en", F.col("title")).otherwise(F.substring(content, 1, 12)), "summary": F.substring(content, 1, 24)})
+    return validate.warn_atoms(atoms)
+
+
+@query(BASE + """, t AS (SELECT doc_id, chunk_id, qa_no, answer || CASE WHEN confidence_score < 60 THEN '，建议您再试' WHEN confidence_score < 80 THEN '，文档未说明，可以尝试' WHEN confidence_score < 90 THEN '，可以尝试并可以联系' ELSE '' END AS answer FROM qa)
+SELECT doc_id, chunk_id, qa_no, p AS phrase FROM t, (VALUES ('建议联系'), ('建议您'), ('可以尝试'), ('可以联系')) AS v(p) WHERE contains(answer, p) AND NOT contains(answer, '文档未说明')""")
+def advice_warnings(spark, sf_dir):
+    score = F.col("confidence_score")
+    said = F.when(score < 60, "，建议您再试").when(score < 80, "，文档未说明，可以尝试").when(score < 90, "，可以尝试并可以联系").otherwise("")
+    return validate.warn_advice(base.qa(spark, sf_dir).withColumn("answer", F.concat("answer", said)))
+
+
+@query("SELECT doc_id, 'curly quotes' AS warning FROM documents WHERE regexp_matches(CASE lang WHEN 'fr' THEN replace(text, '''', '’') WHEN 'de' THEN replace(text, ',', '“') ELSE text END, '[“”‘’]')")
+def quote_warnings(spark, sf_dir):
+    raw = F.when(F.col("lang") == "fr", F.replace("text", F.lit("'"), F.lit("’"))).when(F.col("lang") == "de", F.replace("text", F.lit(","), F.lit("“"))).otherwise(F.col("text"))
+    return validate.warn_quotes(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")))
+
+
+@query(BASE + " SELECT doc_id, chunk_id FROM lines WHERE regexp_matches(content, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}') OR len(list_filter(regexp_extract_all(content, '[0-9]+'), lambda x: length(x) BETWEEN 16 AND 19)) > 0")
+def unregistered_sensitive(spark, sf_dir):
+    """Chunks with masked values that no entry names."""
+    atoms = sensitive.flag(base.lines(spark, sf_dir), "content").withColumn("content", F.col("flagged"))
+    return validate.unregistered_sensitive(atoms, base.exceptions(spark, sf_dir))
+
+
+@query(BASE + """, t AS (SELECT *, answer || CASE WHEN confidence_score < 60 THEN ' token: ' || doc_id || ' 密码：x' WHEN confidence_score < 70 THEN ' 【敏感数据】 Key: y' ELSE '' END AS a FROM qa)
+SELECT doc_id, chunk_id, qa_no, issue FROM t, (VALUES ('密码[：:]\\s*\\S+', '密码值未脱敏'), ('密钥[：:]\\s*\\S+', '密钥值未脱敏'), ('[Kk]ey[：:]\\s*\\S+', 'Key值未脱敏'), ('[Tt]oken[：:]\\s*\\S+', 'Token值未脱敏'), ('salt[：:]\\s*\\S+', 'Salt值未脱敏')) AS v(p, issue)
+WHERE NOT contains(a, '【敏感数据】') AND regexp_matches(a, p)""")
+def unmasked_answers(spark, sf_dir):
+    score = F.col("confidence_score")
+    said = F.when(score < 60, F.concat(F.lit(" token: "), F.col("doc_id").cast("string"), F.lit(" 密码：x"))).when(score < 70, " 【敏感数据】 Key: y").otherwise("")
+    return validate.unmasked_answers(base.qa(spark, sf_dir).withColumn("answer", F.concat("answer", said)))
+
+
+@query(JOINED + " SELECT j.doc_id, count(*) AS n_atoms, CAST(sum(n_qa) AS BIGINT) AS n_qa, md5(string_agg(l.content, chr(10) ORDER BY j.chunk_no)) AS content_md5 FROM joined AS j JOIN lines AS l ON l.doc_id = j.doc_id AND l.chunk_no = j.chunk_no GROUP BY j.doc_id")
+def export_json(spark, sf_dir):
+    """Records as JSON, read again."""
+    atoms = F.from_json(F.get_json_object("value", "$.knowledge_atoms"), "array<struct<content:string,qa_pairs:array<string>>>")
+    out = export.to_json_docs(_documents(spark, sf_dir)).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), atoms.alias("a"))
+    pairs = F.aggregate("a", F.lit(0).cast("long"), lambda n, x: n + F.size(x["qa_pairs"]))
+    return out.select("doc_id", F.size("a").cast("long").alias("n_atoms"), pairs.alias("n_qa"), F.md5(F.array_join("a.content", "\n")).alias("content_md5"))
+
+
 @query(RECORDS + """, i AS (SELECT doc_id, count(*) FILTER (confidence_score < 80 AND remark = '') AS f, count(*) FILTER ((confidence_score < 80) = (remark = '')) AS n FROM qa GROUP BY doc_id)
 SELECT r.doc_id, NOT no_lists AND NOT no_scores AS valid, coalesce(n - f, 0) AS unfixable, NOT no_lists AND NOT no_scores AND coalesce(n - f, 0) = 0 AS passed FROM r LEFT JOIN i USING (doc_id)""")
 def verdicts(spark, sf_dir):

@@ -111,6 +111,13 @@ def masked_answers(spark, sf_dir):
     return sensitive.mask_answers(base.qa(spark, sf_dir)).select("doc_id", "qa_no", F.md5("answer").alias("answer_md5"), F.size("hits").cast("long").alias("n_hits"))
 
 
+@query("SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 16 AND 19)) AS INT) AS n_masked, CAST(len(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS INT) AS n_detected FROM documents")
+def hits_by_action(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    masked = sensitive.detect(docs, "text", action="mask").select("doc_id", "text", F.size("hits").alias("n_masked"))
+    return sensitive.detect(masked, "text", action="detect").select("doc_id", "n_masked", F.size("hits").alias("n_detected"))
+
+
 @query("SELECT doc_id, CASE WHEN length(source || '-' || lang) <= 8 THEN '****' ELSE substr(source || '-' || lang, 1, 3) || '****' || right(source || '-' || lang, 4) END AS shown FROM documents")
 def masked_keys(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", sensitive.mask_key(F.concat_ws("-", "source", "lang")).alias("shown"))
