@@ -136,7 +136,12 @@ def _fixes(r: Column, n: Column) -> Column:
     return F.array_compact(F.array(*[one(x, x == "needs_review") for x in names]))
 
 
-def _issues(r: Column) -> Column:
+def _named(r: Column, name: str) -> Column:
+    """The distinct chunk ids that the entries of a field name."""
+    return F.array_distinct(F.flatten(F.transform(r["lists"][name], lambda x: F.regexp_extract_all(x, F.lit(r"P\d+-C\d+"), F.lit(0)))))
+
+
+def _issues(r: Column, ids: Column) -> Column:
     def issue(when: Column, kind: str, at: Column, detail: Column) -> Column:
         return F.when(when, F.struct(F.lit(kind).alias("type"), at.alias("location"), detail.alias("detail")))
 
@@ -146,7 +151,7 @@ def _issues(r: Column) -> Column:
     shown = lambda a: F.when(a["chunk_id"] == "", "?").otherwise(a["chunk_id"])
     each = lambda of: F.flatten(F.transform(r["atoms"], of))
     by_pair = lambda a, of: F.flatten(F.transform(a["pairs"], lambda q, j: of(q, F.format_string("%s 第%d条QA", shown(a), j + 1))))
-    listed = lambda a, f: F.exists(r["lists"][f], lambda x: F.array_contains(F.regexp_extract_all(x, F.lit(r"P\d+-C\d+"), F.lit(0)), a["chunk_id"]))
+    listed = lambda a, f: F.array_contains(ids[f], a["chunk_id"])
 
     def score(q: Column, at: Column) -> Column:
         marked, low = F.contains(q["remark"], F.lit(LOW_MARK)), q["score"] < LOW
@@ -186,16 +191,16 @@ def _repairs(r: Column) -> Column:
     return F.flatten(F.transform(r["atoms"], of))
 
 
-def _review(r: Column, n: Column) -> Column:
+def _review(r: Column, n: Column, ids: Column) -> Column:
     """The review list of the record with its numbers put right (review.review_list() is the same over tables)."""
 
     def text(name: str, item: Column) -> Column:
         plain = review.clean_item(item)
 
         def of(own: Column) -> Column:
-            title = F.coalesce(F.regexp_replace(F.get(own, 0)["title"], review.TITLE_PREFIX, ""), F.lit(""))
+            title = F.coalesce(F.regexp_replace(own["title"], review.TITLE_PREFIX, ""), F.lit(""))
             if name == "low_confidence_qa":
-                pairs = F.get(own, 0)["pairs"]
+                pairs = own["pairs"]
                 number = F.regexp_extract(item, review.QUESTION_NO, 1).try_cast("int")
                 question = F.coalesce(F.when(number > 0, F.get(pairs, number - 1)["question"]), F.get(F.filter(pairs, lambda q: q["score"] < LOW), 0)["question"], F.lit(""))
                 return F.when(question != "", F.format_string(review.UNSURE, question)).otherwise(plain)
@@ -206,7 +211,8 @@ def _review(r: Column, n: Column) -> Column:
 
         if name not in ("low_confidence_qa", "chunk_anomalies", "truncated_items"):
             return plain
-        return let(F.filter(r["atoms"], lambda a: a["chunk_id"] == F.regexp_extract(item, review.CHUNK_ID, 1)), of)
+        place = F.array_position(ids["atoms"], F.regexp_extract(item, review.CHUNK_ID, 1)).cast("int")
+        return let(F.get(r["atoms"], place - 1), of)
 
     def section(no: int) -> Column:
         own = [(f, head) for f, k, head in review.SECTIONS if k == no]
@@ -226,12 +232,13 @@ def validate_all(docs: DataFrame, raw: str = "raw") -> DataFrame:
     parsed = docs.select("doc_id", F.col(raw).alias("_raw"), F.try_parse_json(raw).alias("_v"))
     is_object = F.startswith(kind_of(F.col("_v")), F.lit("OBJECT"))
     parsed = parsed.select("doc_id", "_raw", F.coalesce(is_object, F.lit(False)).alias("_ok"), _record(F.col("_v")).alias("_r"))
-    counted = parsed.withColumn("_n", _numbers(F.col("_r")))
-    r, n, ok = F.col("_r"), F.col("_n"), F.col("_ok")
+    r, n, ids, ok = F.col("_r"), F.col("_n"), F.col("_ids"), F.col("_ok")
+    known = F.struct(F.transform(r["atoms"], lambda a: a["chunk_id"]).alias("atoms"), *[_named(r, f).alias(f) for f in ("chunk_anomalies", "sensitive_items")])
+    counted = parsed.withColumns({"_n": _numbers(r), "_ids": known})
     none = F.array().cast(_STRINGS)
     found = counted.select(
         "doc_id", F.when(ok, _errors(r, n)).otherwise(F.array(F.lit(NO_JSON))).alias("errors"), F.when(ok, _warnings(r, F.col("_raw"))).otherwise(none).alias("warnings"),
-        n.alias("numbers"), _fixes(r, n).alias("fixes"), _issues(r).alias("issues"), _repairs(r).alias("repairs"), _review(r, n).alias("summary"),
+        n.alias("numbers"), _fixes(r, n).alias("fixes"), _issues(r, ids).alias("issues"), _repairs(r).alias("repairs"), _review(r, n, ids).alias("summary"),
     )
     left = F.size("issues") - F.size("repairs")
     return found.select(
