@@ -105,9 +105,9 @@ def _sizes_fit(a: str, b: str) -> Column:
 def _verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
     """The ids x of the pairs (x, y) that are similar enough; only lines that some pair needs are read again."""
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct().join(named, "id")
-    wanted = ids.groupBy("first._d", "first._t").agg(F.collect_list(F.struct("first.line_no", "id")).alias("w"))
-    texts = _keys(docs).select("_d", "_t", "text").join(wanted, ["_d", "_t"]).dropDuplicates(["_d", "_t"])
-    texts = texts.select(F.explode("w").alias("w"), _split(F.col("text")).alias("l")).select("w.id", F.get("l", F.col("w.line_no")).alias("line"))
+    wanted = ids.select("first._d", "first._t", "first.line_no", "id")
+    # a row for each line, none of which carries its text; rows equal in id and text give their lines once
+    texts = _lines(docs).join(wanted, ["_d", "_t", "line_no"]).select("id", "line").dropDuplicates(["id"])
     vectors = scratch.keep(with_tokens(texts).select("id", "tokens"))
     x, y = (vectors.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "xy")
     both = F.size(F.array_intersect("tx", "ty"))

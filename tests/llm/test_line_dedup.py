@@ -59,3 +59,13 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or -1, r.text) for r in line_dedup.dedup(df).collect())
     assert got == [(-1, ""), (3, line), (3, line), (4, "x")]
     assert line_dedup.dedup(df.filter("false")).count() == 0
+
+
+def test_long_documents_of_nearly_equal_lines(spark):
+    """Texts of some 5 MB: their 20,000 lines pair up, and all of them end in one passage."""
+    passage = "these nine words stand at the end of all"
+    first = "\n".join(" ".join([*(f"w{i}k{k}" for k in range(21)), passage]) for i in range(20_000))
+    second = "\n".join("other " + line.partition(" ")[2] for line in first.split("\n"))
+    df = spark.createDataFrame([(1, first), (2, second), (3, second + "\nits own line of words that no other has")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup(df).collect()}
+    assert got == {1: (20_000, 0, first), 2: (20_000, 20_000, ""), 3: (20_001, 20_000, "its own line of words that no other has")}
