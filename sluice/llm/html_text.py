@@ -6,12 +6,14 @@ of its path, a hashed vector of its words and its length and link share, and lab
 the context of the document on both sides. Pages are labelled in groups of about equal length; a page is never cut.
 
 The model is fitted on the driver on a bounded sample (TRAIN_PAGES pages of at most TRAIN_CHARS characters, those with the
-least hash of page_id) labelled by the semantics of their elements, with boilerplate blocks of other kinds (sidebars,
-forms, notices, comments, adverts) and other article containers put in, so that it does not hang on one page template. Its
-weights, some tens of thousands of numbers, are what the tasks get.
+least hash of page_id): the pages themselves, labelled by the semantics of their elements, each once more with other containers
+and boilerplate put in, and COMPOSED pages made from the texts of each by a grammar of templates (wrappers, menus, meta lines,
+adverts within the article, comments, sidebars, table layouts, bare pages), whose labels are known by construction. Names that tell nothing
+are strewn in and names and word vectors left out at random, so that it does not hang on one template. Its weights, some tens
+of thousands of numbers, are what the tasks get.
 
 Defined cases: null, empty and text-free pages give an empty text; broken and truncated markup is read as far as it goes;
-all character references are decoded; repeated rows give repeated results; other columns are ignored.
+all character references are decoded; repeated rows give repeated results; other columns are ignored, those named text or n_chars too.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ from pyspark.sql import functions as F
 from sluice.llm.common import table
 
 TRAIN_PAGES = 300
-CELLS = 1 << 16
+CELLS = 1 << 15
 TRAIN_CHARS = 20_000
-STEPS = 260
+COMPOSED = 7  # pages of other templates made from each page of the sample
+STEPS = 900
+DROPPED = 0.1  # share of the names of a page that a training step does not show; of the word vectors, half
+DECAY = 0.02
 BATCH = 24
-PATH_DIM, WORD_DIM, HIDDEN = 96, 32, 16
+PATH_DIM, WORD_DIM, HIDDEN = 256, 32, 16
 DIM = PATH_DIM + WORD_DIM + 3
 
 # Element names of HTML.
@@ -53,6 +58,32 @@ BOILERPLATE = frozenset(
 MAIN = frozenset("article main content post entry story article-body entry-content post-content".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+# The grammar of training pages: elements and class words that sites use for each part.
+WRAPPERS = "div div.wrapper div.container div.page div.site div.layout>div.row div.row>div.col div.inner section div.grid div.site-content div.primary div.columns>div"
+TOPS = "header header.site-header div.header div.masthead div.topbar div.site-branding div.page-head div.banner div.head div.top"
+MENUS = "nav nav.main-nav div.menu ul.menu div.nav div.navbar nav.breadcrumb div.breadcrumbs ol.breadcrumb nav.toc div.toc div.pagination nav>ul"
+SIDES = "aside aside.widget-area div.sidebar div.secondary div.side-bar div.rail div.widget-area div.related div.right-column div.left-column div.promo aside.related"
+BOTTOMS = "footer footer.site-footer div.footer div.colophon div.site-info div.copyright div.bottom div.foot"
+NOTICES = "div.cookie-banner div.notice div.popup dialog div.consent div.alert div.modal form.search div.search form.login div.login form.subscribe div.cookies div.overlay div.ad div.advertisement"
+ARTICLES = (
+    "article article article.post article.hentry main main>article main.site-main>article.post div.post div.entry div.article div.story div.content div.main-content "
+    "section.post div.blog-post div.news-item div.page-content div.main div.node main.content main>div div.post-single div.body-content div"
+)
+BODIES = "div.entry-content div.post-content div.article-body div.post-body div.body div.text div.story-body div.content div.prose section div div.article__body div.markdown div.copy"
+OWN_HEADS = "header header header.entry-header div.post-header div.title-block hgroup header.post-head div.article-header"
+METAS = "p.meta div.meta div.byline p.byline div.entry-meta p.date div.date div.author p.author div.post-info p.updated div.article__meta p div.timestamp"
+WITHIN = (
+    "div.ad div.advert div.ads aside aside.pullout div.share div.social div.share-buttons div.notice div.promo form div.newsletter div.related ul.related div.sponsored "
+    "div.ad-inline div.signup form.newsletter nav div.subscribe div.site-notice"
+)
+COMMENTS = "section.comments div.comments div.comment-list ol.comment-list div.respond ul.comments div.comments-area section.responses div.replies div.reader-comments form.comment-form"
+LEAVES = "p p p p p p p p p p h2 h2 h3 h4 ul>li ul>li ol>li blockquote blockquote>p pre table>tr>td table>tr>th figure>figcaption dl>dt dl>dd div div section>p section>h2 div>p"
+NEUTRAL = "site page block item single type area title text inner outer left right center col wide first last box list module section group clearfix default component view c l js 1 2 8 12".split()
+PHRASES = (
+    "Home|About us|Contact|Share this|Subscribe to our newsletter|We use cookies to improve this site|Last updated 3 May 2021|By A. Smith|Posted in News|All rights reserved|"
+    "Copyright 2020|Read more|Related posts|Log in|Search|Leave a reply|Advertisement|Tags: one, two|5 comments|Accept|Privacy|Terms|Monday, 12 June|Next page|Most read|Print"
+).split("|")
+
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<code>script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=code)\s*>|\Z)"
     r"|<(?P<raw>template|iframe|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</(?P=raw)\s*>|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</svg\s*>"
@@ -70,6 +101,15 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _element(name: str, words: list[str]) -> tuple[str, ...]:
+    """The names of an element: its tag, the words of its class, id and role, and the pieces of compound words."""
+    out = [name]
+    for word in words:
+        for w in re.split("_+", re.sub("([a-z])([A-Z])", r"\1-\2", word).lower()):
+            out += [w, *(w.split("-") if "-" in w and w not in MAIN else ())]
+    return tuple(x for x in out if x)
+
+
 def blocks(html: str) -> list[Block]:
     """The page's leaf blocks in page order; text is decoded, its white space single spaces, and never empty."""
     out: list[Block] = []
@@ -111,9 +151,7 @@ def blocks(html: str) -> list[Block]:
             if name in CLOSES_P and open_ and open_[-1][0] == "p" or name in ("li", "option", "td", "th", "tr", "dd", "dt") and open_ and open_[-1][0] == name:
                 open_.pop()
             if name not in VOID:
-                words = [w for g in _names.findall(m["rest"] or "") for w in re.split(r"[\s_]+", "".join(g).lower()) if w]
-                pieces = [x for w in words if "-" in w and w not in MAIN for x in w.split("-") if x]
-                open_.append((name, (name, *words, *pieces)))
+                open_.append((name, _element(name, [w for g in _names.findall(m["rest"] or "") for w in "".join(g).split()])))
     flush()
     return out
 
@@ -135,8 +173,9 @@ def semantic_labels(page: list[Block]) -> list[int]:
 def features(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), DIM), np.float32)
     for k, b in enumerate(page):
-        for depth, name in enumerate(b.path):
-            x[k, zlib.crc32(name.encode()) % PATH_DIM] = 1.0
+        for depth, name in enumerate(b.path):  # two cells for each name, so that a strange word rarely looks like a known one
+            code = zlib.crc32(name.encode())
+            x[k, code % PATH_DIM] = x[k, (code >> 16) * 31 % PATH_DIM] = 1.0
             if depth == len(b.path) - 1:
                 x[k, zlib.crc32(b"leaf " + name.encode()) % PATH_DIM] = 1.0
         words = b.text.split()
@@ -215,11 +254,13 @@ class Labeller:
         return (seen @ self.w[2])[..., 0], seen
 
     def fit(self, pages: list[np.ndarray], labels: list[list[int]], seed: int = 0) -> Labeller:
-        rng = random.Random(seed)
+        rng, drop = random.Random(seed), np.random.default_rng(seed)
         first, second = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
         for step in range(1, STEPS + 1):
             own = rng.sample(range(len(pages)), min(BATCH, len(pages)))
             x, mask = _pad([pages[k] for k in own])
+            x[..., :PATH_DIM] *= drop.random((len(own), 1, PATH_DIM)) >= DROPPED
+            x[..., PATH_DIM : PATH_DIM + WORD_DIM] *= drop.random((*mask.shape, 1)) >= 0.5
             y = np.zeros(mask.shape, np.float32)
             for row, k in enumerate(own):
                 y[row, : len(labels[k])] = labels[k]
@@ -236,6 +277,7 @@ class Labeller:
             for k, g in enumerate(grads):
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
+                self.w[k] *= 1 - rate * DECAY
                 self.w[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
         return self
 
@@ -283,6 +325,86 @@ def vary(page: list[Block], rng: random.Random) -> list[Block]:
     return out
 
 
+def _spec(rng: random.Random, specs: str) -> tuple[str, ...]:
+    """The path of one of the specs, elements joined by >, classes by dots; some elements get a word that tells nothing."""
+    out: list[str] = []
+    for element in rng.choice(specs.split()).split(">"):
+        tag, *words = element.split(".")
+        strange = [rng.choice(NEUTRAL) if rng.random() < 0.5 else "".join(rng.choice("abcdefghiklmnoprstuvwy") for _ in range(rng.randint(2, 9)))] if rng.random() < 0.4 else []
+        out += _element(tag, words + strange)
+    return tuple(out)
+
+
+def compose(page: list[Block], rng: random.Random) -> tuple[list[Block], list[int]]:
+    """A page of a template drawn from the grammar below, its texts from the page given, and the label of each block. Parts
+    about the article stand where sites put them: in front of it, within it, behind it and beside it."""
+    main = [b.text for b, label in zip(page, semantic_labels(page), strict=True) if label] or [b.text for b in page]
+    out: list[Block] = []
+    labels: list[int] = []
+
+    def put(path: tuple[str, ...], text: str, label: int, linked: bool = False) -> None:
+        out.append(Block(path, text, len(text) if linked else 0))
+        labels.append(label)
+
+    def cut(low: int, high: int) -> str:
+        text = rng.choice(main)
+        return text[: rng.randint(low, high)].strip() or text
+
+    def other(path: tuple[str, ...], leaves: str, most: int, links: float, long: float) -> None:
+        """Boilerplate: up to so many blocks under the path, some of them links, some as long as paragraphs."""
+        leaf, linked = _spec(rng, leaves) if leaves else (), rng.random() < links
+        for _ in range(rng.randint(1, most)):
+            text = rng.choice(main) if rng.random() < long else rng.choice(PHRASES) if rng.random() < 0.5 else cut(3, 40)
+            put((*path, *leaf), text, 0, linked)
+
+    tables = rng.random() < 0.12
+    root = ("html", "body", *(x for _ in range(rng.choice([0, 0, 1, 2])) for x in _spec(rng, WRAPPERS)))
+    cell = (*root, "table", "tr") if tables else root
+    bare = not tables and rng.random() < 0.12  # nothing but the text, or next to nothing
+    likely = lambda p: not bare and rng.random() < p
+    if likely(0.25):
+        other((*root, *_spec(rng, NOTICES)), "p p button div", 2, 0.1, 0.4)
+    if likely(0.7):
+        top = (*cell, *(_spec(rng, "td td.header td.top") if tables else _spec(rng, TOPS)))
+        other(top, "p div div>a div.logo p.site-title" if rng.random() < 0.5 else "", 2, 0.5, 0.1)
+        if rng.random() < 0.5:
+            other((*top, *_spec(rng, MENUS)), "ul>li li div", 6, 0.8, 0)
+    if likely(0.5):
+        other((*cell, *(_spec(rng, "td.menu td.left td.nav td") if tables else _spec(rng, MENUS))), "ul>li li div", 8, 0.9, 0)
+    side_first = rng.random() < 0.25
+    side = lambda: other((*cell, *(_spec(rng, "td.sidebar td.right td.links") if tables else _spec(rng, SIDES))), "p ul>li div.widget>ul>li section.widget>p h3 h3.widget-title div", 5, 0.5, 0.3)
+    if side_first and likely(0.8):
+        side()
+    holder = _spec(rng, WRAPPERS) if not tables and rng.random() < 0.3 else ()
+    article = () if bare and rng.random() < 0.6 else _spec(rng, "td td.content td.text td.main") if tables else _spec(rng, ARTICLES)
+    around = (*(cell if not bare else root), *holder, *article)
+    body = (*around, *_spec(rng, BODIES)) if rng.random() < 0.6 else around
+    if rng.random() < 0.85:
+        head = (*around, *_spec(rng, OWN_HEADS)) if article and rng.random() < 0.45 else around if rng.random() < 0.7 else body
+        put((*head, *_spec(rng, "h1 h1 h1 h2 h1.title h1.entry-title h1.headline")), cut(12, 70), 1)
+        if likely(0.5):
+            put((*head, *_spec(rng, METAS)), rng.choice(PHRASES) if rng.random() < 0.6 else cut(5, 40), 0)
+    for _ in range(rng.randint(2, 9)):
+        if likely(0.12):
+            other((*(body if rng.random() < 0.7 else around), *_spec(rng, WITHIN)), rng.choice(["p", "div", "", "ul>li"]), 3, 0.3, 0.3)
+        leaf = _spec(rng, LEAVES)
+        many = rng.randint(1, 4) if leaf[-1] in ("li", "td", "th", "dt", "dd") else 1
+        for _ in range(many):
+            put((*body, *leaf), cut(8, 60) if leaf[-1] not in ("p", "div", "blockquote") or rng.random() < 0.1 else rng.choice(main), 1)
+    if article and likely(0.3):
+        other((*around, *_spec(rng, "footer footer.entry-footer div.post-footer div.tags p.tags div.author-box nav.post-navigation div.share ul.social")), rng.choice(["", "p", "div"]), 2, 0.3, 0.1)
+    if likely(0.4):
+        where = (around if rng.random() < 0.3 else (*cell, *holder) if not tables else (*root,))
+        other((*where, *_spec(rng, COMMENTS)), "p div.comment>p li.comment>p li.comment>div.comment-content>p div.comment-body>p h3 form>p div", 6, 0, 0.7)
+    if not side_first and likely(0.5):
+        side()
+    if likely(0.15):
+        other((*root, *_spec(rng, NOTICES)), "p p button div", 2, 0.1, 0.4)
+    if likely(0.75):
+        other((*cell, *(_spec(rng, "td.footer td.bottom td") if tables else _spec(rng, BOTTOMS))), rng.choice(["", "p", "div", "ul>li", "div.site-info"]), 4, 0.4, 0.15)
+    return out, labels
+
+
 def train(pages: DataFrame) -> Labeller:
     """Fits the labeller on the bounded sample."""
     short = pages.filter(F.length("html").between(1, TRAIN_CHARS)).select("page_id", "html")
@@ -292,10 +414,11 @@ def train(pages: DataFrame) -> Labeller:
     for r in sample:
         page = blocks(r.html)
         if page:
-            own += [page, *(vary(page, rng) for _ in range(3))]
+            own += [(p, semantic_labels(p)) for p in (page, vary(page, rng))]
+            own += [compose(page, rng) for _ in range(COMPOSED)]
     if not own:
         return Labeller()
-    return Labeller().fit([features(p) for p in own], [semantic_labels(p) for p in own])
+    return Labeller().fit([features(p) for p, _ in own], [labels for _, labels in own])
 
 
 def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
