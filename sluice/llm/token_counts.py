@@ -2,7 +2,7 @@
 
 The tokenizer is a unigram model with a Metaspace pre-tokenizer: spaces become "▁", one is put in front, and every "▁" begins
 a new stretch. An Aho-Corasick automaton enumerates the vocabulary pieces in a stretch; dynamic programming over its
-characters carries the best score and the number of pieces, never the pieces. Ties are the tokenizer's: of equal scores the
+characters carries the best score and the number of pieces, never the pieces, for as many places as the longest piece has characters. Ties are the tokenizer's: of equal scores the
 piece that begins first wins; a character that is no piece costs the least score minus 10; neighbouring unknown characters
 are one piece. A worker remembers the counts of stretches by code, up to REMEMBERED of them.
 
@@ -36,15 +36,19 @@ def default_vocabulary_path() -> str:
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """The pieces of a sentencepiece model without control and byte pieces; scores follow Zipf's law by their order."""
+    """The pieces of a sentencepiece model without control and byte pieces, with the model's scores. Where these are whole numbers,
+    they are the merge ranks of a byte-pair model and no log-probabilities; then scores follow Zipf's law by their order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [
-        model.id_to_piece(i) for i in range(model.get_piece_size())
+    own = [
+        i for i in range(model.get_piece_size())
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
     ]
-    return [(p, -math.log(i + 2)) for i, p in enumerate(pieces)]
+    scores = [model.get_score(i) for i in own]
+    if all(s == int(s) for s in scores):
+        scores = [-math.log(k + 2) for k in range(len(own))]
+    return [(model.id_to_piece(i), s) for i, s in zip(own, scores, strict=True)]
 
 
 class Counter:
@@ -55,6 +59,7 @@ class Counter:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in pieces)
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.clear()
 
@@ -64,24 +69,30 @@ class Counter:
     def count(self, stretch: str) -> int:
         """Pieces of the best path through one stretch."""
         n = len(stretch)
-        scores, counts, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(stretch):
-            ending[end].append(found)
+        ring = min(self.longest, n) + 1  # places further back than the longest piece are never looked at again
+        scores, counts, unknown = [0.0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(stretch)  # in order of their ends
+        match = next(matches, None)
         for end in range(1, n + 1):
-            best = None
-            alone = False
-            for length, score in sorted(ending[end - 1], reverse=True):
+            ending = []
+            while match is not None and match[0] < end:
+                ending.append(match[1])
+                match = next(matches, None)
+            here, before = end % ring, (end - 1) % ring
+            best, alone, was_unknown = None, False, unknown[before]
+            unknown[here] = False
+            for length, score in sorted(ending, reverse=True):
                 alone |= length == 1
-                candidate = score + scores[end - length]
+                start = (end - length) % ring
+                candidate = score + scores[start]
                 if best is None or candidate > best:
-                    best, scores[end], counts[end] = candidate, candidate, counts[end - length] + 1
+                    best, pieces = candidate, counts[start] + 1
             if not alone:
-                candidate = self.unknown + scores[end - 1]
+                candidate = self.unknown + scores[before]
                 if best is None or candidate > best:
-                    scores[end], unknown[end] = candidate, True
-                    counts[end] = counts[end - 1] + (not unknown[end - 1])
-        return counts[n]
+                    best, pieces, unknown[here] = candidate, counts[before] + (not was_unknown), True
+            scores[here], counts[here] = best, pieces
+        return counts[n % ring]
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of tokens of each text."""
@@ -115,12 +126,13 @@ def _counter(path: str) -> Counter:
     return _counters[path]
 
 
-def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of every row."""
+def count_tokens(docs: DataFrame, path: str | None = None, pieces: list[tuple[str, float]] | None = None) -> DataFrame:
+    """(doc_id, n_tokens) of every row, by the model at the path, or by given pieces and their scores."""
     path = path or default_vocabulary_path()
+    given = docs.sparkSession.sparkContext.broadcast(pieces) if pieces else None  # as large as a vocabulary
 
     def count(batches):
-        counter = _counter(path)
+        counter = Counter(given.value) if given else _counter(path)
         for batch in batches:
             counts = [counter.words(data, offsets) for _, _, data, offsets in textcodes.chunks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]))], ["doc_id", "n_tokens"])

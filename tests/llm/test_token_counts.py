@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -33,3 +34,23 @@ def test_ties(spark):
     for _ in range(500):
         s = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
         assert counter.count("▁" + s) == len(t.encode(s, add_special_tokens=False).ids), s
+
+
+def test_given_scores(spark):
+    rng = random.Random(10)
+    pieces = [("▁", -2.5), ("a", -3.0), ("b", -3.25), ("ab", -5.5), ("▁a", -6.0), ("ba", -2.0), ("aba", -9.0)]
+    t = tokenizer(pieces)
+    texts = [(i, " ".join("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(5))) for i in range(50)]
+    got = tc.count_tokens(spark.createDataFrame(texts, "doc_id long, text string"), pieces=pieces).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {d: len(t.encode(s, add_special_tokens=False).ids) for d, s in texts}
+
+
+def test_long_stretch_in_constant_memory():
+    rng = random.Random(11)
+    pieces = [("▁", -1.0), ("a", -2.0), ("b", -2.5), ("ab", -3.0), ("bba", -4.0)]
+    counter, stretch = tc.Counter(pieces), "".join(rng.choice("abc") for _ in range(300_000))
+    want = len(tokenizer(pieces).encode(stretch, add_special_tokens=False).ids)
+    tracemalloc.start()
+    assert counter.count("▁" + stretch) == want
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
