@@ -4,8 +4,8 @@ A line's tokens are its distinct five-word shingles (of a line with fewer words:
 earlier line of any document (by doc_id, then line number) has Jaccard similarity of PERCENT / 100 or more with it.
 
 Lines with equal tokens form a class, represented by its first line; all but the first of a class go. Between classes:
-tokens are ordered by rarity (tiers of the most frequent ones, found by a frequent-items sketch over all lines, come last;
-then the token; any order is exact), each class keeps the prefix that a partner must share a token with, and postings are the tokens found in the prefixes of two or
+tokens are ordered by rarity (the tokens of all lines are counted in BUCKETS counters, a fixed size; those of fuller ones
+come last; then the token; any order is exact), each class keeps the prefix that a partner must share a token with, and postings are the tokens found in the prefixes of two or
 more classes. Length and positional filters bound the overlap before verification. First each class is compared with the
 one that is the earliest class of most of its postings; a match settles it. Only classes that stay unsettled are compared with every earlier
 class in their postings. So a group of near copies costs one comparison per member and token, and nothing is missed.
@@ -17,6 +17,9 @@ columns n_lines and n_removed are replaced, others pass through; an empty table
 
 from __future__ import annotations
 
+from math import log2
+from statistics import median
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +27,9 @@ from sluice.llm.common import Scratch, table
 
 PERCENT = 75
 WORDS = 5
-FREQUENT = 8192
-TRACKED = 1 << 17  # counters of the frequent-items sketch
-OFTEN = 64
+BITS = 17
+BUCKETS = 1 << BITS
+RANK_BITS = 7  # 16 ranks for each power of two; as a byte of ASCII
 LAST = (1 << 63) - 1
 
 
@@ -37,7 +40,9 @@ def _split(text: Column) -> Column:
 def with_tokens(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds tokens: the distinct codes of the line's shingles. Explode it by explode_outer alone: the filter that explode
     implies would be pushed below and compute the whole expression again for every shingle."""
-    lines = lines.withColumn("_w", F.filter(F.split(line, "[ \\t-\\r]+"), lambda w: w != ""))
+    other = F.contains(F.col(line), F.lit("\t")) | F.contains(F.col(line), F.lit("\v")) | F.contains(F.col(line), F.lit("\f")) | F.contains(F.col(line), F.lit("\r"))
+    split = F.when(other | F.contains(F.col(line), F.lit("\n")), F.split(line, "[ \\t-\\r]+")).otherwise(F.split(line, " "))  # one letter needs no regular expression
+    lines = lines.withColumn("_w", F.array_remove(split, ""))
     lines = lines.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_n", F.size("_w"))
     windows = F.transform(
         F.sequence(F.lit(0), F.greatest(F.col("_n") - WORDS, F.lit(0))),
@@ -55,34 +60,28 @@ def _lines(docs: DataFrame) -> DataFrame:
     return _keys(docs).select("_d", "_t", F.posexplode_outer(_split(F.col("text"))).alias("line_no", "line")).filter(F.col("line").rlike("[^ \\t-\\r]"))
 
 
-def frequent_tokens(tokenized: DataFrame) -> list[tuple[int, list[int]]]:
-    """(tier, its tokens): the FREQUENT most frequent tokens that OFTEN lines or more have, by powers of four of their counts."""
-    top = tokenized.select(F.explode("tokens").alias("t")).agg(F.expr(f"approx_top_k(t, {FREQUENT}, {TRACKED})").alias("top")).first().top or []
-    tiers: dict[int, list[int]] = {}
-    for r in top:
-        if r["count"] >= OFTEN:
-            tiers.setdefault(r["count"].bit_length() // 2, []).append(r["item"])
-    return sorted(tiers.items())
+def bucket_ranks(tokenized: DataFrame) -> bytes:
+    """A byte for each bucket of tokens: by how many sixteenths of a power of two it has more tokens than the usual bucket."""
+    few = tokenized.coalesce(tokenized.sparkSession.sparkContext.defaultParallelism)  # a task has up to BUCKETS counters to send
+    bucket = F.shiftrightunsigned(F.col("t"), 64 - BITS).cast("int").alias("bucket")
+    counts = dict(few.select(F.explode("tokens").alias("t")).groupBy(bucket).count().collect())  # BUCKETS rows whatever the input
+    usual = median(counts.values()) if counts else 1
+    return bytes(min((1 << RANK_BITS) - 1, max(0, int(16 * log2(counts[k] / usual)))) if k in counts else 0 for k in range(BUCKETS))
 
 
-def by_rarity(tokens: str, prefix: str, tiers: list[tuple[int, list[int]]]) -> Column:
-    """The sorted tokens, rarest first; where the prefix has no frequent one, as they are, since their prefix is the same."""
-    if not tiers:
-        return F.col(tokens)
-    cases = " ".join(f"WHEN t IN ({', '.join(map(str, own))}) THEN {tier}" for tier, own in tiers)
-    some = ", ".join(str(t) for _, own in tiers for t in own)
-    ranked = F.expr(f"transform(sort_array(transform({tokens}, t -> struct(CASE {cases} ELSE 0 END AS r, t AS t))), x -> x.t)")
-    return F.when(F.expr(f"exists({prefix}, t -> t IN ({some}))"), ranked).otherwise(F.col(tokens))
+def by_rarity(tokens: str, ranks: bytes) -> Column:
+    """The sorted keys of the tokens: the rank of a token's bucket, then the token without its last bits. Tokens that share
+    a key only add pairs to verify."""
+    rank = lambda t: F.ascii(F.substring(F.lit(ranks), F.shiftrightunsigned(t, 64 - BITS).cast("int") + 1, F.lit(1)).cast("string"))
+    key = lambda t: F.shiftleft(rank(t).cast("long"), 63 - RANK_BITS).bitwiseOR(F.shiftrightunsigned(t, RANK_BITS + 1))
+    return F.sort_array(F.transform(tokens, key))
 
 
-def signatures(tokenized: DataFrame, tiers: list[tuple[int, list[int]]]) -> DataFrame:
+def signatures(tokenized: DataFrame, ranks: bytes) -> DataFrame:
     """(_d, _t, line_no, n, sig_a, sig_b, prefix) of every line with words."""
     n = F.size("tokens")
-    first = lambda c: F.slice(c, F.lit(1), n - least_shared(n) + 1)
-    return (
-        tokenized.withColumn("head", first("tokens")).withColumn("ordered", by_rarity("tokens", "head", tiers))
-        .select("_d", "_t", "line_no", n.alias("n"), F.xxhash64("tokens").alias("sig_a"), F.xxhash64(F.lit(1), "tokens").alias("sig_b"), first("ordered").alias("prefix"))
-    )
+    prefix = F.slice(by_rarity("tokens", ranks), F.lit(1), n - least_shared(n) + 1)
+    return tokenized.select("_d", "_t", "line_no", n.alias("n"), F.xxhash64("tokens").alias("sig_a"), F.xxhash64(F.lit(1), "tokens").alias("sig_b"), prefix.alias("prefix"))
 
 
 def least_shared(n: Column) -> Column:
@@ -95,7 +94,13 @@ def _may_match(a: str, b: str) -> Column:
     most min(i, i') tokens are shared before this one and min(n - i, m - i') from it on."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
     needed = F.ceil((n + m) * PERCENT / F.lit(100 + PERCENT))
-    return _sizes_fit(a, b) & (i <= n - needed) & (j <= m - needed) & (F.least(i, j) + F.least(n - i, m - j) >= needed)
+    return _places_fit(a, b) & (i <= n - needed) & (j <= m - needed)
+
+
+def _places_fit(a: str, b: str) -> Column:
+    """The part of it that holds for every token that two similar lines share."""
+    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
+    return _sizes_fit(a, b) & ((F.least(i, j) + F.least(n - i, m - j)) * (100 + PERCENT) >= PERCENT * (n + m))
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -121,7 +126,7 @@ def removed_lines(docs: DataFrame) -> tuple[Scratch, DataFrame]:
     """(_d, _t, line_no) of every line that goes, and the scratch folder that holds it."""
     scratch = Scratch(docs.sparkSession)
     tokenized = scratch.keep(with_tokens(_lines(docs)).select("_d", "_t", "line_no", F.sort_array("tokens").alias("tokens")))
-    signed = scratch.keep(signatures(tokenized, frequent_tokens(tokenized)))
+    signed = scratch.keep(signatures(tokenized, bucket_ranks(tokenized)))
     scratch.drop(tokenized)
     tokens = signed.select("sig_a", "n", F.posexplode("prefix").alias("i", "token"))
     several = tokens.groupBy("token").agg(F.min("sig_a").alias("x"), F.max("sig_a").alias("y")).filter("x < y").select("token")
@@ -147,7 +152,7 @@ def removed_lines(docs: DataFrame) -> tuple[Scratch, DataFrame]:
     after = F.least(F.first(F.col("own.n")) - F.max("own.i"), F.first(F.col("other.n")) - F.max("other.i")) - 1
     rest = (
         unsettled.join(postings.withColumnRenamed("own", "other"), "token")
-        .filter((F.col("other.first") < F.col("own.first")) & _sizes_fit("own", "other"))
+        .filter((F.col("other.first") < F.col("own.first")) & _places_fit("own", "other"))
         .groupBy(F.col("own.id").alias("x"), F.col("other.id").alias("y"))
         .agg(F.count("*").alias("shared"), F.first(F.col("own.n") + F.col("other.n")).alias("sum"), F.first(F.greatest("own.n", "other.n")).alias("n"), after.alias("after"))
         # those up to the last shared one, and what follows it at most; or what follows the prefix that ends first

@@ -69,3 +69,13 @@ def test_long_documents_of_nearly_equal_lines(spark):
     df = spark.createDataFrame([(1, first), (2, second), (3, second + "\nits own line of words that no other has")], "doc_id long, text string")
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup(df).collect()}
     assert got == {1: (20_000, 0, first), 2: (20_000, 20_000, ""), 3: (20_001, 20_000, "its own line of words that no other has")}
+
+
+def test_phrases_of_many_lines_bring_no_pairs(spark, monkeypatch):
+    """50 phrases, in 50 lines each that have nothing else in common: no token of a phrase is among a line's rarest ones."""
+    lines = [" ".join([*(f"w{i}k{k}" for k in range(24)), *(f"p{i % 50}k{k}" for k in range(9))]) for i in range(2500)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "other " + lines[7].partition(" ")[2])], "doc_id long, text string")
+    seen, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda scratch, pairs, *rest: seen.append(pairs.count()) or verified(scratch, pairs, *rest))
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.dedup(df).collect()) == [(1, 0), (2, 1)]
+    assert 1 <= sum(seen) < 50
