@@ -6,7 +6,9 @@ earlier line of any document (by doc_id, then line number) has Jaccard similarit
 Lines with equal tokens form a class, represented by its first line; all but the first of a class go. Between classes:
 tokens are ordered by rarity (the tokens of all lines are counted in BUCKETS counters, a fixed size; those of fuller ones
 come last; then the token; any order is exact), each class keeps the prefix that a partner must share a token with, and postings are the tokens found in the prefixes of two or
-more classes. Length and positional filters bound the overlap before verification. First each class is compared with the
+more classes. Length and positional filters bound the overlap before verification, and so does a sketch of each class, 64 bits
+of which every token turns one over: two sets differ in as many tokens at least as their sketches do in bits (lines of
+hundreds of words fill it, so it spares nothing there). First each class is compared with the
 one that is the earliest class of most of its postings; a match settles it. Only classes that stay unsettled are compared with every earlier
 class in their postings. So a group of near copies costs one comparison per member and token, and nothing is missed.
 
@@ -78,10 +80,16 @@ def by_rarity(tokens: str, ranks: bytes) -> Column:
 
 
 def signatures(tokenized: DataFrame, ranks: bytes) -> DataFrame:
-    """(_d, _t, line_no, n, sig_a, sig_b, prefix) of every line with words."""
+    """(_d, _t, line_no, n, sig_a, sig_b, sketch, prefix) of every line with words."""
     n = F.size("tokens")
     prefix = F.slice(by_rarity("tokens", ranks), F.lit(1), n - least_shared(n) + 1)
-    return tokenized.select("_d", "_t", "line_no", n.alias("n"), F.xxhash64("tokens").alias("sig_a"), F.xxhash64(F.lit(1), "tokens").alias("sig_b"), prefix.alias("prefix"))
+    return tokenized.select("_d", "_t", "line_no", n.alias("n"), F.xxhash64("tokens").alias("sig_a"), F.xxhash64(F.lit(1), "tokens").alias("sig_b"), sketch("tokens").alias("sketch"), prefix.alias("prefix"))
+
+
+def sketch(tokens: str) -> Column:
+    """64 bits, each of which tells whether the tokens with its number are odd in number."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(t))  # noqa: E731  a shift takes six bits of it
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
 
 
 def least_shared(n: Column) -> Column:
@@ -94,13 +102,14 @@ def _may_match(a: str, b: str) -> Column:
     most min(i, i') tokens are shared before this one and min(n - i, m - i') from it on."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
     needed = F.ceil((n + m) * PERCENT / F.lit(100 + PERCENT))
-    return _places_fit(a, b) & (i <= n - needed) & (j <= m - needed)
+    before = (F.least(i, j) + F.least(n - i, m - j)) * (100 + PERCENT) >= PERCENT * (n + m)
+    return _sizes_fit(a, b) & before & (i <= n - needed) & (j <= m - needed)
 
 
-def _places_fit(a: str, b: str) -> Column:
-    """The part of it that holds for every token that two similar lines share."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
-    return _sizes_fit(a, b) & ((F.least(i, j) + F.least(n - i, m - j)) * (100 + PERCENT) >= PERCENT * (n + m))
+def _sketches_fit(a: str, b: str) -> Column:
+    """Similar lines of n and m tokens differ in at most 25 (n + m) / 175 of them, and each of those turns one bit over."""
+    bits = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
+    return (100 + PERCENT) * bits <= (100 - PERCENT) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -135,15 +144,15 @@ def removed_lines(docs: DataFrame) -> tuple[Scratch, DataFrame]:
     lines = scratch.keep(signed.drop("prefix"))
     scratch.drop(several, signed)
     classes = scratch.keep(
-        lines.groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("_d", "_t", "line_no")).alias("first")).withColumnRenamed("sig_a", "id")
+        lines.groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("_d", "_t", "line_no")).alias("first"), F.min("sketch").alias("sketch")).withColumnRenamed("sig_a", "id")
     )
-    named = classes.select("id", "first")
-    postings = scratch.keep(shared.withColumnRenamed("sig_a", "id").join(named, "id").select("token", F.struct("first", "id", "n", "i").alias("own")))
+    named = classes.select("id", "first", "sketch")
+    postings = scratch.keep(shared.withColumnRenamed("sig_a", "id").join(named, "id").select("token", F.struct("first", "id", "n", "i", "sketch").alias("own")))
     scratch.drop(shared)
 
     leaders = postings.groupBy("token").agg(F.min("own").alias("lead"))
     pairs = scratch.keep(
-        postings.join(leaders, "token").filter((F.col("own.id") != F.col("lead.id")) & _may_match("own", "lead"))
+        postings.join(leaders, "token").filter((F.col("own.id") != F.col("lead.id")) & _may_match("own", "lead") & _sketches_fit("own", "lead"))
         .groupBy(F.col("own.id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("shared"))
         .groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", "best.y")  # the others are left to the last step
     )
@@ -152,11 +161,9 @@ def removed_lines(docs: DataFrame) -> tuple[Scratch, DataFrame]:
     after = F.least(F.first(F.col("own.n")) - F.max("own.i"), F.first(F.col("other.n")) - F.max("other.i")) - 1
     rest = (
         unsettled.join(postings.withColumnRenamed("own", "other"), "token")
-        .filter((F.col("other.first") < F.col("own.first")) & _places_fit("own", "other"))
+        .filter((F.col("other.first") < F.col("own.first")) & _may_match("own", "other") & _sketches_fit("own", "other"))
         .groupBy(F.col("own.id").alias("x"), F.col("other.id").alias("y"))
-        .agg(F.count("*").alias("shared"), F.first(F.col("own.n") + F.col("other.n")).alias("sum"), F.first(F.greatest("own.n", "other.n")).alias("n"), after.alias("after"))
-        # those up to the last shared one, and what follows it at most; or what follows the prefix that ends first
-        .withColumn("most", F.col("shared") + F.least(F.col("after"), least_shared(F.col("n")) - 1))
+        .agg((F.count("*") + after).alias("most"), F.first(F.col("own.n") + F.col("other.n")).alias("sum"))  # those up to the last place in the join, and what follows it at most
         .filter(100 * F.col("most") >= PERCENT * (F.col("sum") - F.col("most"))).select("x", "y")
         .join(pairs, ["x", "y"], "left_anti")
     )

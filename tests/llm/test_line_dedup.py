@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from sluice.llm import line_dedup
 
 
@@ -79,3 +81,29 @@ def test_phrases_of_many_lines_bring_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_verified", lambda scratch, pairs, *rest: seen.append(pairs.count()) or verified(scratch, pairs, *rest))
     assert sorted((r.doc_id, r.n_removed) for r in line_dedup.dedup(df).collect()) == [(1, 0), (2, 1)]
     assert 1 <= sum(seen) < 50
+
+
+def test_halves_of_many_lines_bring_no_pairs(spark, monkeypatch):
+    """Every token but four of a line is in ten lines, none of which is similar to it: places fit, sketches don't."""
+    half = lambda name, k: [f"{name}{k}k{j}" for j in range(20)]
+    lines = [" ".join(half("a", i // 10) + half("b", i % 10)) for i in range(100)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "other " + lines[7].partition(" ")[2])], "doc_id long, text string")
+    seen, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda scratch, pairs, *rest: seen.append(pairs.count()) or verified(scratch, pairs, *rest))
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.dedup(df).collect()) == [(1, 0), (2, 1)]
+    assert 1 <= sum(seen) < 10
+
+
+def test_sketches_differ_by_less_than_sets(spark):
+    rng = random.Random(9)
+    rows = []
+    for n in (1, 2, 7, 45, 300):
+        for _ in range(40):
+            a = [rng.getrandbits(62) for _ in range(n)]
+            b = a[: n - rng.randint(0, n // 8)] + [rng.getrandbits(62) for _ in range(rng.randint(0, n // 8))]
+            rows.append((a, b))
+    df = spark.createDataFrame(rows, "s array<long>, t array<long>")
+    both = df.select("s", "t", *(F.struct(F.size(k).alias("n"), line_dedup.sketch(k).alias("sketch")).alias(o) for k, o in (("s", "own"), ("t", "other"))))
+    for r in both.select("s", "t", line_dedup._sketches_fit("own", "other").alias("fit")).collect():
+        s, t = set(r.s), set(r.t)
+        assert r.fit or 100 * len(s & t) < 75 * len(s | t)
