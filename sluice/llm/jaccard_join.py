@@ -11,7 +11,9 @@ Documents are sets of five-word shingles; two are linked when 100 * |A & B| >= 7
 3. Documents with equal sets form a class and are represented by their least id.
 4. Postings: shingles in the prefixes of two or more representatives. First every representative is compared with that
    leader of its postings that it shares most with, and linked ones are joined into components; this is repeated while it finds links. Then
-   the pairs that are still in different components are matched completely. No pair within a component is ever emitted.
+   the pairs that are still in different components are matched completely, where their sketches allow it: SKETCH bits, of
+   which every shingle turns one over, so that two sets differ in as many shingles at least as their sketches do in bits
+   (sets of many hundred shingles fill them, and are left to the other filters). No pair within a component is ever emitted.
 
 The result lists each document with its class and component; links within a component need no pairs, and no link between
 components is lost.
@@ -38,6 +40,7 @@ MATCHES = (4, 8)
 VERIFY_COST = 40.0
 STAR_ROUNDS = 6
 PROMISING = 8
+SKETCH = 256
 
 
 def _bucket(codes: np.ndarray) -> np.ndarray:
@@ -77,6 +80,12 @@ def prefix(codes: np.ndarray, counts: np.ndarray, usual: float) -> tuple[int, np
     return matches, codes[ordered[: n - shared + matches]]
 
 
+def sketch(codes: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each of which tells whether the codes with its number are odd in number, in words of 64."""
+    odd = np.bincount((codes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def least_matches(n):
     """Matches that a pair of a document of n tokens needs at least: a partner has ceil(0.75 n) tokens or more."""
     smallest = F.ceil(PERCENT * n / F.lit(100))
@@ -84,7 +93,7 @@ def least_matches(n):
 
 
 def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, matches, prefix) for every row."""
+    """(doc_id, n, sig_a, sig_b, sketch, matches, prefix) for every row."""
     filled = counts[counts > 0]
     usual = float(np.median(filled)) * 2 if len(filled) else 0.0
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
@@ -92,7 +101,7 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def sign(batches):
         table_ = shared.value
         for batch in batches:
-            ids, columns = batch.column("doc_id"), ([], [], [], [], [])
+            ids, columns, sketches = batch.column("doc_id"), ([], [], [], [], []), []
             for _, codes in textcodes.shingle_sets(batch.column("text")):
                 matches, head = prefix(codes, table_, usual) if len(codes) else (0, codes)
                 mixed = textcodes.mix(codes + textcodes.STEPS[9])
@@ -100,14 +109,15 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     columns, (len(codes), codes.sum(dtype=np.uint64).view(np.int64), mixed.sum(dtype=np.uint64).view(np.int64), matches, head.view(np.int64)), strict=True
                 ):
                     column.append(value)
+                sketches.append(sketch(codes))
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in columns[4]])]).astype(np.int32)
             flat = np.concatenate(columns[4]) if columns[4] else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))],
-                ["doc_id", "n", "sig_a", "sig_b", "matches", "prefix"],
+                [ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(sketches, pa.list_(pa.int64())), pa.array(columns[3], pa.int32()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))],
+                ["doc_id", "n", "sig_a", "sig_b", "sketch", "matches", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, sig_a long, sig_b long, matches int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, sig_a long, sig_b long, sketch array<long>, matches int, prefix array<long>")
 
 
 def shingle_vectors(docs: DataFrame) -> DataFrame:
@@ -159,8 +169,9 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = scratch.keep(signatures(docs, bucket_counts(docs)))
-    rows = scratch.keep(signed.drop("prefix", "matches"))
-    classes = scratch.keep(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("class_id")))
+    rows = scratch.keep(signed.drop("prefix", "matches", "sketch"))
+    named = signed.filter("n > 0 AND doc_id IS NOT NULL").select("sig_a", "sig_b", "n", F.struct("doc_id", "sketch").alias("of"))
+    classes = scratch.keep(named.groupBy("sig_a", "sig_b", "n").agg(F.min("of").alias("of")).select("sig_a", "sig_b", "n", F.col("of.doc_id").alias("class_id"), "of.sketch"))
     tokens = signed.filter("n > 0 AND doc_id IS NOT NULL").select(F.posexplode("prefix").alias("i", "token"), "sig_a", F.col("n").cast("int"), "matches")
     several = tokens.groupBy("token").agg(F.min("sig_a").alias("x"), F.max("sig_a").alias("y")).filter("x < y").select("token")
     several = scratch.keep(several)  # in the prefixes of two or more classes
@@ -197,9 +208,10 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = scratch.keep(left.join(split, "token"))
         enough = left.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("n").alias("m")).filter(F.col("c") >= least_matches(F.col("m"))).select("doc_id")
         left = scratch.keep(left.join(enough, "doc_id"))
-    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "i", "matches", "part"))) for s in "ab")
+    left = left.join(classes.select(F.col("class_id").alias("doc_id"), "sketch"), "doc_id")
+    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "i", "matches", "part", "sketch"))) for s in "ab")
     rest = (
-        a.join(b, "token").filter((F.col("part_a") < F.col("part_b")) & _sizes_fit("n_a", "n_b") & _places_fit())
+        a.join(b, "token").filter((F.col("part_a") < F.col("part_b")) & _sizes_fit("n_a", "n_b") & _places_fit() & _sketches_fit())
         .groupBy(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b"))
         .agg(
             F.count("*").alias("shared"), F.first(F.least("matches_a", "matches_b")).alias("needed"), F.first(F.col("n_a") + F.col("n_b")).alias("sum"),
@@ -212,7 +224,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = scratch.keep(links.union(verify(scratch, scratch.keep(rest), docs)))
     groups = components(scratch, links).withColumnRenamed("node", "class_id")
     documents = (
-        rows.join(classes, ["sig_a", "sig_b", "n"], "left")
+        rows.join(classes.drop("sketch"), ["sig_a", "sig_b", "n"], "left")
         .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
         .join(groups, "class_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
@@ -229,6 +241,13 @@ def _places_fit():
     return (F.col("i_a") < F.col("n_a") - needed + matches) & (F.col("i_b") < F.col("n_b") - needed + matches) & (most >= needed)
 
 
+def _sketches_fit():
+    """Linked sets of n_a and n_b shingles differ in at most 25 (n_a + n_b) / 175 of them, and each of those turns one bit over."""
+    words = range(SKETCH // 64)
+    bits = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in words), F.lit(0))
+    return (100 + PERCENT) * bits <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
+
+
 def _parts(postings: DataFrame, groups: DataFrame) -> DataFrame:
     named = groups.withColumnRenamed("node", "doc_id")
     return postings.join(named, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")

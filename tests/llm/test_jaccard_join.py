@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from brute import component_ids, shingle_set
 
 from sluice.llm import jaccard_join
@@ -37,3 +38,25 @@ def test_empty_and_null_ids(spark):
     assert jaccard_join.join(df.filter("false"))[0].count() == 0
     got = sorted((r.doc_id or -1, r.component_id) for r in jaccard_join.join(df)[0].collect())
     assert got == [(-1, None), (1, 1), (1, 1)]
+
+
+def test_halves_of_many_documents_bring_no_pairs(spark, monkeypatch):
+    """Every shingle but four is in ten documents, none of which is linked to it: places fit, sketches don't."""
+    half = lambda name, k: [f"{name}{k}k{j}" for j in range(20)]
+    rows = [(i, " ".join(half("a", i // 10) + half("b", i % 10))) for i in range(100)]
+    seen, verify = [], jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "verify", lambda scratch, pairs, docs: seen.append(pairs.count()) or verify(scratch, pairs, docs))
+    df = spark.createDataFrame([*rows, (100, "other " + rows[7][1].partition(" ")[2])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(df)[0].collect()}
+    assert got == {**{i: i for i in range(100)}, 100: 7}
+    assert seen[-1] < 10
+
+
+def test_sketches_differ_by_less_than_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 7, 60, 300, 3000):
+        a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2))
+        b[: n - n // 8] = a[: n - n // 8]
+        bits = bin(int.from_bytes((jaccard_join.sketch(a) ^ jaccard_join.sketch(b)).tobytes(), "little")).count("1")
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
