@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.merge import TAGS
@@ -111,10 +111,21 @@ def export(docs: DataFrame, fmt: str, path: str) -> None:
     out = build(docs)
     if extension == ".csv":
         _csv_lines(out).write.text(path, lineSep="\r\n")
+        _rename(docs.sparkSession, path, ".txt", extension)
     else:
         out.select("value").write.text(path)
 
 
+def _rename(spark: SparkSession, path: str, before: str, after: str) -> None:
+    """Gives the part files of a written folder another ending; what they hold stays where it is."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = paths(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(paths(path)):
+        name = status.getPath().getName()
+        if name.startswith("part-") and name.endswith(before) and not files.rename(status.getPath(), paths(path, name.removesuffix(before) + after)):
+            raise OSError(f"cannot rename {name} in {path}")
+
+
 def _csv_lines(rows: DataFrame) -> DataFrame:
     """(value): the lines of every file, all values quoted: the names first, after a byte order mark, by which spreadsheets know
     the encoding. A table without rows has one file with the names."""
