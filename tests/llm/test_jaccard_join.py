@@ -40,10 +40,10 @@ def test_empty_and_null_ids(spark):
     assert got == [(-1, None), (1, 1), (1, 1)]
 
 
-def test_halves_of_many_documents_bring_no_pairs(spark, monkeypatch):
+def test_parts_of_many_documents_bring_no_pairs(spark, monkeypatch):
     """Every shingle but four is in ten documents, none of which is linked to it: places fit, sketches don't."""
-    half = lambda name, k: [f"{name}{k}k{j}" for j in range(20)]
-    rows = [(i, " ".join(half("a", i // 10) + half("b", i % 10))) for i in range(100)]
+    part = lambda name, k, n: [f"{name}{k}k{j}" for j in range(n)]
+    rows = [(i, " ".join(part("a", i // 10, 30) + part("b", i % 10, 10))) for i in range(100)]
     seen, verify = [], jaccard_join.verify
     monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
     monkeypatch.setattr(jaccard_join, "verify", lambda scratch, pairs, docs: seen.append(pairs.count()) or verify(scratch, pairs, docs))
