@@ -181,6 +181,8 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = classes.select("sig_a", F.col("class_id").alias("doc_id"))
     postings = scratch.keep(shared.join(enough, "sig_a").join(named, "sig_a").select("token", "i", "doc_id", "n", "matches"))
     scratch.drop(shared)
+    # Only texts with postings are ever verified: they are picked once, so that no round shuffles all texts again.
+    docs = scratch.keep(docs.join(postings.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
     links = tried = None
     parts = postings.select("*", F.col("doc_id").alias("part"))
     for star in range(STAR_ROUNDS):
@@ -201,13 +203,21 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if star > 1 and found.isEmpty():
             break
         links = found if links is None else links.union(found)
-        parts = _parts(postings, components(scratch, links))
+        # Components only grow, so a token within one of them brings no pairs any more.
+        named = _parts(postings, components(scratch, links))
+        split = named.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
+        parts = scratch.keep(named.join(split, "token"))
+        scratch.drop(postings)
+        postings = parts
     left = parts
     for _ in range(2):  # tokens of several components, in documents that share enough of those
         split = left.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
-        left = scratch.keep(left.join(split, "token"))
-        enough = left.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("n").alias("m")).filter(F.col("c") >= least_matches(F.col("m"))).select("doc_id")
-        left = scratch.keep(left.join(enough, "doc_id"))
+        several = scratch.keep(left.join(split, "token"))
+        enough = several.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("n").alias("m")).filter(F.col("c") >= least_matches(F.col("m"))).select("doc_id")
+        pruned = scratch.keep(several.join(enough, "doc_id"))
+        scratch.drop(postings if left is parts else left)
+        left = pruned
+        scratch.drop(several)
     left = left.join(classes.select(F.col("class_id").alias("doc_id"), "sketch"), "doc_id")
     a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "i", "matches", "part", "sketch"))) for s in "ab")
     rest = (
@@ -222,6 +232,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("a", "b").join(tried, ["a", "b"], "left_anti")
     )
     links = scratch.keep(links.union(verify(scratch, scratch.keep(rest), docs)))
+    scratch.drop(docs)
     groups = components(scratch, links).withColumnRenamed("node", "class_id")
     documents = (
         rows.join(classes.drop("sketch"), ["sig_a", "sig_b", "n"], "left")
@@ -250,7 +261,7 @@ def _sketches_fit():
 
 def _parts(postings: DataFrame, groups: DataFrame) -> DataFrame:
     named = groups.withColumnRenamed("node", "doc_id")
-    return postings.join(named, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    return postings.drop("part").join(named, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

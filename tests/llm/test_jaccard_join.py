@@ -60,3 +60,17 @@ def test_sketches_differ_by_less_than_sets():
         b[: n - n // 8] = a[: n - n // 8]
         bits = bin(int.from_bytes((jaccard_join.sketch(a) ^ jaccard_join.sketch(b)).tobytes(), "little")).count("1")
         assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_only_texts_with_postings_are_verified(spark, monkeypatch):
+    """No round reads the texts that share no shingle with another."""
+    words = lambda d, n=40: [f"v{d}k{j}" for j in range(n)]
+    rows = [(d, " ".join(words(d))) for d in range(50)] + [(100 + d, " ".join([*words(d)[:-1], "other"])) for d in range(3)]
+    seen, verify = [], jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda scratch, pairs, docs: seen.append({r.doc_id for r in docs.collect()}) or verify(scratch, pairs, docs))
+    named, parts = [], jaccard_join._parts
+    monkeypatch.setattr(jaccard_join, "_parts", lambda postings, groups: named.append(postings.count()) or parts(postings, groups))
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
+    assert got == {d: d % 100 for d, _ in rows}
+    assert named[0] > 0 and not any(named[1:])  # the first round joins all copies
+    assert seen and all(ids <= {0, 1, 2, 100, 101, 102} for ids in seen)
